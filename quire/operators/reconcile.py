@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .keyed import FAN, attach, lookup
@@ -53,7 +53,8 @@ def waterfall(rows: DataFrame, ident: str, steps: Sequence[tuple[str, str, DataF
     return resolved.drop(*[f"_n{i}" for i in order], *[f"_hit{i}" for i in order])
 
 
-def declared_against_physical(declared: DataFrame, physical: DataFrame, name: str, checksum: str) -> DataFrame:
+def declared_against_physical(declared: DataFrame, physical: DataFrame, ident: str, name: str, checksum: str,
+                              fan: int = FAN) -> DataFrame:
     """State of each declared original against the files of its name.
 
     An exact copy is an equi join on (name, checksum); the number of files of the name
@@ -61,7 +62,8 @@ def declared_against_physical(declared: DataFrame, physical: DataFrame, name: st
     """
     exact = physical.groupBy(name, checksum).agg(F.lit(True).alias("_exact"))
     named = physical.groupBy(name).agg(F.count(F.lit(1)).alias("physical_candidates"))
-    joined = declared.join(exact, [name, checksum], "left").join(named, name, "left")
+    joined = lookup(declared, exact, [name, checksum], [ident], "left", fan)
+    joined = lookup(joined, named, [name], [ident], "left", fan)
     state = (
         F.when(F.col("_exact"), "stored_checksum_match")
         .when(F.col("physical_candidates") > 0, "same_name_checksum_mismatch")
@@ -126,11 +128,11 @@ def enrich_with_set(rows: DataFrame, details: DataFrame, key: str, value: str, n
     return joined.withColumn(name, F.coalesce(F.col(name), F.array().cast("array<string>")))
 
 
-def acquisition_check(expected: DataFrame, physical: DataFrame, name: str, digest: str, status: str,
-                      wanted: str = "acquired") -> DataFrame:
+def acquisition_check(expected: DataFrame, physical: DataFrame, ident: str, name: str, digest: str, status: str,
+                      wanted: str = "acquired", fan: int = FAN) -> DataFrame:
     """Each acquired source has exactly one file of its name and the file's hash is the declared one."""
     files = physical.groupBy(name).agg(F.count(F.lit(1)).alias("_paths"), F.min(digest).alias("_actual"))
-    joined = expected.join(files, name, "left")
+    joined = lookup(expected, files, [name], [ident], "left", fan)
     verdict = (
         F.when(F.col(status) != wanted, "not_acquired")
         .when(F.col("_paths").isNull(), "no_physical_file")
@@ -184,6 +186,3 @@ def coverage(register: DataFrame, *parts: DataFrame, key: str) -> DataFrame:
     whole = reduce(lambda a, b: a.unionByName(b), [p.select(key) for p in parts])
     return one_sided(register, whole, key, "register", "parts")
 
-
-def guard_rate(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole)

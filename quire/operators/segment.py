@@ -130,3 +130,19 @@ def split_document(text: Column, patterns: Sequence[str], least: int = 200) -> C
     kept = F.filter(F.coalesce(*options), lambda p: F.length(p) >= least)
     whole = F.when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(kept) > 0, kept).otherwise(whole)
+
+
+def processing_log(pages: DataFrame, source: str, boundary: str, indexed: str) -> DataFrame:
+    """One row per source: pages, boundaries, indexed records, status and note."""
+    per_source = pages.groupBy(source).agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.col(boundary)).alias("detected_boundaries"),
+        F.count_if(F.col(indexed)).alias("indexed"),
+    )
+    none = F.col("detected_boundaries") == 0
+    return per_source.select(
+        "*",
+        F.when(none, "needs_review").otherwise("indexed").alias("status"),
+        F.when(none, "no_verified_case_boundaries_detected")
+        .when(F.col("indexed") == F.col("detected_boundaries"), "case_pdfs_created")
+        .otherwise("case_pdfs_created_with_metadata_review_required").alias("notes"),
+    )

@@ -1 +1,210 @@
-"""stub"""
+"""C: ordered rule ladders, and F: filters and gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import rules as L
+from ..functions import urls
+from ..functions.text import normalise, text_hash
+from ..operators import reconcile, segment
+from ..operators.dedup import first_wins
+from .registry import Tables, plan, sql_norm
+
+NORM = sql_norm("text")
+CARD = r"\b[0-9]{16}\b"
+PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+
+
+def _documents(t: Tables):
+    return t("documents").select("doc_id", "lang", normalise(F.col("text"), "target").alias("t"))
+
+
+@plan("c1_text_type", rf"""
+WITH n AS (SELECT doc_id, {NORM} AS t FROM documents)
+SELECT doc_id, CASE WHEN contains(t, 'token') AND (regexp_matches(t, 'token = "[0-9a-f]+"') OR contains(t, 'secret token')) THEN 'secret'
+  WHEN regexp_matches(t, '{CARD}') OR regexp_matches(t, '{PHONE}') THEN 'personal'
+  WHEN contains(t, '###') OR contains(t, '%%%') THEN 'junk' WHEN contains(t, ' the ') OR contains(t, ' and ') THEN 'english'
+  WHEN contains(t, ' und ') AND regexp_matches(t, '\b(der|die)\b') THEN 'german'
+  WHEN contains(t, ' les ') OR contains(t, ' et ') THEN 'french' WHEN contains(t, ' que ') THEN 'romance' ELSE 'reference' END AS text_type
+FROM n""")
+def c1(t: Tables):
+    x = F.col("t")
+    label = L.ladder([
+        ("secret", x.contains("token") & (x.rlike('token = "[0-9a-f]+"') | x.contains("secret token"))),
+        ("personal", x.rlike(CARD) | x.rlike(PHONE)),
+        ("junk", L.has_any(x, ["###", "%%%"])),
+        ("english", L.has_any(x, [" the ", " and "])),
+        ("german", x.contains(" und ") & x.rlike(r"\b(der|die)\b")),
+        ("french", L.has_any(x, [" les ", " et "])),
+        ("romance", x.contains(" que ")),
+    ], F.lit("reference"))
+    return _documents(t).select("doc_id", label.alias("text_type"))
+
+
+@plan("c2_verified_type", rf"""
+WITH n AS (SELECT doc_id, lang, {NORM} AS t FROM documents)
+SELECT doc_id, CASE WHEN trim(lang) <> '' AND lang <> 'en' THEN trim(lang) WHEN regexp_matches(t, '{CARD}') THEN 'personal'
+  WHEN contains(t, '###') THEN 'junk' ELSE coalesce(nullif(lang, ''), 'reference') END AS text_type
+FROM n""")
+def c2(t: Tables):
+    x = F.col("t")
+    otherwise = F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("reference"))
+    inferred = L.ladder([("personal", x.rlike(CARD)), ("junk", x.contains("###"))], otherwise)
+    return _documents(t).select("doc_id", L.keep_specific(F.col("lang"), ["en"], inferred).alias("text_type"))
+
+
+@plan("c3_loose_text_type", rf"""
+WITH n AS (SELECT doc_id, {NORM} AS t FROM documents)
+SELECT doc_id, CASE WHEN contains(t, 'token') OR contains(t, 'secret') THEN 'secret' WHEN contains(t, 'the') THEN 'english'
+  WHEN contains(t, 'que') THEN 'romance' ELSE 'document' END AS text_type FROM n WHERE length(t) >= 40""")
+def c3(t: Tables):
+    x = F.col("t")
+    label = L.ladder([("secret", L.has_any(x, ["token", "secret"])), ("english", x.contains("the")),
+                      ("romance", x.contains("que"))], F.lit("document"))
+    return _documents(t).filter(F.length(x) >= 40).select("doc_id", label.alias("text_type"))
+
+
+@plan("c4_file_name_type", """
+WITH n AS (SELECT page_id, lower(url) AS u FROM pages)
+SELECT page_id, CASE WHEN contains(u, 'index') OR contains(u, 'spam') THEN 'index' WHEN contains(u, 'blog') THEN 'blog'
+  WHEN contains(u, '//m.') THEN 'mobile' WHEN contains(u, '/de/') THEN 'german' WHEN contains(u, '/fr/') OR contains(u, '/es/') THEN 'romance'
+  WHEN contains(u, 'utm_') THEN 'tracked' WHEN contains(u, '.html') THEN 'page' WHEN contains(u, '#') THEN 'anchor' ELSE 'unclassified' END AS name_type
+FROM n""")
+def c4(t: Tables):
+    u = F.lower("url")
+    label = L.ladder([
+        ("index", L.has_any(u, ["index", "spam"])), ("blog", u.contains("blog")), ("mobile", u.contains("//m.")),
+        ("german", u.contains("/de/")), ("romance", L.has_any(u, ["/fr/", "/es/"])), ("tracked", u.contains("utm_")),
+        ("page", u.contains(".html")), ("anchor", u.contains("#")),
+    ], F.lit("unclassified"))
+    return t("pages").select("page_id", label.alias("name_type"))
+
+
+KINDS = [("notice", "The", r"(?:of|the) (an[a-z]+)"), ("ruling", "les", r"(?:de|la) ([a-zéèê]{4,})"), ("order", "und", r"der ([a-zäöü]+)")]
+
+
+@plan("c5_header_kind", rf"""
+WITH n AS (SELECT conv_id, turn, {NORM} AS t FROM conversations),
+e AS (SELECT conv_id, turn, t, substr(t, 1, 1800) AS h, regexp_extract(t, '(?:of|the) (an[a-z]+)', 1) AS a,
+  regexp_extract(t, '(?:de|la) ([a-zéèê]{{4,}})', 1) AS b, regexp_extract(t, 'der ([a-zäöü]+)', 1) AS c FROM n)
+SELECT conv_id, turn, CASE WHEN contains(h, 'The') AND a <> '' THEN 'notice' WHEN contains(h, 'les') AND b <> '' THEN 'ruling'
+    WHEN contains(h, 'und') AND c <> '' THEN 'order' END AS kind,
+  CASE WHEN contains(h, 'The') AND a <> '' THEN a WHEN contains(h, 'les') AND b <> '' THEN b WHEN contains(h, 'und') AND c <> '' THEN c END AS reference
+FROM e""")
+def c5(t: Tables):
+    pages = t("conversations").select("conv_id", "turn", normalise(F.col("text"), "target").alias("t"))
+    found = pages.withColumn("f", L.header_kind(F.col("t"), KINDS))
+    return found.select("conv_id", "turn", F.col("f.kind").alias("kind"), F.col("f.reference").alias("reference"))
+
+
+@plan("c6_whole_file_type", rf"""
+WITH n AS (SELECT doc_id, lower({sql_norm("source || ' ' || substr(text, 1, 2000)", "")}) AS w FROM documents)
+SELECT doc_id, CASE WHEN contains(w, 'src1 ') OR contains(w, 'src2 ') THEN 'index' WHEN contains(w, 'tion') THEN 'judgment'
+  WHEN contains(w, 'token') THEN 'deed' WHEN contains(w, 'keit') THEN 'circular' ELSE 'unclassified_review' END AS kind FROM n""")
+def c6(t: Tables):
+    """The first 2,000 characters are the rule's own window."""
+    words = F.lower(normalise(F.concat_ws(" ", "source", F.substring("text", 1, 2000)), "deposit"))
+    docs = t("documents").select("doc_id", words.alias("w"))
+    w = F.col("w")
+    label = L.ladder([("index", L.has_any(w, ["src1 ", "src2 "])), ("judgment", w.contains("tion")), ("deed", w.contains("token")),
+                      ("circular", w.contains("keit"))], F.lit("unclassified_review"))
+    return docs.select("doc_id", label.alias("kind"))
+
+
+@plan("c7_label_map", """
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'decision' WHEN '2-HIGH' THEN 'principle' END AS document_type,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'copyright' WHEN '2-HIGH' THEN 'international' END AS subcategory,
+  o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AS unknown_label FROM orders""")
+def c7(t: Tables):
+    mapping = [("1-URGENT", "decision", "copyright"), ("2-HIGH", "principle", "international")]
+    orders = t("orders").select("o_orderkey", "o_orderpriority")
+    known, unknown = L.map_labels(orders, "o_orderpriority", mapping, ["document_type", "subcategory"])
+    good = known.select("o_orderkey", "document_type", "subcategory", F.lit(False).alias("unknown_label"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(unknown.select("o_orderkey", none.alias("document_type"), none.alias("subcategory"),
+                                           F.lit(True).alias("unknown_label")))
+
+
+@plan("f1_page_evidence", rf"""
+WITH n AS (SELECT conv_id, turn, {NORM} AS t FROM conversations)
+SELECT conv_id, turn FROM n WHERE length(t) >= 120 AND (regexp_matches(t, '(?:of|the) an[a-z]+') OR regexp_matches(t, 'la [a-z]{{4,}}'))
+  AND (regexp_matches(t, '[A-Z][a-z]+, [a-z]') OR contains(t, ' and '))""")
+def f1(t: Tables):
+    pages = t("conversations").select("conv_id", "turn", normalise(F.col("text"), "target").alias("t"))
+    from ..functions.fields import first_match
+
+    x = F.col("t")
+    identity = [first_match(x, ["(?:of|the) (an[a-z]+)"]), first_match(x, ["la ([a-z]{4,})"])]
+    date = first_match(x, ["([A-Z][a-z]+, [a-z])"])
+    subject = F.when(x.contains(" and "), F.lit("and"))
+    return pages.filter(segment.page_evidence(x, identity, date, subject)).select("conv_id", "turn")
+
+
+@plan("f2_index_volumes", rf"""
+WITH f AS (SELECT conv_id, {sql_norm(r"string_agg(text, E'\n' ORDER BY turn)", "")} AS front FROM conversations WHERE turn + 1 <= 15 GROUP BY conv_id),
+bad AS (SELECT conv_id FROM f WHERE conv_id = 7 OR (contains(front, 'the') AND (contains(front, 'token') OR contains(front, 'ingly')))),
+s AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY conv_id)
+SELECT conv_id, pages, CASE WHEN conv_id IN (SELECT conv_id FROM bad) THEN 'reference_only' ELSE 'examined' END AS status FROM s""")
+def f2(t: Tables):
+    """Front matter is the first fifteen pages of a source."""
+    pages = t("conversations").select("conv_id", (F.col("turn") + 1).alias("page_no"), "text")
+    bad = segment.index_volumes(pages, "conv_id", "page_no", "text", all_of=["the"], any_of=["token", "ingly"], names=[7])
+    sources = pages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("pages"))
+    marked = sources.join(bad.withColumn("bad", F.lit(True)), "conv_id", "left")
+    return marked.select("conv_id", "pages", F.when(F.col("bad"), "reference_only").otherwise("examined").alias("status"))
+
+
+@plan("f3_search_eligible", """
+SELECT o_orderkey, c_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING' AND n_regionkey <> 0 AND o_orderpriority <> '5-LOW' AND o_totalprice >= 1""")
+def f3(t: Tables):
+    """Active and approved documents, official sources, processed files, no index class."""
+    documents = t("orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") != "5-LOW") & (F.col("o_totalprice") >= 1))
+    files = t("customer").filter(F.col("c_mktsegment") == "BUILDING")
+    sources = t("nation").filter(F.col("n_regionkey") != 0)
+    joined = documents.join(files, documents.o_custkey == files.c_custkey).join(sources, files.c_nationkey == sources.n_nationkey)
+    return joined.select("o_orderkey", "c_custkey", "n_name")
+
+
+@plan("f4_source_gate", """
+SELECT l_returnflag || l_linestatus AS source, count(*) AS records, count(*) = (SELECT count(*) FROM orders) AS as_expected
+FROM lineitem WHERE l_returnflag || l_linestatus IN ('AF', 'NO', 'RF') GROUP BY 1""")
+def f4(t: Tables):
+    source = F.concat("l_returnflag", "l_linestatus")
+    found = t("lineitem").select(source.alias("source")).filter(F.col("source").isin("AF", "NO", "RF"))
+    expected = t("orders").agg(F.count(F.lit(1)).alias("expected"))
+    counted = found.groupBy("source").agg(F.count(F.lit(1)).alias("records"))
+    return counted.select("source", "records", (F.col("records") == expected.scalar()).alias("as_expected"))
+
+
+@plan("f5_triage", rf"""
+WITH known AS (SELECT url FROM pages WHERE contains(url, '/de/')),
+hashes AS (SELECT sha256(trim(text)) AS h FROM benchmark),
+i AS (SELECT page_id, url, sha256({sql_norm("regexp_extract(html, '<title>([^<]*)', 1)")}) AS h,
+  regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages),
+j AS (SELECT *, CASE WHEN NOT (ends_with(host, '.example.com') OR ends_with(host, '.example.org')) THEN 'rejected'
+  WHEN url IN (SELECT url FROM known) THEN 'known_url' WHEN h IN (SELECT h FROM hashes) THEN 'duplicate' ELSE 'new' END AS s FROM i)
+SELECT page_id, CASE WHEN s = 'new' AND page_id <> min(page_id) OVER (PARTITION BY s, h) THEN 'duplicate' WHEN s = 'new' THEN 'saved' ELSE s END AS status
+FROM j""")
+def f5(t: Tables):
+    """Host first, then known URL, then known or earlier payload hash."""
+    pages = t("pages")
+    incoming = pages.select("page_id", "url", text_hash(F.regexp_extract("html", "<title>([^<]*)", 1), "target").alias("h"))
+    register = pages.filter(F.col("url").contains("/de/")).select("url")
+    held = t("benchmark").select(text_hash(F.col("text"), "target").alias("h"))
+    return triage(incoming, register, held, "page_id", ["example.com", "example.org"])
+
+
+def triage(incoming, known_urls, known_hashes, ident, hosts):
+    """Status of each landed row, in order of precedence; an equal payload is saved once."""
+    flagged = reconcile.known(incoming, known_urls, "url", ident, "url_known")
+    flagged = reconcile.known(flagged, known_hashes, "h", ident, "hash_known")
+    allowed = urls.host_allowed(F.col("url"), hosts)
+    early = (
+        F.when(~allowed, "rejected").when(F.col("url_known"), "known_url").when(F.col("hash_known"), "duplicate")
+    )
+    judged = flagged.select(ident, "h", early.alias("early"))
+    fresh = first_wins(judged.filter(F.col("early").isNull()), "h", ident, ident)
+    late = fresh.select(ident, F.when(F.col("is_first"), "saved").otherwise("duplicate").alias("status"))
+    return judged.filter(F.col("early").isNotNull()).select(ident, F.col("early").alias("status")).unionByName(late)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import greedy
-from ..operators.keyed import attach
+from ..operators.keyed import attach, lookup
 from ..operators.ordered import BLOCK, number_batches
 
 LOG_SCHEMA = "seq long, version string, format string"
@@ -105,12 +105,12 @@ def insert_if_absent(target: DataFrame, source: DataFrame, order: str, keys: Seq
     return target.unionByName(fresh.select(*target.columns))
 
 
-def guarded_update(target: DataFrame, audit: DataFrame, ident: str, changes: Mapping[str, tuple[str, str]],
+def guarded_update(target: DataFrame, audit: DataFrame, ident: str, changes: Mapping[str, str],
                    guard: tuple[str, str]) -> DataFrame:
     """Compare-and-set. ``changes`` maps a column to its audit column; ``guard`` is the
     target column and the audit column it must still equal. Adds ``updated``."""
     held, expected = guard
-    wanted = sorted({new for new, in ((c,) for c in changes.values())} | {expected})
+    wanted = sorted({*changes.values(), expected})
     side = audit.select(ident, *[F.col(c).alias(f"_a_{c}") for c in wanted])
     joined = target.join(side, ident, "left")
     hit = F.coalesce(F.col(held) == F.col(f"_a_{expected}"), F.lit(False))
@@ -176,11 +176,11 @@ def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataF
         return None
 
 
-def sync_status(register: DataFrame, log: DataFrame, key: str, state: str, done: str,
+def sync_status(register: DataFrame, log: DataFrame, ident: str, key: str, state: str, done: str,
                 labels: Mapping[str, str], column: str = "status") -> DataFrame:
     """Register status from the processing log; rows the log does not know stay as they are."""
     side = log.select(key, F.col(state).alias("_state"), F.col(done).alias("_done"))
-    joined = register.join(side, key, "left")
+    joined = lookup(register, side, [key], [ident])
     new = F.lit(None).cast("string")
     for name, label in labels.items():
         if name == "indexed":
