@@ -1 +1,174 @@
-"""stub"""
+"""R: incremental intake. Streams run until everything that arrived is processed."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import text_hash
+from ..operators import validate as V
+from ..session import scratch
+from ..sources.tables import append_once, read_log
+from ..streaming import budget as B
+from ..streaming import intake as I
+from .classify import triage
+from .registry import Tables, plan, sql_norm
+
+NORM = sql_norm("text")
+START = 40
+LIMIT, BUDGET = 20000, 60000
+
+
+def _stream(t: Tables, name: str):
+    """The table's files as a stream. A glob matches one file as well as a folder of files."""
+    return I.file_stream(t.spark, f"{t.folder}/{name}.parque[t]", t(name).schema, 1)
+
+
+@plan("r1_cursor_intake", f"""
+SELECT event_id, user_id, CASE WHEN event_id > {START} THEN 'new' ELSE 'retry' END AS origin FROM events WHERE event_id > {START} OR (event_id <= {START} AND event_type = 'error')""")
+def r1(t: Tables):
+    """Rows past the cursor and the retry set, the earlier failed posts."""
+    root = scratch(t.spark, "cursor")
+
+    def each(batch, number):
+        wanted = (F.col("event_id") > START) | (F.col("event_type") == "error")
+        origin = F.when(F.col("event_id") > START, "new").otherwise("retry")
+        append_once(batch.filter(wanted).select("event_id", "user_id", origin.alias("origin")), f"{root}/rows", number)
+
+    I.drain(_stream(t, "events"), f"{root}/checkpoint", each)
+    return read_log(t.spark, f"{root}/rows").drop("batch_id")
+
+
+@plan("r2_bootstrap_latest", """
+SELECT max(event_id) AS cursor, count(*) FILTER (event_id > (SELECT max(event_id) FROM events)) AS emitted FROM events""")
+def r2(t: Tables):
+    cursor = t("events").agg(F.max("event_id").alias("cursor"))
+    return t("events").agg(F.max("event_id").alias("cursor"), F.count_if(F.col("event_id") > cursor.scalar()).alias("emitted"))
+
+
+@plan("r3_budget_admission", f"""
+WITH RECURSIVE n AS (SELECT user_id, event_id, round(value * 100)::BIGINT AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+b AS (SELECT user_id, event_id, bytes, (n - 1) // 25 + 1 AS cycle, (n - 1) % 25 + 1 AS p FROM n),
+f AS (SELECT DISTINCT user_id, cycle, 0::BIGINT AS p, 0::BIGINT AS used, NULL::BIGINT AS event_id, NULL::VARCHAR AS status FROM b
+  UNION ALL SELECT b.user_id, b.cycle, b.p, CASE WHEN bytes <= {LIMIT} AND used + bytes <= {BUDGET} THEN used + bytes ELSE used END, b.event_id,
+    CASE WHEN bytes > {LIMIT} THEN 'manual_archival_required' WHEN used + bytes > {BUDGET} THEN 'download_failed' ELSE 'acquired' END
+  FROM f JOIN b ON b.user_id = f.user_id AND b.cycle = f.cycle AND b.p = f.p + 1)
+SELECT user_id, cycle, event_id, status FROM f WHERE p > 0""")
+def r3(t: Tables):
+    return B.admit(_sized(t), "user_id", "event_id", "bytes", item_limit=LIMIT, cycle_budget=BUDGET).select(
+        "user_id", "cycle", "event_id", "status")
+
+
+def _sized(t: Tables):
+    return t("events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("bytes"))
+
+
+@plan("r4_binary_dedup", """
+SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS canonical_id FROM events""")
+def r4(t: Tables):
+    """Each original stays; its link points at the latest earlier one with the same hash."""
+    root = scratch(t.spark, "binary")
+
+    def each(batch, number):
+        rows = batch.select("event_id", F.col("event_id").alias("ord"), F.concat_ws("|", "user_id", "event_type").alias("sha"))
+        held = read_log(t.spark, f"{root}/rows")
+        earlier = None if held is None else held.filter(F.col("batch_id") < number)
+        append_once(I.latest_registered(rows, "sha", "ord", "event_id", earlier), f"{root}/rows", number)
+
+    I.drain(_stream(t, "events"), f"{root}/checkpoint", each)
+    return read_log(t.spark, f"{root}/rows").select("event_id", "canonical_id")
+
+
+@plan("r5_idempotent_processing", f"""
+WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256({NORM})) AS c FROM documents)
+SELECT doc_id, CASE WHEN doc_id <> c THEN 'exact_duplicate_review' ELSE 'pending_provenance_and_metadata_review' END AS review_status, nullif(c, doc_id) AS duplicate_of FROM h""")
+def r5(t: Tables):
+    """The feed is delivered twice; the second delivery changes nothing."""
+    root = scratch(t.spark, "process")
+    stream = _stream(t, "documents").select("doc_id", F.col("doc_id").alias("source_key"), text_hash(F.col("text"), "target").alias("h"))
+    job = I.Processor(t.spark, root, "doc_id", "source_key", "h")
+    job.run(stream)
+    seen = read_log(t.spark, f"{root}/records").agg(F.max("batch_id")).first()[0]
+
+    def again(batch, number):
+        job.process(batch, seen + 1 + number)
+
+    I.drain(stream, f"{root}/second", again)
+    return read_log(t.spark, f"{root}/records").select("doc_id", "review_status", "duplicate_of")
+
+
+@plan("r6_validation_gate", """
+SELECT o_orderkey, CASE WHEN (SELECT count(*) FROM orders WHERE o_totalprice < 0) > 0 THEN 'quarantine' ELSE 'published' END AS strict_gate,
+  CASE WHEN (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')) > 0 THEN 'quarantine' ELSE 'published' END AS status_gate FROM orders""")
+def r6(t: Tables):
+    gates = {
+        "strict_gate": [V.Rule("price_negative", F.col("o_totalprice") < 0, F.col("o_totalprice"))],
+        "status_gate": [V.domain("status", F.col("o_orderstatus"), ["F", "O"], "error")],
+    }
+    result = None
+    for name, rules in gates.items():
+        root = scratch(t.spark, "gate")
+        I.drain(_stream(t, "orders"), f"{root}/checkpoint", I.gate(root, "o_orderkey", rules))
+        parts = [(out, read_log(t.spark, f"{root}/{out}")) for out in ("published", "quarantine")]
+        rows = [df.select("o_orderkey", F.lit(out).alias(name)) for out, df in parts if df is not None]
+        side = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+        result = side if result is None else result.join(side, "o_orderkey")
+    return result
+
+
+@plan("r7_queue_consumer", r"""
+WITH i AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, sha256(html) AS h FROM pages),
+j AS (SELECT *, CASE WHEN NOT (ends_with(host, '.example.com') OR ends_with(host, '.example.org')) THEN 'rejected'
+  WHEN contains(url, '/de/') THEN 'known_url' ELSE 'new' END AS s FROM i),
+k AS (SELECT CASE WHEN s = 'new' AND page_id <> min(page_id) OVER (PARTITION BY s, h) THEN 'duplicate' WHEN s = 'new' THEN 'saved' ELSE s END AS status FROM j)
+SELECT status, count(*) AS records FROM k GROUP BY status""")
+def r7(t: Tables):
+    root = scratch(t.spark, "queue")
+    register = t("pages").filter(F.col("url").contains("/de/")).select("url")
+    held = t("benchmark").select(text_hash(F.col("text"), "target").alias("h"))
+
+    def each(batch, number):
+        incoming = batch.select("page_id", "url", F.sha2("html", 256).alias("h"))
+        append_once(triage(incoming, register, held, "page_id", ["example.com", "example.org"]), f"{root}/index", number)
+
+    I.drain(_stream(t, "pages"), f"{root}/checkpoint", each)
+    return read_log(t.spark, f"{root}/index").groupBy("status").agg(F.count(F.lit(1)).alias("records"))
+
+
+@plan("r8_change_monitor", """
+WITH r AS (SELECT event_id FROM events WHERE event_type <> 'signup' AND ts < TIMESTAMP '2024-01-12'), e AS (SELECT max(event_id) AS edge FROM r)
+SELECT event_id, CASE WHEN event_id > edge THEN 'new_post' ELSE 'gap' END AS finding FROM events, e WHERE event_id NOT IN (SELECT event_id FROM r)""")
+def r8(t: Tables):
+    register = t("events").filter((F.col("event_type") != "signup") & (F.col("ts") < F.lit("2024-01-12").cast("timestamp"))).select("event_id")
+    rows, _ = I.change_monitor(t("events"), register, "event_id")
+    return rows
+
+
+@plan("r9_run_status", f"""
+WITH RECURSIVE n AS (SELECT user_id, event_id, round(value * 100)::BIGINT AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+b AS (SELECT user_id, event_id, bytes, (n - 1) // 25 + 1 AS cycle, (n - 1) % 25 + 1 AS p FROM n),
+f AS (SELECT DISTINCT user_id, cycle, 0::BIGINT AS p, 0::BIGINT AS used, NULL::VARCHAR AS status FROM b
+  UNION ALL SELECT b.user_id, b.cycle, b.p, CASE WHEN bytes <= {LIMIT} AND used + bytes <= {BUDGET} THEN used + bytes ELSE used END,
+    CASE WHEN bytes > {LIMIT} THEN 'manual' WHEN used + bytes > {BUDGET} THEN 'retry' ELSE 'acquired' END
+  FROM f JOIN b ON b.user_id = f.user_id AND b.cycle = f.cycle AND b.p = f.p + 1)
+SELECT count(*) FILTER (status = 'acquired') AS acquired, count(*) FILTER (status = 'manual') AS manual, count(*) FILTER (status = 'retry') AS retry,
+  CASE WHEN count(*) FILTER (status = 'retry' OR status = 'manual') = 0 THEN 'completed' ELSE 'completed_with_failures' END AS outcome,
+  (SELECT max(event_id) FROM events) AS cursor FROM f WHERE p > 0""")
+def r9(t: Tables):
+    """The whole cycle: cursor, admission, duplicates, failures, status."""
+    root = scratch(t.spark, "cycle")
+    job = I.Intake(t.spark, root, "user_id", "event_id", "bytes", "sha", cursor=-1, item_limit=LIMIT, cycle_budget=BUDGET)
+    stream = _stream(t, "events").select(
+        "user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("bytes"), F.concat_ws("|", "user_id", "event_type").alias("sha"))
+    job.run(stream)
+    return job.last_success().select("acquired", "manual", "retry", "outcome", "cursor")
+
+
+@plan("r10_failure_register", """
+SELECT event_id, CASE WHEN value > 100 THEN 'manual_archival_required' ELSE 'download_failed' END AS status,
+  CASE WHEN value > 100 THEN 'terminal' ELSE 'retryable' END AS failure_class,
+  CASE WHEN value > 100 THEN 'approved_large_file_procedure' ELSE 'retry_same_session' END AS next_step FROM events WHERE event_type = 'error'""")
+def r10(t: Tables):
+    status = F.when(F.col("value") > 100, B.MANUAL).otherwise(B.FAILED)
+    failed = t("events").filter(F.col("event_type") == "error").select("event_id", status.alias("status"))
+    return failed.select("event_id", "status", B.failure_class(F.col("status")).alias("failure_class"),
+                         B.next_step(F.col("status")).alias("next_step"))
