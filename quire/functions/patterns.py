@@ -13,6 +13,7 @@ DIACRITICS = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED]"
 BIDI = r"[\u200E\u200F\u202A-\u202E\u2066-\u2069]"
 BIDI_AND_BOM = r"[\u200E\u200F\u202A-\u202E\u2066-\u2069\uFEFF]"
 WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+WHITESPACE_NOT_BLANK = r"[\t-\r\x1C-\x1F\x85\p{Z}&&[^ ]]+"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 LINE_PUNCTUATION = " :-،؛"
 

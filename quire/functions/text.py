@@ -34,6 +34,9 @@ PROFILES = {
 }
 PROFILES["import"] = PROFILES["target"]
 
+# Texts of these characters alone need no step but the white-space collapse: no digit to
+# map, no mark to drop, nothing to compose. One possessive loop decides it per text.
+PLAIN = r"^[\x00-\x7F\u00C0-\u00FF]*+$"
 # Characters that compatibility composition never changes, alone or in sequence.
 # Anything outside goes through the Arrow function; a test proves the ranges.
 STABLE = (
@@ -59,7 +62,8 @@ _fold_case = arrow_map(str.casefold)
 
 def compose(col: Column) -> Column:
     """NFKC. Only texts holding a character that could change travel to Python."""
-    return F.coalesce(_compose(F.when(col.rlike(f"[^{STABLE}]"), col)), col)
+    stays = col.rlike(PLAIN) | col.rlike(f"^[{STABLE}]*+$")
+    return F.coalesce(_compose(F.when(~stays, col)), col)
 
 
 def fold_case(col: Column) -> Column:
@@ -68,7 +72,8 @@ def fold_case(col: Column) -> Column:
 
 
 def collapse(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, P.WHITESPACE, " "))
+    """Runs of white space to one blank. Single blanks, by far the most, are not rewritten."""
+    return F.trim(F.regexp_replace(F.regexp_replace(col, P.WHITESPACE_NOT_BLANK, " "), "  +", " "))
 
 
 def repair_glyph_order(col: Column) -> Column:
@@ -77,15 +82,21 @@ def repair_glyph_order(col: Column) -> Column:
     return F.regexp_replace(words, P.ARTICLE_SWAP, "ال$1")
 
 
-def normalise(col: Column, profile: str = "collector") -> Column:
-    rules = PROFILES[profile]
+def _clean(col: Column, rules: Profile) -> Column:
+    """Every step but the collapse; plain texts pass untouched."""
+    text = F.coalesce(col, F.lit(""))
     ascii_digits = P.ASCII_DIGITS * (len(rules.digits) // 10)
-    text = F.translate(compose(F.coalesce(col, F.lit(""))), rules.digits, ascii_digits)
-    text = F.regexp_replace(F.regexp_replace(text, rules.bidi, ""), P.DIACRITICS, "")
-    text = F.replace(text, F.lit(P.TATWEEL), F.lit(rules.tatweel))
+    # The intersection with one range rejects most letters on the first comparison.
+    marks = f"[\\u0610-\\uFEFF&&[{rules.bidi[1:-1]}{P.DIACRITICS[1:-1]}]]"
+    other = F.translate(compose(text), rules.digits, ascii_digits)
+    other = F.replace(F.regexp_replace(other, marks, ""), F.lit(P.TATWEEL), F.lit(rules.tatweel))
     if rules.repair:
-        text = repair_glyph_order(text)
-    return collapse(text)
+        other = repair_glyph_order(other)
+    return F.when(text.rlike(PLAIN), text).otherwise(other)
+
+
+def normalise(col: Column, profile: str = "collector") -> Column:
+    return collapse(_clean(col, PROFILES[profile]))
 
 
 def sha256(col: Column) -> Column:
@@ -106,13 +117,7 @@ def lines(col: Column, profile: str = "collector") -> Column:
     The text is composed and repaired once as a whole, then cut: a lambda cannot
     call an Arrow function. Line breaks survive every step before the collapse.
     """
-    rules = PROFILES[profile]
-    ascii_digits = P.ASCII_DIGITS * (len(rules.digits) // 10)
-    text = F.translate(compose(F.coalesce(col, F.lit(""))), rules.digits, ascii_digits)
-    text = F.regexp_replace(F.regexp_replace(text, rules.bidi, ""), P.DIACRITICS, "")
-    text = F.replace(text, F.lit(P.TATWEEL), F.lit(rules.tatweel))
-    if rules.repair:
-        text = repair_glyph_order(text)
+    text = _clean(col, PROFILES[profile])
     return F.filter(F.transform(split_lines(text), collapse), lambda x: x != "")
 
 

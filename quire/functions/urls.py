@@ -100,7 +100,7 @@ def content_route(content: Column, content_type: Column, final_url: Column) -> C
     starts = lambda signature: F.hex(F.substring(content, 1, len(signature) // 2)) == signature
     # A signature may only begin on a byte: odd positions of the hex form.
     pdf_inside = head.rlike("^(?:[0-9A-F]{2})*?25504446")
-    text = F.decode(content, "UTF-8")
+    text = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
     body = F.regexp_replace(text, r"^[\s]+", "")
     return (
         F.when(pdf_inside | (kind == "application/pdf") | path.endswith(".pdf"), "pdf")

@@ -55,7 +55,7 @@ def w4(t: Tables):
 
 
 GREEDY = """
-WITH RECURSIVE base AS ({base}),
+WITH RECURSIVE base AS MATERIALIZED ({base}),
 fold AS (
   SELECT 0::BIGINT AS n, []::VARCHAR[] AS k1, []::VARCHAR[] AS k2, []::BIGINT[] AS o1, []::BIGINT[] AS o2, NULL::BIGINT AS id, NULL::BIGINT AS canon, NULL::VARCHAR AS method
   UNION ALL
