@@ -103,8 +103,17 @@ def sha256(col: Column) -> Column:
     return F.sha2(F.encode(col, "UTF-8"), 256)
 
 
+def never_null(col: Column) -> Column:
+    """Mark a string that cannot be NULL as such.
+
+    A join infers a NULL filter on a nullable key and pushes it below the projection,
+    which would compute an expensive key a second time.
+    """
+    return F.coalesce(col, F.lit(""))
+
+
 def text_hash(col: Column, profile: str = "collector") -> Column:
-    return sha256(normalise(col, profile))
+    return never_null(sha256(normalise(col, profile)))
 
 
 def split_lines(col: Column) -> Column:

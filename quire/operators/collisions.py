@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, fold_case, sha256
 from .dedup import key_pairs
-from .keyed import FAN, attach, lookup
+from .keyed import FAN, attach, lookup, narrow
 from .ordered import BLOCK, in_order
 
 
@@ -55,9 +55,8 @@ def asymmetric(accepted: DataFrame, ident: str, order: str, fields: Sequence[str
 
 def prior_members(rows: DataFrame, key: str, ident: str, order: str, block: int = BLOCK) -> DataFrame:
     """How many earlier rows share the key, and the latest of them."""
-    narrow = rows.select(ident, order, key).filter(F.col(key).isNotNull()) if ident != order else rows.select(
-        ident, key).filter(F.col(key).isNotNull())
-    ranked = in_order(narrow, [key], order, position="_n", previous={"latest_prior": ident}, block=block)
+    ranked = in_order(narrow(rows, ident, order, keys=[key]), [key], order, position="_n",
+                      previous={"latest_prior": ident}, block=block)
     return ranked.withColumn("prior", F.col("_n") - 1).drop("_n")
 
 

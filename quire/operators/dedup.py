@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .keyed import FAN, attach, lookup
+from .keyed import FAN, attach, lookup, narrow
 
 
 def key_pairs(records: DataFrame, ident: str, order: str, keys: Sequence[str]) -> DataFrame:
@@ -25,9 +26,8 @@ def key_pairs(records: DataFrame, ident: str, order: str, keys: Sequence[str]) -
 
 def first_wins(rows: DataFrame, key: str, ident: str, order: str, fan: int = FAN) -> DataFrame:
     """The first row of a key stays; every row learns its canonical id."""
-    narrow = rows.select(ident, order, key).filter(F.col(key).isNotNull())
     known = attach(
-        narrow, [key], [ident],
+        narrow(rows, ident, order, keys=[key]), [key], [ident],
         [F.min(order).alias("_first"), F.min_by(ident, order).alias("canonical_id")], fan,
     )
     return known.withColumn("is_first", F.col(order) == F.col("_first")).drop("_first")
@@ -35,11 +35,11 @@ def first_wins(rows: DataFrame, key: str, ident: str, order: str, fan: int = FAN
 
 def first_seen(rows: DataFrame, ident: str, order: str, exact: str, reference: str, fan: int = FAN) -> DataFrame:
     """Exact key first, else shared reference; the canonical is the first seen of each."""
-    narrow = rows.select(ident, order, exact, reference)
+    seen = narrow(rows, ident, order, keys=[exact, reference])
     for key, name in ((exact, "_exact"), (reference, "_reference")):
-        narrow = attach(narrow, [key], [ident], [F.min_by(ident, order).alias(name)], fan)
+        seen = attach(seen, [key], [ident], [F.min_by(ident, order).alias(name)], fan)
     mine = F.col(ident)
-    return narrow.select(
+    return seen.select(
         ident,
         F.when(F.col("_exact") != mine, "exact_hash").when(F.col("_reference") != mine, "reference").alias("match_type"),
         F.when(F.col("_exact") != mine, F.col("_exact"))
@@ -59,7 +59,9 @@ def greedy(records: DataFrame, ident: str, order: str, keys: Sequence[str], owne
     enter the rounds. ``owned`` (kind, value, owner) lists keys held before the first
     record.
 
-    Returns (ident, status, canonical_id, method), one row per record. ``order`` is unique.
+    Returns (ident, status, canonical_id, method), one row per record. ``order`` is unique
+    and of any sortable type. Few rounds do in practice; a chain of records that each
+    share a key with the next only needs about half its length.
     """
     pairs = key_pairs(records, ident, order, keys)
     by = ["kind", "value"]
@@ -71,36 +73,32 @@ def greedy(records: DataFrame, ident: str, order: str, keys: Sequence[str], owne
         counted = counted.withColumn("_owner", F.lit(None).cast("string"))
     contested = cut(counted.filter((F.col("_holders") > 1) | F.col("_owner").isNotNull()).drop("_holders"))
 
-    seeded = contested.groupBy(ident).agg(F.max(F.col("_owner").isNotNull()).alias("_lost"))
-    state = contested.drop("_owner").join(
-        seeded.select(ident, F.when(F.col("_lost"), F.lit(False)).alias("_accepted")), ident
-    )
-    decided: list[DataFrame] = [state.filter(F.col("_accepted").isNotNull())]
+    # A record has one row per key, so a window over its rows stays that short.
+    mine = Window.partitionBy(ident)
+    lost_before = F.max(F.col("_owner").isNotNull()).over(mine)
+    state = contested.withColumn("_accepted", F.when(lost_before, F.lit(False))).drop("_owner")
+    decided = [state.filter(F.col("_accepted").isNotNull())]
     open_pairs = state.filter(F.col("_accepted").isNull()).drop("_accepted")
     while True:
-        ranked = attach(open_pairs, by, [ident], [F.min(order).alias("_min")], fan)
-        winners = ranked.groupBy(ident).agg(F.min(F.col(order) == F.col("_min")).alias("_wins"))
-        winners = winners.filter("_wins").select(ident)
-        won_keys = open_pairs.join(winners, ident, "left_semi").select(*by)
-        touched = lookup(open_pairs, won_keys, by, [ident], "left_semi", fan).select(ident).distinct()
-        outcome = touched.join(winners.withColumn("_wins", F.lit(True)), ident, "left").select(
-            ident, F.coalesce("_wins", F.lit(False)).alias("_accepted")
-        )
-        state = cut(open_pairs.join(outcome, ident, "left"))
+        ranked = attach(open_pairs, by, [ident], [F.min(order).alias("_least")], fan)
+        wins = F.min(F.col(order) == F.col("_least")).over(mine)
+        judged = ranked.withColumn("_wins", wins).drop("_least")
+        told = attach(judged, by, [ident], [F.max("_wins").alias("_won")], fan)
+        beaten = F.max("_won").over(mine)
+        fate = F.when(F.col("_wins"), F.lit(True)).when(beaten, F.lit(False))
+        state = cut(told.withColumn("_accepted", fate).drop("_wins", "_won"))
         decided.append(state.filter(F.col("_accepted").isNotNull()))
         open_pairs = state.filter(F.col("_accepted").isNull()).drop("_accepted")
         if open_pairs.isEmpty():
             break
 
-    settled = decided[0]
-    for part in decided[1:]:
-        settled = settled.unionByName(part)
+    settled = reduce(DataFrame.unionByName, decided)
     holders = settled.filter("_accepted").select(
-        *by, F.col(ident).cast("string").alias("_holder"), F.col(order).cast("long").alias("_held_since")
+        *by, F.col(ident).cast("string").alias("_holder"), F.col(order).alias("_held_since")
     )
     if owned is not None:
         prior = contested.filter(F.col("_owner").isNotNull()).groupBy(*by).agg(F.min("_owner").alias("_holder"))
-        prior = prior.withColumn("_held_since", F.lit(None).cast("long"))
+        prior = prior.withColumn("_held_since", F.lit(None).cast(records.schema[order].dataType))
         holders = prior.unionByName(holders.join(prior.select(*by), by, "left_anti"))
     lost = settled.filter(~F.col("_accepted"))
     matched = lookup(lost, holders, by, [ident], "inner", fan)

@@ -13,15 +13,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FAN = 64
+FAN = 256
 
 
 def spread(rows: DataFrame, keys: Sequence[str], by: Sequence[str], fan: int = FAN) -> DataFrame:
     """Lay rows out by key and salt. Both consumers below reuse this one exchange."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(fan)).cast("int"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.lit(fan)).cast("int"), F.lit(0))
+    salted = rows.withColumn("_salt", salt)
     return salted.repartition(*keys, "_salt")
 
 
+def narrow(rows: DataFrame, *names: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The named columns once each, without rows whose key is NULL.
+
+    A column known to hold no NULL is not filtered: the filter would be pushed below the
+    projection that computes it.
+    """
+    picked = rows.select(*dict.fromkeys([*names, *keys]))
+    for k in keys:
+        if picked.schema[k].nullable:
+            picked = picked.filter(F.col(k).isNotNull())
+    return picked
+
+
+def keep(rows: DataFrame, condition: Column, *columns: Column | str) -> DataFrame:
+    """Filter after a projection, not below it.
+
+    Catalyst pushes a filter on a computed column under the projection and repeats the
+    computation for each mention. Unpacking none or one row leaves it where it is. Use it
+    for conditions on text that a projection has just normalised.
+    """
+    row = F.struct(*columns)
+    return rows.select(F.inline(F.filter(F.array(row), lambda _: condition)))
+
+
 def attach(rows: DataFrame, keys: Sequence[str], by: Sequence[str], facts: Sequence[Column],
            fan: int = FAN) -> DataFrame:
     """Add aggregate columns of each row's key. Keys must not be NULL.

@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import FAN, attach, lookup
+from .keyed import FAN, attach, lookup, narrow
 
 
 def known(rows: DataFrame, existing: DataFrame, key: str, ident: str, flag: str = "is_known", fan: int = FAN) -> DataFrame:
     """Flag rows whose key an existing register already holds."""
-    held = existing.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
+    held = narrow(existing, keys=[key]).distinct().withColumn(flag, F.lit(True))
     return lookup(rows, held, [key], [ident], "left", fan).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
@@ -101,7 +101,7 @@ def hash_audit(target: DataFrame, collector: DataFrame, ident: str, agree: Seque
 def snapshot_diff(old: DataFrame, new: DataFrame, ident: str, stable: Sequence[str], digest: str, fan: int = FAN) -> DataFrame:
     """Row-wise difference of two versions: presence, stable fields, hash, new-hash uniqueness."""
     unique = attach(
-        new.select(ident, digest).filter(F.col(digest).isNotNull()), [digest], [ident],
+        narrow(new, ident, keys=[digest]), [digest], [ident],
         [F.count(F.lit(1)).alias("_same")], fan,
     ).select(ident, "_same")
     a = old.select(ident, *[F.col(c).alias(f"_a_{c}") for c in (*stable, digest)], F.lit(True).alias("_old"))

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import normalise
-from .keyed import lookup
+from .keyed import keep, lookup
 from .ordered import BLOCK, in_order
 
 
 def page_evidence(text: Column, identity: Sequence[Column], date: Column, subject: Column,
                   least: int = 120) -> Column:
     """A boundary page is long enough, names a reference and shows a date or a subject."""
+    return page_evidence_of(F.length(text), identity, date, subject, least)
+
+
+def page_evidence_of(size: Column, identity: Sequence[Column], date: Column, subject: Column, least: int = 120) -> Column:
+    """The same rule where only the length of the normalised text was kept."""
     named = reduce(lambda a, b: a | b, [c.isNotNull() for c in identity])
-    return (F.length(text) >= least) & named & (date.isNotNull() | subject.isNotNull())
+    return (size >= least) & named & (date.isNotNull() | subject.isNotNull())
 
 
 def index_volumes(pages: DataFrame, source: str, page: str, text: str, *, all_of: Sequence[str] = (P.INDEX_ALL,),
@@ -37,12 +42,12 @@ def index_volumes(pages: DataFrame, source: str, page: str, text: str, *, all_of
             "\n",
         ).alias("_front")
     )
-    words = normalise(F.col("_front"), profile)
+    words = F.col("_words")
     marked = reduce(lambda a, b: a & b, [words.contains(t) for t in all_of])
     marked = marked & reduce(lambda a, b: a | b, [words.contains(t) for t in any_of])
     if names:
         marked = marked | F.col(source).isin(*names)
-    return joined.filter(marked).select(source)
+    return keep(joined.withColumn("_words", normalise(F.col("_front"), profile)), marked, source)
 
 
 def boundaries(candidates: DataFrame, source: str, page: str, identity: Sequence[str],

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import present
+from .keyed import narrow
 from .ordered import BLOCK, number_batches
 
 
@@ -24,7 +25,7 @@ def completeness(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def duplicate_counts(df: DataFrame, key: str) -> DataFrame:
     """Exact distinct and surplus counts of a key, pre-aggregated by the key."""
-    per_key = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    per_key = narrow(df, keys=[key]).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return per_key.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("records"),
         F.count(F.lit(1)).alias("distinct_keys"),

@@ -9,6 +9,7 @@ from ..functions import urls
 from ..functions.text import normalise, text_hash
 from ..operators import reconcile, segment
 from ..operators.dedup import first_wins
+from ..operators.keyed import keep
 from .registry import Tables, plan, sql_norm
 
 NORM = sql_norm("text")
@@ -62,7 +63,7 @@ def c3(t: Tables):
     x = F.col("t")
     label = L.ladder([("secret", L.has_any(x, ["token", "secret"])), ("english", x.contains("the")),
                       ("romance", x.contains("que"))], F.lit("document"))
-    return _documents(t).filter(F.length(x) >= 40).select("doc_id", label.alias("text_type"))
+    return keep(_documents(t), F.length(x) >= 40, "doc_id", label.alias("text_type"))
 
 
 @plan("c4_file_name_type", """
@@ -138,7 +139,7 @@ def f1(t: Tables):
     identity = [first_match(x, ["(?:of|the) (an[a-z]+)"]), first_match(x, ["la ([a-z]{4,})"])]
     date = first_match(x, ["([A-Z][a-z]+, [a-z])"])
     subject = F.when(x.contains(" and "), F.lit("and"))
-    return pages.filter(segment.page_evidence(x, identity, date, subject)).select("conv_id", "turn")
+    return keep(pages, segment.page_evidence(x, identity, date, subject), "conv_id", "turn")
 
 
 @plan("f2_index_volumes", rf"""

@@ -15,6 +15,7 @@ from ..functions.urls import TAG, unescape
 from ..operators.dedup import first_wins
 
 CORRUPT = "_corrupt_record"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def parse_lines(raw: DataFrame, value: str, schema: T.StructType, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -22,7 +23,7 @@ def parse_lines(raw: DataFrame, value: str, schema: T.StructType, carry: Sequenc
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = raw.withColumn("_row", F.from_json(F.col(value), full, options))
-    line = F.trim(F.regexp_replace(F.col(value), r"^[\s\x00-\x1F]+|[\s\x00-\x1F]+$", ""))
+    line = F.trim(F.col(value), F.lit(BLANKS))
     clean = F.col(f"_row.{CORRUPT}").isNull()
     # CASE is lazy: only lines the typed parse rejects are parsed a second time.
     is_json = F.try_parse_json(F.col(value)).isNotNull()

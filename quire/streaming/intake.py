@@ -148,7 +148,7 @@ class Processor:
         first = first_wins(order, self.digest, self.ident, "_order").select(self.ident, "canonical_id")
         judged = rows.join(first, self.ident)
         if earlier is not None:
-            known = earlier.groupBy(self.digest).agg(F.min_by(self.ident, "batch_id").alias("_known"))
+            known = earlier.groupBy(self.digest).agg(F.min_by(self.ident, F.struct("batch_id", self.ident)).alias("_known"))
             judged = lookup(judged, known, [self.digest], [self.ident]).withColumn(
                 "canonical_id", F.coalesce("_known", "canonical_id")).drop("_known")
         other = F.col("canonical_id") != F.col(self.ident)

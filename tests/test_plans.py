@@ -37,6 +37,7 @@ def test_entry(spark):
 def test_text_is_scanned_once_for_first_wins(spark):
     docs = table(spark, SMALL, "documents").select("doc_id", text_hash(F.col("text"), "target").alias("h"))
     plan = physical(dedup.first_wins(docs, "h", "doc_id", "doc_id"))
+    assert plan.split("Initial Plan")[0].count("ArrowEvalPython") == 1
     assert "ReusedExchange" in plan or "TableCacheQueryStage" in plan
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
