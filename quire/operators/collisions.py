@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, fold_case, sha256
+from ..functions.text import collapse, fold_case, never_null, sha256
 from .dedup import key_pairs
-from .keyed import FAN, attach, lookup, narrow
+from .keyed import FAN, attach, keep, lookup, narrow
 from .ordered import BLOCK, in_order
 
 
@@ -62,7 +62,7 @@ def prior_members(rows: DataFrame, key: str, ident: str, order: str, block: int
 
 def with_title_key(records: DataFrame, title: str) -> DataFrame:
     keyed = records.withColumn("title_key", fold_case(collapse(F.coalesce(F.col(title), F.lit("")))))
-    return keyed.filter(F.col("title_key") != "")
+    return keep(keyed, F.col("title_key") != "", *records.columns, never_null(F.col("title_key")).alias("title_key"))
 
 
 def title_groups(records: DataFrame, ident: str, order: str, title: str, text_hash: str) -> DataFrame:
@@ -94,7 +94,7 @@ def title_groups(records: DataFrame, ident: str, order: str, title: str, text_ha
 
 def title_members(records: DataFrame, ident: str, title: str, fan: int = FAN) -> DataFrame:
     """Candidate rows (review_id, ident) of the title groups."""
-    keyed = with_title_key(records, title).select(F.col(ident), sha256(F.col("title_key")).alias("_title"))
+    keyed = with_title_key(records, title).select(F.col(ident), never_null(sha256(F.col("title_key"))).alias("_title"))
     counted = attach(keyed, ["_title"], [ident], [F.count(F.lit(1)).alias("_n")], fan).filter(F.col("_n") > 1)
     return counted.select(
         F.concat(F.lit("title-collision-"), F.substring("_title", 1, 20)).alias("review_id"), F.col(ident)

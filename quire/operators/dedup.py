@@ -35,9 +35,13 @@ def first_wins(rows: DataFrame, key: str, ident: str, order: str, fan: int = FAN
 
 def first_seen(rows: DataFrame, ident: str, order: str, exact: str, reference: str, fan: int = FAN) -> DataFrame:
     """Exact key first, else shared reference; the canonical is the first seen of each."""
-    seen = narrow(rows, ident, order, keys=[exact, reference])
-    for key, name in ((exact, "_exact"), (reference, "_reference")):
-        seen = attach(seen, [key], [ident], [F.min_by(ident, order).alias(name)], fan)
+    def canonical(key: str, name: str) -> DataFrame:
+        rows_of_key = narrow(rows, ident, order, keys=[key])
+        return attach(rows_of_key, [key], [ident], [F.min_by(ident, order).alias(name)], fan).select(ident, order, name)
+
+    # Side by side and joined by id: chained, the second would compute the first twice.
+    # The order rides along, so that both uses of a key's layout ask for the same columns.
+    seen = canonical(exact, "_exact").join(canonical(reference, "_reference"), [ident, order])
     mine = F.col(ident)
     return seen.select(
         ident,

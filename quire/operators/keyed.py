@@ -16,11 +16,21 @@ from pyspark.sql import functions as F
 FAN = 256
 
 
+def salt_of(by: Sequence[str], fan: int) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(*by), F.lit(fan)).cast("int"), F.lit(0))
+
+
 def spread(rows: DataFrame, keys: Sequence[str], by: Sequence[str], fan: int = FAN) -> DataFrame:
-    """Lay rows out by key and salt. Both consumers below reuse this one exchange."""
-    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.lit(fan)).cast("int"), F.lit(0))
-    salted = rows.withColumn("_salt", salt)
-    return salted.repartition(*keys, "_salt")
+    """Lay rows out by key and salt. ``by`` names the row's id, which is not NULL.
+
+    Both consumers below read this one exchange, so the rows are computed once. For that
+    they must ask for the same columns and filters: the ids are filtered here rather than
+    by a later join, and the per-key side derives its salts from the ids again.
+    """
+    for name in by:
+        if rows.schema[name].nullable:
+            rows = rows.filter(F.col(name).isNotNull())
+    return rows.withColumn("_salt", salt_of(by, fan)).repartition(*keys, "_salt")
 
 
 def narrow(rows: DataFrame, *names: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -54,7 +64,7 @@ def attach(rows: DataFrame, keys: Sequence[str], by: Sequence[str], facts: Seque
     Pass narrow rows: ids, keys and what the facts need. Wide columns rejoin by id.
     """
     laid = spread(rows, keys, by, fan)
-    per_key = laid.groupBy(*keys).agg(*facts, F.collect_set("_salt").alias("_salts"))
+    per_key = laid.groupBy(*keys).agg(*facts, F.collect_set(salt_of(by, fan)).alias("_salts"))
     per_key = per_key.withColumn("_salt", F.explode("_salts")).drop("_salts")
     return laid.join(per_key, [*keys, "_salt"]).drop("_salt")
 
@@ -67,7 +77,7 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], by: Sequence[
     sides; the match then travels to the salts in use.
     """
     laid = spread(rows, keys, by, fan)
-    used = laid.groupBy(*keys).agg(F.collect_set("_salt").alias("_salts"))
+    used = laid.groupBy(*keys).agg(F.collect_set(salt_of(by, fan)).alias("_salts"))
     matched = used.join(table, [*keys], "left" if how == "left" else "inner")
     matched = matched.withColumn("_salt", F.explode("_salts")).drop("_salts")
     if how == "left_semi":

@@ -37,7 +37,12 @@ def in_order(
     so grouping by both and more needs no further exchange.
     """
     previous, following, running = dict(previous or {}), dict(following or {}), dict(running or {})
-    laid = rows.withColumn("_block", F.expr(f"`{order}` div {int(block)}")).repartition(*keys, "_block")
+    # NULLs go here rather than in a join later: both uses of the layout then share it.
+    for name in dict.fromkeys([*keys, order]):
+        if rows.schema[name].nullable:
+            rows = rows.filter(F.col(name).isNotNull())
+    blocks_of = F.coalesce(F.expr(f"`{order}` div {int(block)}"), F.lit(0).cast("long"))
+    laid = rows.withColumn("_block", blocks_of).repartition(*keys, "_block")
     near = Window.partitionBy(*keys, "_block").orderBy(order)
     upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     far = Window.partitionBy(*keys).orderBy("_block")

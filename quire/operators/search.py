@@ -46,7 +46,8 @@ def exact_lookup(documents: DataFrame, numbers: Sequence[str], value: str, **fil
 def chunks(documents: DataFrame, ident: str, text: str, lines_per_chunk: int = 20, profile: str = "target") -> DataFrame:
     """Document chunks of whole lines, keyed (document, index), without a shuffle."""
     step = int(lines_per_chunk)
-    cut = documents.select(F.col(ident), lines(F.col(text), profile).alias("_lines")).filter(F.size("_lines") > 0)
-    starts = F.sequence(F.lit(1), F.size("_lines"), F.lit(step))
+    cut = documents.select(F.col(ident), lines(F.col(text), profile).alias("_lines"))
+    none = F.array().cast("array<int>")
+    starts = F.when(F.size("_lines") > 0, F.sequence(F.lit(1), F.size("_lines"), F.lit(step))).otherwise(none)
     parts = F.transform(starts, lambda s: F.array_join(F.slice(F.col("_lines"), s, F.lit(step)), "\n"))
     return cut.select(F.col(ident), F.posexplode(parts).alias("chunk_index", "chunk_text"))

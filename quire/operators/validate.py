@@ -94,10 +94,12 @@ def edge_rules(edges: DataFrame, start: str, end: str, kind: str) -> DataFrame:
 
 def equal_counts(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
     """Two counts side by side and whether they agree."""
-    a = left.agg(F.count(F.lit(1)).alias("left_rows")).withColumn("check", F.lit(name))
-    b = right.agg(F.count(F.lit(1)).alias("right_rows")).withColumn("check", F.lit(name))
-    return a.join(b, "check").select("check", "left_rows", "right_rows",
-                                     (F.col("left_rows") == F.col("right_rows")).alias("valid"))
+    zero = F.lit(0).cast("long")
+    a = left.agg(F.count(F.lit(1)).alias("left_rows")).withColumn("right_rows", zero)
+    b = right.agg(F.count(F.lit(1)).alias("right_rows")).withColumn("left_rows", zero)
+    both = a.unionByName(b).agg(F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"))
+    return both.select(F.lit(name).alias("check"), "left_rows", "right_rows",
+                       (F.col("left_rows") == F.col("right_rows")).alias("valid"))
 
 
 def class_counts(df: DataFrame, label: str, expected: Sequence[tuple[str, int]]) -> DataFrame:

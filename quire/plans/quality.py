@@ -117,8 +117,8 @@ def v10(t: Tables):
     docs = t("documents").select("doc_id", text_hash(F.col("text"), "target").alias("h"))
     pairs = first_wins(docs, "h", "doc_id", "doc_id").filter(~F.col("is_first")).select("doc_id", "canonical_id")
     register = t("documents").filter(F.col("lang") == "en").select("doc_id")
-    open_pairs = pairs.join(register, "doc_id", "left_anti")
-    return V.row_rules(open_pairs, "doc_id", [V.Rule("unregistered_duplicate", F.lit(True), F.col("canonical_id"))])
+    flagged = pairs.join(register.withColumn("known", F.lit(True)), "doc_id", "left")
+    return V.row_rules(flagged, "doc_id", [V.Rule("unregistered_duplicate", F.col("known").isNull(), F.col("canonical_id"))])
 
 
 @plan("v11_conditional_rules", """

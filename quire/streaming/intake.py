@@ -41,13 +41,22 @@ def newest(spark: SparkSession, batch: DataFrame, ident: str) -> int | None:
     return batch.agg(F.max(ident)).first()[0]
 
 
+def touched(history: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The part of a log that concerns this batch.
+
+    The batch's keys meet the log in a semi join: the log is read, by column, but not
+    shuffled as long as a batch's keys fit a broadcast, which the optimizer checks.
+    """
+    return history.join(batch.select(key).distinct(), key, "left_semi")
+
+
 def latest_registered(rows: DataFrame, digest: str, order: str, ident: str, register: DataFrame | None,
                       block: int = BLOCK) -> DataFrame:
     """Each row with the most recent earlier row of the same hash, in the batch or before it."""
     near = in_order(rows, [digest], order, previous={"canonical_id": ident}, block=block)
     if register is None:
         return near
-    known = register.groupBy(digest).agg(F.max_by(ident, F.struct("batch_id", order)).alias("_known"))
+    known = touched(register, rows, digest).groupBy(digest).agg(F.max_by(ident, F.struct("batch_id", order)).alias("_known"))
     joined = lookup(near, known, [digest], [order])
     return joined.withColumn("canonical_id", F.coalesce("canonical_id", "_known")).drop("_known")
 
@@ -91,7 +100,7 @@ class Intake:
             fresh = fresh.unionByName(last)
         done = self.before("register", number)
         if done is not None:
-            fresh = fresh.join(done.select(self.ident), self.ident, "left_anti")
+            fresh = fresh.join(touched(done.select(self.ident), fresh, self.ident), self.ident, "left_anti")
         return fresh
 
     def process(self, batch: DataFrame, number: int) -> None:
@@ -138,7 +147,7 @@ class Processor:
         earlier = None if done is None else done.filter(F.col("batch_id") < number)
         rows = batch
         if earlier is not None:
-            rows = rows.join(earlier.select(self.source).distinct(), self.source, "left_anti")
+            rows = rows.join(touched(earlier.select(self.source), batch, self.source), self.source, "left_anti")
         rows = cut(rows)
         if rows.isEmpty():
             return
@@ -148,7 +157,7 @@ class Processor:
         first = first_wins(order, self.digest, self.ident, "_order").select(self.ident, "canonical_id")
         judged = rows.join(first, self.ident)
         if earlier is not None:
-            known = earlier.groupBy(self.digest).agg(F.min_by(self.ident, F.struct("batch_id", self.ident)).alias("_known"))
+            known = touched(earlier, rows, self.digest).groupBy(self.digest).agg(F.min_by(self.ident, F.struct("batch_id", self.ident)).alias("_known"))
             judged = lookup(judged, known, [self.digest], [self.ident]).withColumn(
                 "canonical_id", F.coalesce("_known", "canonical_id")).drop("_known")
         other = F.col("canonical_id") != F.col(self.ident)
