@@ -32,6 +32,10 @@ def canonical(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
 
 def compare(spark, con, key: str, folder: str) -> tuple[bool, str, int]:
     df = contract.queries()[key](spark, folder)
+    return compare_frame(con, key, df)
+
+
+def compare_frame(con, key: str, df) -> tuple[bool, str, int]:
     mine = canonical(df.columns, [tuple(r) for r in df.collect()])
     sql = contract.oracle_sql().get(key)
     if sql is None:

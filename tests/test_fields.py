@@ -122,8 +122,8 @@ def test_urls(spark):
     assert one(spark, drive, urls.canonical_url) == "https://drive.google.com/uc?export=download&id=abc"
     sheet = "https://docs.google.com/spreadsheets/d/k1/edit"
     assert one(spark, sheet, urls.canonical_url) == "https://docs.google.com/spreadsheets/d/k1/export?format=xlsx"
-    assert one(spark, "moj-judgments-1434-volume-11.pdf", urls.volume_of) == 11
-    assert one(spark, "moj-judgments-1434-volume-11.pdf", urls.year_of) == "1434"
+    assert one(spark, "judgments-1434-volume-11.pdf", urls.volume_of) == 11
+    assert one(spark, "judgments-1434-volume-11.pdf", urls.year_of) == "1434"
 
 
 def test_entities_like_the_standard(spark):

@@ -19,7 +19,7 @@ def page(deed, n, court="نظرت المحكمة العامة بالرياض، 
 
 
 def volumes():
-    v1, v2 = "moj-judgments-1434-volume-1.pdf", "moj-judgments-1434-volume-2.pdf"
+    v1, v2 = "judgments-1434-volume-1.pdf", "judgments-1434-volume-2.pdf"
     return [
         (v1, 1, "غلاف" + FILLER), (v1, 2, page(11111, 1)), (v1, 3, "تتمة أولى"), (v1, 4, page(22222, 2)),
         (v1, 5, f"رقم الصك 33333 بتاريخ 1434/2/6{FILLER}"), (v1, 6, "بلا عنوان"), (v1, 7, page(44444, 3, "")), (v1, 8, ""),
