@@ -73,13 +73,13 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], by: Sequence[
            fan: int = FAN) -> DataFrame:
     """Join rows to a table holding each key once, however skewed the rows are.
 
-    The distinct keys of the rows meet the table first, one row per key on both
-    sides; the match then travels to the salts in use.
+    The distinct (key, salt) pairs of the rows meet the table first, at most ``fan`` of a
+    key; the match then travels to the salts in use.
     """
     laid = spread(rows, keys, by, fan)
-    used = laid.groupBy(*keys).agg(F.collect_set(salt_of(by, fan)).alias("_salts"))
+    # Grouping by the ids' salt, not by the column, keeps the ids in the shared exchange.
+    used = laid.groupBy(*keys, salt_of(by, fan).alias("_salt")).agg(F.lit(1).alias("_one")).drop("_one")
     matched = used.join(table, [*keys], "left" if how == "left" else "inner")
-    matched = matched.withColumn("_salt", F.explode("_salts")).drop("_salts")
     if how == "left_semi":
         matched = matched.select(*keys, "_salt")
     return laid.join(matched, [*keys, "_salt"], how).drop("_salt")
