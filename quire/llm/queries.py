@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import host_rules
 from .common import documents, scratch
 
 
@@ -19,8 +21,24 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_recurring_lines
+
+    text = F.coalesce("text", F.lit(""))
+    kept = drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines_kept"), "n_lines_dropped", F.sha2(text, 256).alias("text_sha256"))
+
+
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(documents(spark, sf_dir)).select(*host_rules.COLUMNS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_host_rules": op5_host_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_host_rules": host_rules.ORACLE,
+}
