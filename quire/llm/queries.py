@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules
-from .common import documents, scratch
+from .common import documents, fold, scratch
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    part = fold(F.col("doc_id"), 5)
+    use = F.when((part == 0) | F.col("lang").isNull(), 0).when(part == 4, 2).otherwise(1)
+    found = identify(documents(spark, sf_dir), use)
+    return found.select("doc_id", (part == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +43,7 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
     "op4_line_dedup": op4_line_dedup,
     "op5_host_rules": op5_host_rules,
