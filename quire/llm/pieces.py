@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -16,7 +17,7 @@ class PieceEncoder:
     ``most`` of them or ``room`` bytes; then the table starts again, so that memory is bounded.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[list[int]]], dtype: str, most: int = 300_000, room: int = 32 << 20):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[list[int]]], dtype: str, most: int = 1_200_000, room: int = 64 << 20):
         self.split, self.encode, self.dtype, self.most, self.room = split, encode, np.dtype(dtype), most, room
         self.known: dict[str, bytes] = {}
         self.held = 0
@@ -25,11 +26,12 @@ class PieceEncoder:
         if len(self.known) > self.most or self.held > self.room:
             self.known.clear()
             self.held = 0
+        code = "H" if self.dtype.itemsize == 2 else "I"
         new = [p for p in pieces if p not in self.known]
         for begin in range(0, len(new), 20_000):
             part = new[begin : begin + 20_000]
             for piece, ids in zip(part, self.encode(part), strict=True):
-                self.known[piece] = np.array(ids, self.dtype).tobytes()
+                self.known[piece] = array(code, ids).tobytes()
                 self.held += len(piece) + len(self.known[piece])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
