@@ -42,11 +42,18 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(documents(spark, sf_dir)).select(*host_rules.COLUMNS)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicate_groups
+
+    return near_duplicate_groups(documents(spark, sf_dir), words=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
     "op4_line_dedup": op4_line_dedup,
     "op5_host_rules": op5_host_rules,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {
