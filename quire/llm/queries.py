@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules
+from ..session import table
 from .common import documents, fold, scratch
 
 
@@ -48,12 +49,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(documents(spark, sf_dir), words=3)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
     "op4_line_dedup": op4_line_dedup,
     "op5_host_rules": op5_host_rules,
     "op7_simhash": op7_simhash,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
