@@ -32,7 +32,7 @@ from .common import LOWER, ascii_words, cut, map_arrow, text_batches
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 23
 BLOCKS, ERRORS = 8, 2
-FOUND = "doc_id bigint, item_id bigint, start_word bigint, similarity double"
+FOUND = "doc_id bigint, item_id bigint, start_word bigint, similarity double, text_key bigint"
 
 _SEED = np.random.default_rng(11)
 BYTE_VALUES = _SEED.integers(1, 1 << 64, 256, np.uint64)
@@ -180,7 +180,7 @@ def matches(items: Items, w: Words, a: int, b: int, shingles: np.ndarray, hits:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, item_id, start_word, similarity: the best window of every document for every item it contains."""
+    """doc_id, item_id, start_word, similarity, text_key (hash of the text): the best window of every document for every item it contains."""
     texts = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
@@ -218,15 +218,16 @@ def against(docs: DataFrame, ids: list, texts: list[str], radius: int, least: fl
                     known = np.minimum(np.searchsorted(items.shingles, shingles), len(items.shingles) - 1)
                     hits = np.flatnonzero(items.shingles[known] == shingles)
                     if len(hits):
-                        rows += [(part["doc_id"][d], items.ids[i], s, x) for i, s, x in matches(items, w, a, b, shingles, hits, radius, least)]
+                        rows += [(part["doc_id"][d], items.ids[i], s, x, part["text_key"][d]) for i, s, x in matches(items, w, a, b, shingles, hits, radius, least)]
             if rows:
-                doc, item, start, sim = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(sim, pa.float64())], ["doc_id", "item_id", "start_word", "similarity"])
+                doc, item, start, sim, key = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(sim, pa.float64()), pa.array(key, pa.int64())], ["doc_id", "item_id", "start_word", "similarity", "text_key"])
 
-    return map_arrow(docs.select("doc_id", "text"), body, FOUND)
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), body, FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
-    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    found = contaminated(docs, benchmark)
+    bad = cut(found.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct())
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_key"]), "left_anti")

@@ -49,10 +49,24 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(documents(spark, sf_dir), words=3)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_codec import encode_documents
+
+    return encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), check_whole=F.col("doc_id") % 100 == 0, with_ids=False)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contaminated
 
-    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -61,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_host_rules": op5_host_rules,
     "op7_simhash": op7_simhash,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {

@@ -63,14 +63,14 @@ def fingerprint(text: str, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and fp (signed 64 bits) of every row."""
+    """doc_id, text_key (hash of the text) and fp (signed 64 bits) of every row."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_batches(batches):
             fps = np.array([fingerprint(t or "", words) for t in part["text"]], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part["doc_id"], pa.int64()), "fp": pa.array(fps.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part["doc_id"], pa.int64()), "text_key": pa.array(part["text_key"], pa.int64()), "fp": pa.array(fps.view(np.int64))})
 
-    return map_arrow(docs.select("doc_id", "text"), body, "doc_id bigint, fp bigint")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), body, "doc_id bigint, text_key bigint, fp bigint")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -223,14 +223,25 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS, room: int = ROOM) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (least doc_id of the group) for every row."""
+def grouped(docs: DataFrame, words: int = 3, radius: int = RADIUS, room: int = ROOM) -> DataFrame:
+    """doc_id, text_key, fp, root (least fingerprint of the group) and component_id (its least doc_id) for every row."""
     marked = cut(fingerprints(docs, words))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(distinct.select("fp"), radius, room))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(heads, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(placed.join(heads, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS, room: int = ROOM) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (least doc_id of the group) for every row."""
+    return grouped(docs, words, radius, room).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = RADIUS, room: int = ROOM) -> DataFrame:
+    """One row of each group, with all its columns: of the least doc_id (a null one last), and there of the least text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("head")
+    heads = cut(grouped(docs, words, radius, room).groupBy("root").agg(first).select(F.col("head.doc_id").alias("head_id"), F.col("head.text_key").alias("head_key")).distinct())
+    keyed = docs.withColumn("head_text", F.xxhash64("text"))
+    kept = keyed.join(heads, keyed["doc_id"].eqNullSafe(heads["head_id"]) & (keyed["head_text"] == heads["head_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "head_text"]).select(*docs.columns)
