@@ -49,6 +49,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(documents(spark, sf_dir), words=3)
 
 
+def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_documents
+
+    scored = score_documents(documents(spark, sf_dir), fold(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_host_rules": op5_host_rules,
     "op7_simhash": op7_simhash,
+    "op8_hmm_score": op8_hmm_score,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
     "pipeline": pipeline,
