@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, map_arrow
 
 WILD = "<*>"
 LEADING, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 5, 10, 0.7
@@ -49,7 +49,13 @@ def parsed(text: Column, leading: int, min_tokens: int) -> Column:
     return F.filter(lines, lambda x: x["leaf"].isNotNull())
 
 
-def recurring_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def dealt_out(docs: DataFrame) -> DataFrame:
+    """The documents by a hash of their id, once for all that joins them."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.withColumn("deal", F.xxhash64("doc_id")).repartition(parts, "deal")
+
+
+def recurring_lines(docs: DataFrame, dealt: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and the hashes of the masked lines that go from it; documents that keep all their lines are not listed."""
     lines = docs.select("doc_id", F.explode(F.array_distinct(parsed(F.col("text"), leading, min_tokens))).alias("x")).select("doc_id", "x.*")
     # Leaves that enough documents visit; a template cannot recur more often than its leaf.
@@ -59,9 +65,11 @@ def recurring_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = M
     # Equal lines collapse before their tokens are looked at; the texts of only these lines are needed.
     known = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
     wanted = known.groupBy("doc_id").agg(F.collect_set("h").alias("wanted"))  # at most the lines of the document
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted")
+    asked = dealt.join(wanted.withColumn("wanted_key", F.xxhash64("doc_id")).withColumnRenamed("doc_id", "wanted_id"), (F.col("deal") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    # An opaque step takes all columns, so that this and the final join read one and the same exchange of the texts.
+    texts = map_arrow(asked, lambda batches: (b.select(["text", "wanted"]) for b in batches), "text string, wanted array<bigint>")
     found = texts.select(F.explode(F.filter(parsed(F.col("text"), leading, min_tokens), lambda x: F.array_contains(F.col("wanted"), x["h"]))).alias("x")).select("x.*")
-    shapes = cut(found.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line")).join(known.select("h", "n"), "h"))
+    shapes = found.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line")).join(known.select("h", "n"), "h")
     tokens = shapes.select("h", "leaf", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).drop("m")
     held = tokens.join(constant.withColumn("held", F.lit(True)), ["leaf", "pos", "token"], "left")
@@ -81,8 +89,9 @@ def recurring_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = M
 
 def drop_recurring_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """All rows and columns of ``docs``, texts without the lines whose template recurs, and n_lines_dropped."""
-    gone = recurring_lines(docs, leading, min_tokens, min_docs, similarity).withColumnRenamed("doc_id", "gone_id")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
+    dealt = dealt_out(docs)
+    gone = recurring_lines(docs, dealt, leading, min_tokens, min_docs, similarity).withColumnRenamed("doc_id", "gone_id").withColumn("gone_key", F.xxhash64("gone_id"))
+    joined = dealt.join(gone, (F.col("deal") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
 
     def stays(line: Column) -> Column:
         return ~F.array_contains(F.col("dropped"), F.xxhash64(masked(line)))
@@ -92,5 +101,5 @@ def drop_recurring_lines(docs: DataFrame, leading: int = LEADING, min_tokens: in
 
     new = F.when(F.col("dropped").isNotNull(), let(F.split("text", "\n", -1), rebuilt))
     out = joined.withColumn("dropped_lines", F.explode(F.array(new)))
-    rest = [docs[c] if c != "text" else F.coalesce("dropped_lines.text", docs["text"]).alias("text") for c in docs.columns]
+    rest = [F.col(c) if c != "text" else F.coalesce("dropped_lines.text", "text").alias("text") for c in docs.columns]
     return out.select(*rest, F.coalesce("dropped_lines.n", F.lit(0).cast("long")).alias("n_lines_dropped"))
