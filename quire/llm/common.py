@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, scratch, table
 
-__all__ = ["ascii_words", "cut", "documents", "fold", "keyed_texts", "let", "map_arrow", "open_store", "scratch", "text_batches"]
+__all__ = ["ascii_words", "cut", "documents", "fold", "keyed_texts", "let", "map_arrow", "open_store", "scratch", "stretches_of", "text_batches"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,11 @@ def ascii_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def stretches_of(first: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Begin and end of each stretch of n rows, given the first row of each."""
+    return list(zip(first.tolist(), [*first[1:].tolist(), n], strict=True)) if len(first) else []
+
+
 def open_store(uri: str):
     """A file system and a path in it, for tasks that write files of their own format to the shared folder."""
     from pyarrow import fs

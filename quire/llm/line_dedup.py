@@ -10,7 +10,7 @@ so that of a passage which many documents copied one copy stays.
 
 Lines are split at a line feed. Lines of fewer than ``min_tokens`` tokens, blank ones included, are
 kept. A null text stays null, an empty one empty. Rows that share a doc_id, null included, count as
-one document and take the same decisions. Other columns pass through. An empty table gives an empty
+one document and take the same decisions. Other columns pass through (one named n_lines_dropped is replaced). An empty table gives an empty
 table.
 
 Nothing is grouped into one task: leaves, tokens and templates are counted with partial aggregation,
@@ -50,9 +50,10 @@ def parsed(text: Column, leading: int, min_tokens: int) -> Column:
 
 
 def dealt_out(docs: DataFrame) -> DataFrame:
-    """The documents by a hash of their id, once for all that joins them."""
+    """The documents by a hash of their id, once for all that joins them; other columns wait in one, so that no name clashes."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.withColumn("deal", F.xxhash64("doc_id")).repartition(parts, "deal")
+    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_"))
+    return docs.select("doc_id", "text", others.alias("others"), F.xxhash64("doc_id").alias("deal")).repartition(parts, "deal")
 
 
 def recurring_lines(docs: DataFrame, dealt: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
@@ -101,5 +102,6 @@ def drop_recurring_lines(docs: DataFrame, leading: int = LEADING, min_tokens: in
 
     new = F.when(F.col("dropped").isNotNull(), let(F.split("text", "\n", -1), rebuilt))
     out = joined.withColumn("dropped_lines", F.explode(F.array(new)))
-    rest = [F.col(c) if c != "text" else F.coalesce("dropped_lines.text", "text").alias("text") for c in docs.columns]
+    own = {"doc_id": F.col("doc_id"), "text": F.coalesce("dropped_lines.text", "text").alias("text")}
+    rest = [own[c] if c in own else F.col("others")[c].alias(c) for c in docs.columns if c != "n_lines_dropped"]
     return out.select(*rest, F.coalesce("dropped_lines.n", F.lit(0).cast("long")).alias("n_lines_dropped"))

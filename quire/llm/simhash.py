@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, text_batches
+from .common import cut, map_arrow, stretches_of, text_batches
 
 SEED, BITS = 42, 64
 RADIUS, ROOM = 3, 4096
@@ -180,8 +180,8 @@ def grouped_links(members: DataFrame, radius: int, parts: int) -> DataFrame:
 
         for batch in batches:
             fp, mask, value = (batch.column(c).to_numpy() for c in ("fp", "mask", "value"))
-            edge = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])) if len(fp) else []
-            for a, b in zip(edge, [*edge[1:], len(fp)], strict=True):
+            edge = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])) if len(fp) else fp
+            for a, b in stretches_of(edge, len(fp)):
                 if key != (mask[a], value[a]):
                     close()
                     key, held = (mask[a], value[a]), []
@@ -242,6 +242,6 @@ def one_of_each(docs: DataFrame, words: int = 3, radius: int = RADIUS, room: int
     """One row of each group, with all its columns: of the least doc_id (a null one last), and there of the least text hash."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("head")
     heads = cut(grouped(docs, words, radius, room).groupBy("root").agg(first).select(F.col("head.doc_id").alias("head_id"), F.col("head.text_key").alias("head_key")).distinct())
-    keyed = docs.withColumn("head_text", F.xxhash64("text"))
-    kept = keyed.join(heads, keyed["doc_id"].eqNullSafe(heads["head_id"]) & (keyed["head_text"] == heads["head_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "head_text"]).select(*docs.columns)
+    packed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct(*docs.columns).alias("row"))
+    kept = packed.join(heads, packed["doc_id"].eqNullSafe(heads["head_id"]) & (packed["text_key"] == heads["head_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])

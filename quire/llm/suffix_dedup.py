@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, map_arrow, open_store, scratch, text_batches
+from .common import keyed_texts, map_arrow, open_store, scratch, stretches_of, text_batches
 
 LENGTH, GRAM, SPAN = 100, 40, 8
 REACH = LENGTH - GRAM
@@ -57,7 +57,7 @@ def pack(columns: dict[str, np.ndarray], layout: dict[str, str]) -> bytes:
     out = []
     for name, kind in layout.items():
         a = np.ascontiguousarray(columns[name], dtype=kind)
-        out.append(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+        out.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
     return b"".join(out)
 
 
@@ -195,7 +195,7 @@ def prepare(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             by = np.argsort(bucket, kind="stable")
             kept, bucket = kept[by], bucket[by]
             edge = np.flatnonzero(firsts(bucket))
-            for a, b in zip(edge, [*edge[1:], len(kept)], strict=True):
+            for a, b in stretches_of(edge, len(kept)):
                 x = kept[a:b]
                 data_ = pack({"key": key[x].astype(np.uint64), "seg": seg[x], "doc": own[of[x]], "at": at[x], "of": of[x], "n": n[x], "d": d[x]}, SEGMENT)
                 rows.append((ASKED, int(bucket[a]), block, None, data_))
@@ -222,8 +222,8 @@ def prepare(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
 
 def by_block(blocks: np.ndarray, columns: dict[str, np.ndarray], layout: dict[str, str], kind: int) -> list[tuple]:
     order = np.argsort(blocks, kind="stable")
-    edge = np.flatnonzero(firsts(blocks[order])) if len(order) else []
-    return [(kind, 0, int(blocks[order[a]]), None, pack({k: c[order[a:b]] for k, c in columns.items()}, layout)) for a, b in zip(edge, [*edge[1:], len(order)], strict=True)]
+    edge = np.flatnonzero(firsts(blocks[order]))
+    return [(kind, 0, int(blocks[order[a]]), None, pack({k: c[order[a:b]] for k, c in columns.items()}, layout)) for a, b in stretches_of(edge, len(order))]
 
 
 def settle_segments(sent: DataFrame, buckets: int) -> DataFrame:
@@ -313,7 +313,7 @@ def cut_pieces(asked: DataFrame, folder: str, buckets: int) -> DataFrame:
         bucket = (hashes >> np.uint64(8)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         edge = np.flatnonzero(firsts(bucket[order]))
-        yield moved([(ASKED, int(bucket[order[s]]), block, None, pack({k: c[order[s:e]] for k, c in columns.items()}, PIECE)) for s, e in zip(edge, [*edge[1:], len(order)], strict=True)])
+        yield moved([(ASKED, int(bucket[order[s]]), block, None, pack({k: c[order[s:e]] for k, c in columns.items()}, PIECE)) for s, e in stretches_of(edge, len(order))])
 
     return per_block(asked, buckets, body, MOVED)
 
