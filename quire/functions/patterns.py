@@ -99,6 +99,21 @@ WHOLE_FILE_KINDS = [
     ("decision", "قرار"), ("principle", "مبدأ قضائي"), ("precedent", "سابقة قضائية"),
 ]
 
+# --- fixed values: fields and types of imported records -------------------------
+IMPORT_PATTERNS = {
+    "deed_number": [r"رقم\s*الصك\s*[:：\-]?\s*([0-9/\-]{3,30})"],
+    "judgment_number": [r"رقم\s*الحكم\s*[:：\-]?\s*([0-9/\-]{3,30})"],
+    "lawsuit_number": [r"رقم\s*(?:القضية|الدعوى)\s*[:：\-]?\s*([0-9/\-]{3,30})"],
+    "circular_number": [r"تعميم\s*(?:رقم)?\s*[:：\-]?\s*([0-9/\-]{2,30})"],
+    "decision_number": [r"قرار\s*(?:رقم)?\s*[:：\-]?\s*([0-9/\-]{2,30})"],
+    "court": [r"((?:المحكمة|محكمة)\s+[^\n،؛]{3,120})"],
+    "circuit": [r"(الدائرة\s+[^\n،؛]{2,100})"],
+    "date": [r"(1[34][0-9]{2}\s*[/\-]\s*[0-9]{1,2}\s*[/\-]\s*[0-9]{1,2})",
+             r"([0-9]{1,2}\s*[/\-]\s*[0-9]{1,2}\s*[/\-]\s*1[34][0-9]{2})"],
+}
+DOCUMENT_TYPES = ["حكم قضائي", "حكم قضائي دولي", "تعميم", "قرار", "مبدأ قضائي", "سابقة قضائية", "نظام أو لائحة",
+                  "مرجع قانوني", "بحث قانوني", "وثيقة قانونية"]
+
 # --- fixed values: hosts and limits -------------------------------------------
 OFFICIAL_HOSTS = ["moj.gov.sa", "laws.moj.gov.sa", "bog.gov.sa", "saip.gov.sa"]
 COLLECTOR_HOSTS = OFFICIAL_HOSTS + ["uqn.gov.sa"]

@@ -35,6 +35,7 @@ def keep_specific(label: Column, generic: Sequence[str], inferred: Column) -> Co
     return F.when((known != "") & ~known.isin(*generic), known).otherwise(inferred)
 
 
+# --- fixed values: the word lists, labels and names below must equal the archive's conventions.
 def library_type(text: Column) -> Column:
     """Type of a library text from its normalised words."""
     return ladder(

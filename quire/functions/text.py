@@ -41,9 +41,12 @@ PLAIN = r"^[\x00-\x7F\u00C0-\u00FF]*+$"
 # Anything outside goes through the Arrow function; a test proves the ranges.
 STABLE = (
     r"\x00-\x9F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131"
-    r"\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u0621-\u063A\u0640-\u064A\u0660-\u066D"
+    r"\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u060C\u061B\u061F\u0621-\u063A\u0640-\u064A\u0660-\u066D"
     r"\u06F0-\u06F9\u200E\u200F\u2012-\u2016\u2018-\u2023\u202A-\u202E\u2066-\u2069\u20AC"
 )
+# Marks that compose with nothing, only change places among themselves, and are dropped by the
+# next step of the normaliser anyway. U+0653-0655 are not among them: they compose with letters.
+DROPPED = r"\u0610-\u061A\u064B-\u0652\u0656-\u065F\u0670"
 
 
 def arrow_map(change: Callable[[str], str]):
@@ -60,9 +63,12 @@ _compose = arrow_map(partial(unicodedata.normalize, "NFKC"))
 _fold_case = arrow_map(str.casefold)
 
 
-def compose(col: Column) -> Column:
-    """NFKC. Only texts holding a character that could change travel to Python."""
-    stays = col.rlike(PLAIN) | col.rlike(f"^[{STABLE}]*+$")
+def compose(col: Column, marks_go: bool = False) -> Column:
+    """NFKC. Only texts holding a character that could change travel to Python.
+
+    ``marks_go``: vowel marks are dropped next, so their places among each other do not matter.
+    """
+    stays = col.rlike(PLAIN) | col.rlike(f"^[{STABLE}{DROPPED if marks_go else ''}]*+$")
     return F.coalesce(_compose(F.when(~stays, col)), col)
 
 
@@ -88,7 +94,7 @@ def _clean(col: Column, rules: Profile) -> Column:
     ascii_digits = P.ASCII_DIGITS * (len(rules.digits) // 10)
     # The intersection with one range rejects most letters on the first comparison.
     marks = f"[\\u0610-\\uFEFF&&[{rules.bidi[1:-1]}{P.DIACRITICS[1:-1]}]]"
-    other = F.translate(compose(text), rules.digits, ascii_digits)
+    other = F.translate(compose(text, marks_go=True), rules.digits, ascii_digits)
     other = F.replace(F.regexp_replace(other, marks, ""), F.lit(P.TATWEEL), F.lit(rules.tatweel))
     if rules.repair:
         other = repair_glyph_order(other)

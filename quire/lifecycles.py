@@ -132,8 +132,12 @@ def extract_cases(pages: DataFrame, *, reference_only: tuple[str, ...] = (), pie
     titled = spans.filter(F.col("subject").isNotNull())
     fate = dedup.greedy(titled.select("_key", F.col("_key").alias("_order"), "id", "text_hash"), "_key", "_order", ["id", "text_hash"])
     judged = cut(spans.join(fate, "_key", "left"))
-    reason = F.when(F.col("subject").isNull(), "missing_source_subject").when(F.col("method") == "id", "duplicate_record_id")
-    skipped = judged.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("id", src, "start_page", "end_page", "reason")
+    # The id is looked at first, also of a span without a subject: an earlier accepted record may hold it.
+    holders = judged.filter(F.col("status") == "accepted").groupBy("id").agg(F.min("_key").alias("_held"))
+    looked = judged.join(holders, "id", "left")
+    repeated = (F.col("method") == "id") | (F.col("subject").isNull() & F.coalesce(F.col("_held") < F.col("_key"), F.lit(False)))
+    reason = F.when(repeated, "duplicate_record_id").when(F.col("subject").isNull(), "missing_source_subject")
+    skipped = looked.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("id", src, "start_page", "end_page", "reason")
     owners = judged.select(F.col("_key").alias("canonical_id"), F.col("id").alias("_canonical"))
     duplicates = judged.filter(F.col("method") == "text_hash").join(owners, "canonical_id").select(
         F.col("id").alias("candidate_id"), src, "start_page", "end_page", "text_hash",
@@ -163,19 +167,6 @@ def extract_cases(pages: DataFrame, *, reference_only: tuple[str, ...] = (), pie
     return Cases(records, duplicates, skipped, members, log, texts)
 
 
-IMPORT_PATTERNS = {
-    "deed_number": [r"رقم\s*الصك\s*[:：\-]?\s*([0-9/\-]{3,30})"],
-    "judgment_number": [r"رقم\s*الحكم\s*[:：\-]?\s*([0-9/\-]{3,30})"],
-    "lawsuit_number": [r"رقم\s*(?:القضية|الدعوى)\s*[:：\-]?\s*([0-9/\-]{3,30})"],
-    "circular_number": [r"تعميم\s*(?:رقم)?\s*[:：\-]?\s*([0-9/\-]{2,30})"],
-    "decision_number": [r"قرار\s*(?:رقم)?\s*[:：\-]?\s*([0-9/\-]{2,30})"],
-    "court": [r"((?:المحكمة|محكمة)\s+[^\n،؛]{3,120})"],
-    "circuit": [r"(الدائرة\s+[^\n،؛]{2,100})"],
-    "date": [r"(1[34][0-9]{2}\s*[/\-]\s*[0-9]{1,2}\s*[/\-]\s*[0-9]{1,2})",
-             r"([0-9]{1,2}\s*[/\-]\s*[0-9]{1,2}\s*[/\-]\s*1[34][0-9]{2})"],
-}
-
-
 def split_library(payloads: DataFrame) -> DataFrame:
     """Landed texts (id, text) to independent documents (id, part, document_type, text)."""
     ready = payloads.select("id", normalise(F.col("text"), "library").alias("_t"))
@@ -205,19 +196,22 @@ def import_library(records: DataFrame, order: str = "ord") -> Import:
     only raises a candidate.
     """
     given = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
-    ready = records.withColumn("_t", normalise(F.col("text"), "library"))
-    fields = {n: F.coalesce(X.either(given(n), X.first_match(F.col("_t"), p)), F.lit("")) for n, p in IMPORT_PATTERNS.items()}
+    ready = records.withColumn("_t", normalise(F.col("text"), "deposit"))
+    told = lambda c: none_if_empty(normalise(given(c).cast("string"), "deposit"))
+    numbers = {n: told(n) for n in P.IMPORT_PATTERNS} | {"lawsuit_number": F.coalesce(told("lawsuit_number"), told("case_number"))}
+    fields = {n: F.coalesce(X.either(numbers[n], X.first_match(F.col("_t"), p)), F.lit("")) for n, p in P.IMPORT_PATTERNS.items()}
     rich = ready.select(
-        "id", order, rules.verified_type(given("document_type"), F.col("_t")).alias("document_type"),
-        X.either(given("title"), F.substring("_t", 1, 220)).alias("title"), F.col("text").alias("extracted_text"),
+        "id", order, rules.verified_type(told("document_type"), F.col("_t")).alias("document_type"),
+        X.either(told("title"), F.substring("_t", 1, 220)).alias("title"), F.col("text").alias("extracted_text"),
         (F.col("_t") != "").alias("_has_text"), sha256(F.col("_t")).alias("text_checksum"),
-        *[F.coalesce(F.trim(given(c)), F.lit("")).alias(c) for c in ("source_checksum", "source_url", "source_file")],
+        F.coalesce(told("source_checksum"), F.lit("")).alias("source_checksum"),
+        *[F.coalesce(F.trim(given(c)), F.lit("")).alias(c) for c in ("source_url", "source_file")],
         given("year").alias("_year"), F.substring("_t", 1, 1000).alias("_top"), *[c.alias(n) for n, c in fields.items()])
-    dated = X.first_match(F.concat_ws(" ", "date", "_top"), [r"\b(1[34][0-9]{2})\b"])
+    dated = X.first_match(F.concat_ws(" ", "date", "_top"), [r"(?U)\b(1[34][0-9]{2})\b"])
     rich = cut(rich.withColumn("year", F.coalesce(X.either(F.col("_year"), dated), F.lit(""))).drop("_year", "_top"))
 
     reason = F.when(~F.col("_has_text"), "missing_extracted_text").when(
-        (F.coalesce("title", F.lit("")) == "") | (F.col("source_checksum") == "")
+        V.blank(F.col("id")) | (F.coalesce("title", F.lit("")) == "") | (F.col("source_checksum") == "")
         | ((F.col("source_url") == "") & (F.col("source_file") == "")), "missing_required_metadata")
     rejected = rich.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("id", "reason")
     usable = rich.filter(reason.isNull()).drop("_has_text")
@@ -238,18 +232,16 @@ def import_violations(records: DataFrame) -> DataFrame:
     kind = F.col("document_type")
     judgment = kind.isin("حكم قضائي", "حكم قضائي دولي")
     any_of = lambda *cs: reduce(lambda a, b: a | b, [~V.blank(F.col(c)) for c in cs])
-    allowed = ["حكم قضائي", "حكم قضائي دولي", "تعميم", "قرار", "مبدأ قضائي", "سابقة قضائية", "نظام أو لائحة",
-               "مرجع قانوني", "بحث قانوني", "وثيقة قانونية"]
     row = [
         *V.required({c: F.col(c) for c in ("id", "document_type", "title", "text_checksum")}),
-        V.domain("unrecognized_type", kind, allowed),
+        V.domain("unrecognized_type", kind, P.DOCUMENT_TYPES),
         V.pattern("invalid_text_checksum", F.col("text_checksum"), V.HEX64),
         V.implies("judgment_without_number", judgment, any_of("deed_number", "judgment_number", "lawsuit_number"), kind, "warning"),
         V.implies("judgment_without_source", judgment, any_of("source_file", "source_url"), kind),
         V.implies("circular_without_number_and_source", kind == "تعميم", any_of("circular_number", "source_url", "source_file"), kind),
         V.implies("decision_without_number_and_source", kind == "قرار", any_of("decision_number", "source_url", "source_file"), kind, "warning"),
         V.implies("principle_without_source", kind.isin("مبدأ قضائي", "سابقة قضائية"), any_of("source_file", "source_url"), kind),
-        V.Rule("hash_not_recomputable", text_hash(F.col("extracted_text"), "library") != F.col("text_checksum"), F.col("text_checksum")),
+        V.Rule("hash_not_recomputable", text_hash(F.col("extracted_text"), "deposit") != F.col("text_checksum"), F.col("text_checksum")),
     ]
     return V.all_of(V.row_rules(records, "id", row), V.unique(records, ["id"], "duplicate_id"),
                     V.unique(records, ["text_checksum"], "text_checksum_collision", "warning"))

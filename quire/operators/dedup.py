@@ -25,12 +25,16 @@ def key_pairs(records: DataFrame, ident: str, order: str, keys: Sequence[str]) -
 
 
 def first_wins(rows: DataFrame, key: str, ident: str, order: str, fan: int = FAN) -> DataFrame:
-    """The first row of a key stays; every row learns its canonical id."""
+    """The first row of a key stays; every row learns its canonical id. A NULL key is shared with no one."""
     known = attach(
         narrow(rows, ident, order, keys=[key]), [key], [ident],
         [F.min(order).alias("_first"), F.min_by(ident, order).alias("canonical_id")], fan,
     )
-    return known.withColumn("is_first", F.col(order) == F.col("_first")).drop("_first")
+    known = known.withColumn("is_first", F.col(order) == F.col("_first")).drop("_first")
+    if not rows.schema[key].nullable:
+        return known
+    alone = rows.filter(F.col(key).isNull()).withColumns({"canonical_id": F.col(ident), "is_first": F.lit(True)})
+    return known.unionByName(alone.select(*known.columns))
 
 
 def first_seen(rows: DataFrame, ident: str, order: str, exact: str, reference: str, fan: int = FAN) -> DataFrame:

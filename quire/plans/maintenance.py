@@ -114,3 +114,18 @@ def k10(t: Tables):
     labels = {"reference_only": "reference only", "needs_review": "boundaries not proven", "failed": "original failed",
               "indexed": "split: %d searchable", "indexed_none": "split: none searchable"}
     return K.sync_status(register, log, "o_orderkey", "source", "s", "n", labels).select("o_orderkey", "status")
+
+
+@plan("k8_append_log", """
+SELECT 1::BIGINT AS batch_id, event_type, count(*) AS events FROM events WHERE event_type <> 'error' GROUP BY event_type
+UNION ALL SELECT 2, event_type, count(*) FROM events WHERE event_type = 'error' GROUP BY event_type""")
+def k8(t: Tables):
+    """Two batches and an empty one; the first comes twice and counts once."""
+    path = scratch(t.spark, "log")
+    error = F.col("event_type") == "error"
+    K.append_once(t("events").filter(error), path, 1)
+    K.append_once(t("events").filter(~error), path, 1)
+    K.append_once(t("events").filter(error), path, 2)
+    K.append_once(t("events").limit(0), path, 3)
+    logged = K.read_log(t.spark, path).withColumn("batch_id", F.col("batch_id").cast("long"))
+    return logged.groupBy("batch_id", "event_type").agg(F.count(F.lit(1)).alias("events"))

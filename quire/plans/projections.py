@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as X
 from ..functions import ids, urls
-from ..functions.text import lines, normalise, sha256, text_hash
+from ..functions.text import lines, normalise, repair_glyph_order, sha256, text_hash
 from ..operators.ordered import in_order
 from ..operators.segment import span_text
 from .registry import Tables, plan, sql_norm, sql_uuid5
@@ -301,3 +301,13 @@ FROM s WHERE span_no > 0 GROUP BY ALL""")
 def p25(t: Tables):
     pages = t("conversations").select("conv_id", "turn", "text", (F.col("role") == "user").alias("starts"))
     return span_text(pages, "conv_id", "turn", "text", "starts")
+
+
+@plan("p2_glyph_order", """
+SELECT doc_id, sha256(replace(replace(replace(text, ' the ', ' المحكمة '), ' of ', ' الله '), ' and ', ' والحكم ')) AS repaired FROM documents""")
+def p2(t: Tables):
+    """Three common words stand in for words in visual order; the repair must give them in reading order."""
+    text = F.col("text")
+    for word, printed in ((" the ", " احملكمة "), (" of ", " اهلل "), (" and ", " واحلكم ")):
+        text = F.replace(text, F.lit(word), F.lit(printed))
+    return t("documents").select("doc_id", sha256(repair_glyph_order(text)).alias("repaired"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# --- fixed values: the word lists, labels and names below must equal the archive's conventions.
 _DDL = {
     "sources": "id string, name string, source_type string, organization string, url string, channel_url string, "
                "description string, is_official boolean, review_status string, created_at timestamp, updated_at timestamp",

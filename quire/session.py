@@ -32,22 +32,47 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only when nothing names one
-    (tests on one machine) is a folder of our own made and set.
+    (tests on one machine) is a folder of our own made and set; with executors on other
+    machines that would lose data, so there it is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
         named = context.getCheckpointDir()
     if not named:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
 
 
+_MADE: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quire-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/quire-{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path in whatever store it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has made so far, and say how many.
+
+    Results are lazy and read these tables: call it once they are written elsewhere.
+    """
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        delete(spark, path)
+    return len(made)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -119,6 +119,13 @@ def payload_rows(df: DataFrame, payload: str, fields: Mapping[str, str], carry:
     return rows.select(*carry, *[F.col(f).try_cast(kind).alias(f) for f, kind in fields.items()])
 
 
+def payload_items(payloads: DataFrame, items: str, declared: str, carry: Sequence[str] = ()) -> DataFrame:
+    """The items of each payload, as many as it declares. One that holds more than it declares fails the read."""
+    more = F.size(items) > F.col(declared)
+    whole = F.when(more, F.raise_error(F.format_string("a payload of %d items declares %d", F.size(items), declared))).otherwise(F.col(items))
+    return payloads.select(*carry, F.inline(whole))
+
+
 def pages_of(df: DataFrame, ident: str, text: str, count: Column, separator: str = "\f") -> DataFrame:
     """Page rows of a text: cut at the separator, truncated or padded to the page count."""
     parts = F.split(F.col(text), separator)
@@ -128,6 +135,13 @@ def pages_of(df: DataFrame, ident: str, text: str, count: Column, separator: str
     )
 
 
+def pages_beyond(df: DataFrame, ident: str, text: str, count: Column, separator: str = "\f") -> DataFrame:
+    """The pages that ``pages_of`` leaves out because the text has more than its page count."""
+    pages = df.select(F.col(ident), count.alias("_n"), F.posexplode(F.split(F.col(text), separator)).alias("_p", "page_text"))
+    past = F.coalesce(F.col("_p") >= F.col("_n"), F.lit(True))
+    return pages.filter(past).select(ident, (F.col("_p") + 1).alias("page_no"), "page_text")
+
+
 # --- fixed values: markup of the channel preview pages ------------------------
 MESSAGE = (
     r'(?s)(<div class="tgme_widget_message[^>]*?data-post="[^"?#]+(?:[^>]*)>'

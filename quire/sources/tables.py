@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import greedy
 from ..operators.keyed import attach, lookup
 from ..operators.ordered import BLOCK, number_batches
+from ..session import delete
 
 LOG_SCHEMA = "seq long, version string, format string"
 
@@ -82,9 +84,13 @@ def insert_if_absent(target: DataFrame, source: DataFrame, order: str, keys: Seq
     """
     if len(keys) == 1:
         cols = list(keys[0])
-        ranked = attach(source, cols, [order], [F.min(order).alias("_first")])
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+        ranked = attach(source.filter(whole), cols, [order], [F.min(order).alias("_first")])
         fresh = ranked.filter(F.col("_first") == F.col(order)).drop("_first")
-        return target.unionByName(fresh.join(target.select(*cols), cols, "left_anti").select(*target.columns))
+        fresh = fresh.join(target.select(*cols), cols, "left_anti").select(*target.columns)
+        if any(source.schema[c].nullable for c in cols):
+            fresh = fresh.unionByName(source.filter(~whole).select(*target.columns))
+        return target.unionByName(fresh)
 
     def packed(cols: Sequence[str]) -> Column:
         whole = [F.col(c).isNotNull() for c in cols]
@@ -111,7 +117,11 @@ def guarded_update(target: DataFrame, audit: DataFrame, ident: str, changes: Map
     target column and the audit column it must still equal. Adds ``updated``."""
     held, expected = guard
     wanted = sorted({*changes.values(), expected})
-    side = audit.select(ident, *[F.col(c).alias(f"_a_{c}") for c in wanted])
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("the audit lists an id twice: "), F.col(ident).cast("string"))))
+    side = audit.groupBy(ident).agg(
+        *[F.first(c).alias(f"_a_{c}") for c in wanted if c != expected],
+        F.coalesce(once.cast(audit.schema[expected].dataType), F.first(expected)).alias(f"_a_{expected}"),
+    )
     joined = target.join(side, ident, "left")
     hit = F.coalesce(F.col(held) == F.col(f"_a_{expected}"), F.lit(False))
     kept = [
@@ -153,14 +163,17 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: str
 
 
 def append_once(df: DataFrame, path: str, batch: int | str) -> bool:
-    """Append a batch to a log; an empty batch leaves the log untouched.
+    """Append a batch to a log; an empty batch leaves no folder.
 
-    The batch owns its folder, so a repeated batch replaces itself instead of doubling.
+    The batch owns its folder, so a repeated batch replaces itself instead of doubling. Its plan
+    runs once: the write counts its own rows.
     """
-    if df.isEmpty():
-        return False
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
-    return True
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
+    if seen.get["rows"]:
+        return True
+    delete(df.sparkSession, f"{path}/batch_id={batch}")
+    return False
 
 
 def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:

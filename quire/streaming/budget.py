@@ -17,17 +17,21 @@ def admit(rows: DataFrame, channel: str, order: str, size: str, *, item_limit: i
 
     An item over the ceiling needs a person and uses no budget; one that does not fit
     any more is retried, and a later smaller one may still fit. That is a left fold, not
-    a prefix sum. A cycle holds at most ``per_cycle`` posts, so the folded list is short.
+    a prefix sum. A size that is not known counts as 0: check the real one once the item is here
+    (``over_limit``). A limit of 0 is none. A cycle holds at most ``per_cycle`` posts, so the folded list is short.
     """
     ranked = in_order(rows.select(channel, order, size), [channel], order, position="_n", block=block)
-    item = F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
+    item = F.struct(F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
     cycles = ranked.groupBy(channel, F.expr(f"(_n - 1) div {int(per_cycle)} + 1").alias("cycle")).agg(
         F.array_sort(F.collect_list(item)).alias("_items")
     )
 
+    unlimited = 2**62  # a limit of 0 is none
+    ceiling, budget = item_limit or unlimited, cycle_budget or unlimited
+
     def step(acc: Column, x: Column) -> Column:
         status = (
-            F.when(x["s"] > item_limit, MANUAL).when(acc["used"] + x["s"] > cycle_budget, FAILED).otherwise(ACQUIRED)
+            F.when(x["s"] > ceiling, MANUAL).when(acc["used"] + x["s"] > budget, FAILED).otherwise(ACQUIRED)
         )
         used = F.when(status == ACQUIRED, acc["used"] + x["s"]).otherwise(acc["used"])
         entry = F.struct(x["o"].alias("o"), x["s"].alias("s"), status.alias("status"), acc["used"].alias("before"))
@@ -44,6 +48,12 @@ def admit(rows: DataFrame, channel: str, order: str, size: str, *, item_limit: i
     )
 
 
+def over_limit(acquired: DataFrame, real_size: str, item_limit: int = P.ITEM_LIMIT_BYTES) -> DataFrame:
+    """Acquired items whose real size, known only now, is over the ceiling: they need a person as well."""
+    over = F.col(real_size) > item_limit if item_limit else F.lit(False)
+    return acquired.withColumn("status", F.when(over, F.lit(MANUAL)).otherwise(F.lit(ACQUIRED)))
+
+
 def failures(admitted: DataFrame, item_limit: int, cycle_budget: int, size: str) -> DataFrame:
     """Rows that were not acquired, with reason, class and next step."""
     over = F.col("status") == MANUAL
