@@ -1,21 +1,31 @@
 """Order-dependent operators in two levels.
 
-Rows of a key are cut into blocks of the order column (``order div block``). Inside
-a block an ordinary window works; one row per block carries what crosses the edge.
-With a unique integer order a task never sorts more than ``block`` rows of a key,
-so a key with a third of the table is spread over all tasks.
+Rows of a key are cut into blocks of the order column. Inside a block an ordinary window
+works; one row per block carries what crosses the edge. A block spans ``block`` numbers,
+or as many as hold ``block`` rows on average where the numbers lie further apart, so
+ids with large gaps (hashes, times) make no more blocks than dense ones. With a unique integer
+order a key with a third of the table is spread over all tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1_000_000
 
 
+def block_start(rows: DataFrame, order: str, block: int) -> Column:
+    """The first number of each row's block. The width comes from one pass over the order column."""
+    at = F.col(order).cast("long")
+    span = F.max(at).cast("double") - F.min(at) + 1
+    width = F.greatest(F.lit(int(block)), F.ceil(span / F.count(at) * int(block)).cast("long"))
+    step = rows.agg(F.coalesce(width, F.lit(int(block))).alias("w")).scalar()
+    return F.coalesce(at - F.pmod(at, step), F.lit(0).cast("long"))
+
+
 def in_order(
     rows: DataFrame,
     keys: Sequence[str],
@@ -41,8 +51,7 @@ def in_order(
     for name in dict.fromkeys([*keys, order]):
         if rows.schema[name].nullable:
             rows = rows.filter(F.col(name).isNotNull())
-    blocks_of = F.coalesce(F.expr(f"`{order}` div {int(block)}"), F.lit(0).cast("long"))
-    laid = rows.withColumn("_block", blocks_of).repartition(*keys, "_block")
+    laid = rows.withColumn("_block", block_start(rows, order, block)).repartition(*keys, "_block")
     near = Window.partitionBy(*keys, "_block").orderBy(order)
     upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     far = Window.partitionBy(*keys).orderBy("_block")

@@ -231,3 +231,12 @@ def test_page_range_rule(spark):
     df = spark.createDataFrame([(1, 1, 5), (2, None, None), (3, None, 4), (4, 5, 4), (5, 0, 1), (6, 2, 9)], "id int, s int, e int")
     bad = V.row_rules(df, "id", [V.page_range(F.col("s"), F.col("e"), F.lit(8))])
     assert sorted(r["id"] for r in bad.collect()) == ["3", "4", "5", "6"]
+
+
+@pytest.mark.parametrize("gap", [1, 1 << 22])
+def test_blocks_follow_the_density_of_the_ids(spark, gap):
+    df = spark.range(1000).select((F.col("id") * gap).alias("id"), (F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    got = ordered.in_order(df, ["k"], "id", previous={"p": "v"}, position="n", block=100, keep_block=True)
+    assert got.select("_block").distinct().count() == 10
+    rows = got.collect()
+    assert all(r["n"] == r["v"] // 3 + 1 and r["p"] == (r["v"] - 3 if r["v"] > 2 else None) for r in rows) and len(rows) == 1000

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from quire.functions.text import text_hash
 from quire.operators import dedup, ordered
+from quire.plans import PLANS
 from quire.session import table
 
-KEYS = list(contract.queries())
+KEYS = list(PLANS)
 
 
 @pytest.fixture(scope="module")
