@@ -24,8 +24,7 @@ class PieceEncoder:
 
     def learn(self, pieces: set[str]) -> None:
         if len(self.known) > self.most or self.held > self.room:
-            self.known.clear()
-            self.held = 0
+            self.forget()
         code = "H" if self.dtype.itemsize == 2 else "I"
         new = [p for p in pieces if p not in self.known]
         for begin in range(0, len(new), 20_000):
@@ -34,6 +33,10 @@ class PieceEncoder:
                 self.known[piece] = array(code, ids).tobytes()
                 self.held += len(piece) + len(self.known[piece])
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self.split(t) for t in texts]
         seen: set[str] = set()
