@@ -108,11 +108,11 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     failed = F.sum(rule_failures().cast("long"))
     hosts = measured.filter("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), failed.alias("n_failed"))
     raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"))  # one row
-    m, v = F.col("m"), F.col("v")
+    prior = hosts.agg(F.struct(F.avg(raw).alias("m"), F.var_pop(raw).alias("v")).alias("p")).scalar()
+    m, v = prior["m"], prior["v"]
     s = F.greatest(m * (1 - m) / v - 1, F.lit(0.0))
     rate = F.when(v < 1e-12, m).otherwise((F.col("n_failed") + m * s) / (F.col("n_docs") + s))
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > max_rate).alias("host_failed"))
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > max_rate).alias("host_failed"))
 
 
 def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
