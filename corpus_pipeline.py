@@ -3,7 +3,7 @@
 1. language: documents without a letter, or whose cross-entropy no language of the table explains, go.
 2. line_dedup: lines of recurring templates go from all but the first document that has them; a document
    that consists of nothing else goes.
-3. near_dedup: of each SimHash group (three-word shingles, three bits, as the operator's query) one stays.
+3. near_dedup: of each group of documents whose SimHash puts the similarity of their five-word shingles at 0.8 or more one stays.
 4. decontamination: documents that contain a benchmark item go.
 5. encoding: the rest as SentencePiece ids.
 
@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, langid, line_dedup, sentencepiece_codec, simhash
+from quire.llm import decontam, langid, line_dedup, sentencepiece_codec, similar
 from quire.llm.common import cut, documents
 from quire.session import table
 
@@ -42,7 +42,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return similar.one_of_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
