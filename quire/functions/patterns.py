@@ -114,6 +114,13 @@ IMPORT_PATTERNS = {
 DOCUMENT_TYPES = ["حكم قضائي", "حكم قضائي دولي", "تعميم", "قرار", "مبدأ قضائي", "سابقة قضائية", "نظام أو لائحة",
                   "مرجع قانوني", "بحث قانوني", "وثيقة قانونية"]
 
+# --- fixed values: tags and shared links ---------------------------------------
+SCRIPT_BLOCK = r"(?is)<(script|style|noscript).*?>.*?</\1>"
+TAG = r"<[^>]+>"
+SHARED_FILE = r"/file/d/([^/]+)"
+SHARED_ID = r"[?&]id=([^&#]+)"
+SHARED_DOCUMENT = r"/(document|spreadsheets|presentation)/d/([^/]+)"
+
 # --- fixed values: hosts and limits -------------------------------------------
 OFFICIAL_HOSTS = ["moj.gov.sa", "laws.moj.gov.sa", "bog.gov.sa", "saip.gov.sa"]
 COLLECTOR_HOSTS = OFFICIAL_HOSTS + ["uqn.gov.sa"]

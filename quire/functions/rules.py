@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .text import collapse, none_if_empty
 
 Rule = tuple[str, Column]
 
@@ -120,6 +121,14 @@ def header_kind(text: Column, kinds: Sequence[tuple[str, str, str]] = P.HEADER_K
     return F.coalesce(*options)
 
 
+def header_facts(text: Column, kinds: Sequence[tuple[str, str, str]] = P.HEADER_KINDS, header_chars: int = P.HEADER_CHARS) -> Column:
+    """(kind, reference, date, court) of a page that starts a document; NULL if none does. A date or court not found is NULL."""
+    start = header_kind(text, kinds, header_chars)
+    date, court = (none_if_empty(collapse(F.regexp_extract(text, p, 1))) for p in (P.HEADER_DATE, P.HEADER_COURT))
+    facts = F.struct(start["kind"].alias("kind"), start["reference"].alias("reference"), date.alias("date"), court.alias("court"))
+    return F.when(start.isNotNull(), facts)
+
+
 def map_labels(df: DataFrame, label: str, mapping: Sequence[tuple], names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Join a small literal map; labels the map does not know become error rows.
 

@@ -13,8 +13,6 @@ from . import patterns as P
 from .text import arrow_map
 
 URL = r"""(?i)(https?://[^\s<>\]\["']+)"""
-SCRIPT_BLOCK = r"(?is)<(script|style|noscript).*?>.*?</\1>"
-TAG = r"<[^>]+>"
 COMMON_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"),
                    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
@@ -51,11 +49,11 @@ def canonical_url(url: Column) -> Column:
     name = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     file_id = F.coalesce(
-        F.nullif(F.regexp_extract(path, r"/file/d/([^/]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(url, r"[?&]id=([^&#]+)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(path, P.SHARED_FILE, 1), F.lit("")),
+        F.nullif(F.regexp_extract(url, P.SHARED_ID, 1), F.lit("")),
     )
-    kind = F.regexp_extract(path, r"/(document|spreadsheets|presentation)/d/([^/]+)", 1)
-    doc_id = F.regexp_extract(path, r"/(document|spreadsheets|presentation)/d/([^/]+)", 2)
+    kind = F.regexp_extract(path, P.SHARED_DOCUMENT, 1)
+    doc_id = F.regexp_extract(path, P.SHARED_DOCUMENT, 2)
     export = F.when(kind == "document", "docx").when(kind == "spreadsheets", "xlsx").otherwise("pptx")
     return (
         F.when((name == "drive.google.com") & file_id.isNotNull(),
@@ -77,7 +75,7 @@ def unescape(col: Column) -> Column:
 
 
 def strip_tags(page: Column, filler: str = " ") -> Column:
-    return F.regexp_replace(F.regexp_replace(page, SCRIPT_BLOCK, " "), TAG, filler)
+    return F.regexp_replace(F.regexp_replace(page, P.SCRIPT_BLOCK, " "), P.TAG, filler)
 
 
 def html_text(page: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import collapse
-from ..functions.urls import TAG, unescape
+from ..functions.patterns import TAG
+from ..functions.urls import unescape
 from ..operators.dedup import first_wins
 
 CORRUPT = "_corrupt_record"

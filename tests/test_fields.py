@@ -72,6 +72,14 @@ def test_header_kind_needs_word_and_number(spark):
     assert read("س" * 1900 + " قرار القرار 55") is None
 
 
+def test_header_facts_carry_date_and_court(spark):
+    read = lambda t: one(spark, t, rules.header_facts)
+    page = "حكم قضائي\nالمحكمة العامة بالرياض\nرقم الحكم: 34567 بتاريخ 1434/05/12"
+    assert tuple(read(page)) == ("judgment", "34567", "1434/05/12", "المحكمة العامة بالرياض")
+    assert tuple(read("تعميم رقم التعميم 12/4")) == ("circular", "12/4", None, None)
+    assert read("المحكمة العامة بتاريخ 1434/05/12") is None
+
+
 @pytest.mark.parametrize("text,label", [
     ("تعميم رقم 123 للمحاكم", "تعميم"), ("تعميم قضائي", "تعميم"), ("رقم الصك 12345", "حكم قضائي"),
     ("هذا مبدأ قضائي", "مبدأ قضائي"), ("السوابق القضائية", "سابقة قضائية"), ("قرار رقم 555", "قرار"),
