@@ -8,7 +8,12 @@ template; otherwise the line stands for itself. A template that ``min_docs`` doc
 recurs, and its lines are dropped everywhere but in the first document (smallest doc_id) that has it,
 so that of a passage which many documents copied one copy stays.
 
-Lines are split at a line feed. Lines of fewer than ``min_tokens`` tokens, blank ones included, are
+A line with ``LONG`` tokens that are not masked is no coincidence: it recurs as itself from two documents on. A line
+that has so many tokens only with the masked ones counts there unmasked, so that unlike rows of numbers stay. A line of
+fewer than ``min_tokens`` tokens has a template like any other, which recurs from ``SHORT_DOCS`` documents on, if
+it has a letter outside its masked tokens.
+
+Lines are split at a line feed. Blank lines, and short ones without such a letter (brackets, rules, numbers), are
 kept. A null text stays null, an empty one empty. Rows that share a doc_id, null included, count as
 one document and take the same decisions. Other columns pass through (one named n_lines_dropped is replaced). An empty table gives an empty
 table.
@@ -27,12 +32,22 @@ from .common import cut, let, map_arrow
 
 WILD = "<*>"
 LEADING, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 5, 10, 0.7
+LONG, SHORT_DOCS = 8, 10
+
+
+def plain(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
 def masked(line: Column) -> Column:
     """The line's tokens joined by one blank, those with a digit masked."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", WILD)).otherwise(plain)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain(line), r"[^ ]*[0-9][^ ]*", WILD)).otherwise(plain(line))
+
+
+def whole(line: Column, tokens: Column, h: Column) -> Column:
+    """What two documents with this long line share: its masked hash, or if too little is left of it, its own; null for other lines."""
+    left = F.size(F.filter(tokens, lambda t: t != WILD))
+    return F.when(F.size(tokens) >= LONG, F.when(left >= LONG, h).otherwise(F.xxhash64(plain(line), F.lit("whole"))))
 
 
 def leaf_of(tokens: Column, leading: int) -> Column:
@@ -40,12 +55,17 @@ def leaf_of(tokens: Column, leading: int) -> Column:
 
 
 def parsed(text: Column, leading: int, min_tokens: int) -> Column:
-    """The lines that can have a template: array of (line, leaf, h), h the hash of the masked line."""
+    """The lines that can have a template: array of (line, leaf, h, short, whole), h the hash of the masked line."""
 
-    def one(line: Column) -> Column:
-        return let(F.split(line, " "), lambda t: F.struct(line.alias("line"), F.when(F.size(t) >= min_tokens, leaf_of(t, leading)).alias("leaf"), F.xxhash64(line).alias("h")))
+    def one(raw: Column, line: Column) -> Column:
+        def fields(t: Column) -> Column:
+            short, h = F.size(t) < min_tokens, F.xxhash64(line)
+            leaf = F.when((line != "") & (~short | line.rlike(r"\p{L}")), leaf_of(t, leading))
+            return F.struct(line.alias("line"), leaf.alias("leaf"), h.alias("h"), short.alias("short"), whole(raw, t, h).alias("whole"))
 
-    lines = F.transform(F.split(text, "\n", -1), lambda line: let(masked(line), one))
+        return let(F.split(line, " "), fields)
+
+    lines = F.transform(F.split(text, "\n", -1), lambda raw: let(masked(raw), lambda line: one(raw, line)))
     return F.filter(lines, lambda x: x["leaf"].isNotNull())
 
 
@@ -57,12 +77,16 @@ def dealt_out(docs: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, dealt: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and the hashes of the masked lines that go from it; documents that keep all their lines are not listed."""
+    """doc_id and the hashes of the lines (masked, or whole) that go from it; documents that keep all their lines are not listed."""
+    first = F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")
     lines = docs.select("doc_id", F.explode(F.array_distinct(parsed(F.col("text"), leading, min_tokens))).alias("x")).select("doc_id", "x.*")
     # Leaves that enough documents visit; a template cannot recur more often than its leaf.
-    keys = cut(lines.select("doc_id", "leaf", "h").distinct())
-    hot = keys.select("doc_id", "leaf").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
-    pairs = cut(keys.join(hot, "leaf", "left_semi"))
+    keys = cut(lines.select("doc_id", "leaf", "h", "short", "whole").distinct())
+    long = keys.filter("whole IS NOT NULL").select("doc_id", F.col("whole").alias("h"))
+    twice = long.groupBy("h").agg(F.count(F.lit(1)).alias("n"), first).filter(F.col("n") >= 2)
+    copied = long.join(twice, "h").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h")
+    hot = keys.select("doc_id", "leaf").distinct().groupBy("leaf").count().filter(F.col("count") >= min(min_docs, SHORT_DOCS)).select("leaf")
+    pairs = cut(keys.select("doc_id", "leaf", "h", "short").join(hot, "leaf", "left_semi").distinct())
     # Equal lines collapse before their tokens are looked at; the texts of only these lines are needed.
     known = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
     wanted = known.groupBy("doc_id").agg(F.collect_set("h").alias("wanted"))  # at most the lines of the document
@@ -70,21 +94,21 @@ def recurring_lines(docs: DataFrame, dealt: DataFrame, leading: int = LEADING, m
     # An opaque step takes all columns, so that this and the final join read one and the same exchange of the texts.
     texts = map_arrow(asked, lambda batches: (b.select(["text", "wanted"]) for b in batches), "text string, wanted array<bigint>")
     found = texts.select(F.explode(F.filter(parsed(F.col("text"), leading, min_tokens), lambda x: F.array_contains(F.col("wanted"), x["h"]))).alias("x")).select("x.*")
-    shapes = found.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line")).join(known.select("h", "n"), "h")
-    tokens = shapes.select("h", "leaf", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    shapes = found.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"), F.first("short").alias("short")).join(known.select("h", "n"), "h")
+    tokens = shapes.select("h", "leaf", "short", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).drop("m")
     held = tokens.join(constant.withColumn("held", F.lit(True)), ["leaf", "pos", "token"], "left")
     fixed = F.coalesce("held", F.lit(False)) & (F.col("token") != WILD)
-    spelled = held.groupBy("h", "leaf").agg(
+    spelled = held.groupBy("h", "leaf", "short").agg(
         F.sort_array(F.collect_list(F.struct("pos", F.when(fixed, F.col("token")).otherwise(WILD).alias("t")))).alias("t"),
         F.avg(fixed.cast("double")).alias("share"),
     )  # a group is the tokens of one line
     general = F.xxhash64("leaf", F.array_join(F.col("t.t"), " "))
-    templates = spelled.select("h", F.when(F.col("share") >= similarity, general).otherwise(F.col("h")).alias("template"))
+    templates = spelled.select("h", "short", F.when(F.col("share") >= similarity, general).otherwise(F.col("h")).alias("template"))
     placed = pairs.select("doc_id", "h").join(templates, "h")
-    first = F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")
-    recurring = placed.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), first).filter(F.col("n") >= min_docs)
-    dropped = placed.join(recurring, "template").filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    needed = F.when(F.bool_or("short"), SHORT_DOCS).otherwise(min_docs)
+    recurring = placed.select("template", "doc_id", "short").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), needed.alias("needed"), first).filter(F.col("n") >= F.col("needed"))
+    dropped = placed.join(recurring, "template").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h").unionByName(copied)
     return dropped.groupBy("doc_id").agg(F.collect_set("h").alias("dropped"))
 
 
@@ -94,8 +118,12 @@ def drop_recurring_lines(docs: DataFrame, leading: int = LEADING, min_tokens: in
     gone = recurring_lines(docs, dealt, leading, min_tokens, min_docs, similarity).withColumnRenamed("doc_id", "gone_id").withColumn("gone_key", F.xxhash64("gone_id"))
     joined = dealt.join(gone, (F.col("deal") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
 
-    def stays(line: Column) -> Column:
-        return ~F.array_contains(F.col("dropped"), F.xxhash64(masked(line)))
+    def stays(raw: Column) -> Column:
+        def kept(line: Column) -> Column:
+            own = F.coalesce(F.array_contains(F.col("dropped"), whole(raw, F.split(line, " "), F.xxhash64(line))), F.lit(False))
+            return ~(F.array_contains(F.col("dropped"), F.xxhash64(line)) | own)
+
+        return let(masked(raw), kept)
 
     def rebuilt(lines: Column) -> Column:
         return let(F.filter(lines, stays), lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).cast("long").alias("n")))

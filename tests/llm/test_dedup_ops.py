@@ -51,6 +51,16 @@ def test_lines_of_recurring_templates_go(spark):
     assert sum(n for _, n in got.values()) == sum((a or "").count("\n") - (b or "").count("\n") for (_, a), b in zip(rows, want.values(), strict=True) if a and b) > 30
 
 
+def test_long_lines_go_from_the_second_document_and_short_ones_from_the_tenth(spark):
+    long, numbers = "one sentence of more than eight words that two documents share", " ".join(str(k) for k in range(60))
+    rows = [(i, f"All rights reserved.\n}}\n\n17\nown text number {i}") for i in range(12)]
+    rows += [(20, long), (21, f"head\n{long}"), (22, numbers), (23, f"{numbers}\ntail"), (24, " ".join(str(k) for k in range(100, 160)))]
+    rows += [(30 + k, "two words\nfour or five short words") for k in range(9)]
+    got = {r.doc_id: r.text for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {i: t if i == 0 else t.split("\n", 1)[-1] for i, t in rows[:12]} | {20: long, 21: "head", 22: numbers, 23: "tail"} | dict(rows[16:])
+    assert got == {i: t.rsplit("\n", 1)[0] if 0 < i < 12 else t for i, t in want.items()}
+
+
 def test_line_dedup_edges(edge_docs, no_docs):
     out = drop_recurring_lines(edge_docs, min_docs=2)
     assert out.columns == [*edge_docs.columns, "n_lines_dropped"] and out.count() == edge_docs.count()
