@@ -3,7 +3,7 @@
 1. language: documents without a letter, or whose cross-entropy no language of the table explains, go.
 2. line_dedup: lines of recurring templates go from all but the first document that has them; a document
    that consists of nothing else goes.
-3. near_dedup: of each group of documents whose SimHash puts the similarity of their five-word shingles at 0.8 or more one stays.
+3. near_dedup: of each group of documents that links of five-word similarity 0.8 or more join one stays.
 4. decontamination: documents that contain a benchmark item go.
 5. encoding: the rest as SentencePiece ids.
 

@@ -1,16 +1,19 @@
 """Near-duplicates by similarity of word shingles: SimHash of 256 bits for the pipeline.
 
 The fraction of bits in which two SimHashes differ estimates the angle between the texts' shingle counts, and so
-their Jaccard similarity: with equally many shingles, J makes a cosine of 2J / (1 + J). Two texts link if their 256-bit
-fingerprints differ in no more bits than the angle of ``least`` allows.
+their Jaccard similarity: with equally many shingles, J makes a cosine of 2J / (1 + J). It only says which pairs are
+looked at: those within the bits of ``least`` and ``SLACK`` standard deviations more. Two texts link if the Jaccard
+similarity of their shingle multisets, taken from the texts, is ``least`` or more. Texts with equal multisets collapse before.
 
 Pairs meet where they agree on one of several fixed random choices of bits. How many bits a choice has follows
 the number of texts, and how many choices there are follows from that, so that at every size a pair at the limit meets
-with a chance of at least ``RECALL`` (far more above the limit; equal fingerprints collapse before). Where they meet, the pivot
-distance tables of ``simhash`` thin out the pairs of large groups and the exact distance verifies each link. Every
-task gives off a spanning forest, and components come from the same contraction.
+with a chance of at least ``RECALL`` (far more above the limit). Of a place with up to ``LARGE`` texts all pairs
+are looked at. A larger one is dealt out in tiles of about ``ROOM`` texts; first only pairs of a leader with those near it are
+verified, then, over all pairs of tiles, those pairs that are not in one component yet. A family of near copies so gives
+off few pairs for each text, and no pair is left out. Pivot distance tables as in ``simhash`` thin out
+the pairs of large groups, and components come from the same contraction.
 
-A null or empty text has fingerprint zero and links with its like. Repeated rows, equal and null ids are allowed;
+A null or empty text has no shingles and collapses with its like. Repeated rows, equal and null ids are allowed;
 a null id comes last in the choice of the one that stays. Other columns pass through.
 """
 
@@ -30,7 +33,8 @@ from .simhash import PIVOTS, TILE, components
 
 WORDS, LEAST, RECALL = 5, 0.8, 0.99
 LANES = 4  # of 64 bits
-SMALL = 8
+SLACK = 3.5
+LARGE, ROOM, LEADERS = 64, 4096, 32
 LANE_SEEDS = np.random.default_rng(31).integers(1, 1 << 64, LANES, np.uint64) | np.uint64(1)
 
 
@@ -39,6 +43,12 @@ def differing(least: float) -> int:
     return int(64 * LANES * math.acos(2 * least / (1 + least)) / math.pi + 0.5)
 
 
+def looked_at(least: float) -> int:
+    """Bits that may differ in a pair that is verified."""
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    return differing(least) + math.ceil(SLACK * math.sqrt(64 * LANES * p * (1 - p)))
+
+
 def choices(n_texts: int, least: float = LEAST) -> list[np.ndarray]:
     """The bits of each choice: at least 16, more for more texts, and as many choices as the recall needs."""
     size = max(16, math.ceil(math.log2(max(2, n_texts))) - 2)
@@ -55,16 +65,25 @@ def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits > len(shingles), bitorder="little")
 
 
+def shingles_of(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The sorted shingles of each text, repeats included."""
+    w = Words([t or "" for t in texts])
+    return [np.sort(shingle_hashes(w.hashes[a:b], words)) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+
+
 def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_key (hash of the text) and fp (32 bytes) of every row."""
+    """doc_id, text_key (hash of the text), node (hash of the shingles) and fp (32 bytes) of every row."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for part in text_batches(batches, 2 << 20):
-            w = Words([t or "" for t in part["text"]])
-            fps = [wide_fingerprint(shingle_hashes(w.hashes[a:b], words)).tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["text_key"], pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "text_key", "fp"])
+            every = shingles_of(part["text"], words)
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in every], np.uint64).view(np.int64)
+            fps = pa.array([wide_fingerprint(x).tobytes() for x in every], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["text_key"], pa.int64()), pa.array(nodes), fps], ["doc_id", "text_key", "node", "fp"])
 
-    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), body, "doc_id bigint, text_key bigint, fp binary")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), body, "doc_id bigint, text_key bigint, node bigint, fp binary")
 
 
 def meeting_places(fps: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
@@ -88,12 +107,12 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def group_links(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of all pairs of a group within the radius, by pivot distance tables, tile by tile."""
+def group_links(fps: np.ndarray, radius: int, apart: tuple[np.ndarray, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of all pairs of a group within the radius that differ in each of ``apart``, by pivot distance tables, tile by tile."""
     refs = np.random.default_rng(7).integers(0, 1 << 64, (PIVOTS, LANES), np.uint64)
     table = np.stack([distance(fps, r) for r in refs], 1).astype(np.int16)
     order = np.argsort(table[:, 0], kind="stable")
-    table, ordered = table[order], fps[order]
+    table, ordered, apart = table[order], fps[order], tuple(x[order] for x in apart)
     for a in range(0, len(fps), TILE):
         b = min(a + TILE, len(fps))
         stop = int(np.searchsorted(table[:, 0], table[b - 1, 0] + radius, "right"))
@@ -104,6 +123,8 @@ def group_links(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.n
                 near &= np.abs(table[a:b, None, k] - table[None, c:d, k]) <= radius
             exact = sum(np.bitwise_count(ordered[a:b, None, k] ^ ordered[None, c:d, k]).astype(np.int16) for k in range(LANES))
             near &= exact <= radius
+            for x in apart:
+                near &= x[a:b, None] != x[None, c:d]
             if c == a:
                 near &= np.arange(a, b)[:, None] < np.arange(c, d)[None, :]
             i, j = np.nonzero(near)
@@ -112,66 +133,121 @@ def group_links(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 def forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    parent = list(range(len(nodes)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in group_links(fps, radius):
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-    return [(int(nodes[root(x)]), int(nodes[x])) for x in range(len(nodes)) if root(x) != x]
-
-
-def similar_links(fps: DataFrame, radius: int, chosen: list[np.ndarray]) -> DataFrame:
-    """a, b: links that join all nodes which meet within the radius into their components."""
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Stars: a leader, and those within the radius of it that no leader before has; LEADERS of them at most."""
+    left, out = np.arange(len(nodes)), []
+    for _ in range(LEADERS):
+        if len(left) < 2:
+            break
+        lead, left = left[0], left[1:]
+        near = distance(fps[left], fps[lead]) <= radius
+        out += [(int(nodes[lead]), x) for x in nodes[left[near]].tolist()]
+        left = left[~near]
+    return out
+
+
+def paired(members: DataFrame, radius: int, stars: bool) -> DataFrame:
+    """a < b: pairs of nodes within the radius in the groups of ``members`` (group, tile, node, fp, root); of its tiles, if there are two, one from each."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
-        def found(rows: pa.RecordBatch) -> pa.RecordBatch:
-            place, node = (rows.column(c).to_numpy() for c in ("place", "node"))
+        def batch_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            group, tile, node, root = (rows.column(c).to_numpy() for c in ("group", "tile", "node", "root"))
             raw = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, LANES)
-            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            size = np.diff(np.append(first, len(place)))
-            out: list[np.ndarray] = []
-            small = np.repeat(size <= SMALL, size)
-            for shift in range(1, SMALL):  # all pairs of small groups at once
-                i = np.flatnonzero((place[:-shift] == place[shift:]) & small[:-shift]) if len(place) > shift else np.zeros(0, np.int64)
-                i = i[distance(raw[i], raw[i + shift]) <= radius]
-                out.append(np.stack([node[i], node[i + shift]], 1))
-            for a, b in stretches_of(first, len(place)):
-                if b - a > SMALL:
-                    out.append(np.array(forest(node[a:b], raw[a:b], radius), np.int64).reshape(-1, 2))
-            links = np.unique(np.concatenate(out), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            size = np.diff(np.append(first, len(group)))
+            small = np.repeat(size <= LARGE, size) & (not stars)
+            for shift in range(1, LARGE):  # all pairs of small groups at once
+                i = np.flatnonzero((group[:-shift] == group[shift:]) & small[:-shift]) if len(group) > shift else np.zeros(0, np.int64)
+                if not len(i):
+                    break
+                i = i[(distance(raw[i], raw[i + shift]) <= radius) & (root[i] != root[i + shift])]
+                yield batch_of(node[i], node[i + shift])
+            for a, b in stretches_of(first, len(group)):
+                if stars:
+                    links = np.array(forest(node[a:b], raw[a:b], radius), np.int64).reshape(-1, 2)
+                    yield batch_of(links[:, 0], links[:, 1])
+                elif b - a > LARGE and (root[a:b] != root[a]).any():
+                    own = tile[a:b]
+                    for i, j in group_links(raw[a:b], radius, (root[a:b], own) if (own != own[0]).any() else (root[a:b],)):
+                        yield batch_of(node[a + i], node[a + j])
 
         for batch in batches:
             rows = batch if rest is None else pa.concat_batches([rest, batch])
-            place = rows.column("place").to_numpy()
-            last = int(np.searchsorted(place, place[-1])) if len(place) else 0  # places are sorted; the last may go on
+            group = rows.column("group").to_numpy()
+            last = int(np.searchsorted(group, group[-1])) if len(group) else 0  # groups are sorted; the last may go on
             if last:
-                yield found(rows.slice(0, last))
+                yield from found(rows.slice(0, last))
             rest = rows.slice(last)
         if rest is not None and rest.num_rows:
-            yield found(rest)
+            yield from found(rest)
 
-    dealt = meeting_places(fps, chosen).repartition(parts, "place").sortWithinPartitions("place")
-    return map_arrow(dealt, body, "a bigint, b bigint").distinct()
+    dealt = members.repartition(parts, "group").sortWithinPartitions("group", "node")
+    return map_arrow(dealt.select("group", "tile", "node", "fp", "root"), body, "a bigint, b bigint").distinct()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two multisets."""
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = int(np.minimum(n[i], m[j]).sum())
+    return shared / max(1, len(a) + len(b) - shared)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs a, b whose similarity is ``least`` or more; ``texts``: node and text."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_batches(batches, 2 << 20):
+            every = [x.tobytes() for x in shingles_of(part["text"], words)]
+            yield pa.RecordBatch.from_arrays([pa.array(part["node"], pa.int64()), pa.array(every, pa.binary())], ["node", "shingles"])
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            good = [jaccard(np.frombuffer(x[k].as_py(), np.uint64), np.frombuffer(y[k].as_py(), np.uint64)) >= least - 1e-12 for k in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = cut(pairs)
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    known = cut(map_arrow(texts.join(asked, "node", "left_semi"), shingles, "node bigint, shingles binary").dropDuplicates(["node"]))
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return cut(map_arrow(both.select("a", "b", "x", "y"), body, "a bigint, b bigint"))
+
+
+def similar_links(fps: DataFrame, texts: DataFrame, words: int, least: float, chosen: list[np.ndarray]) -> DataFrame:
+    """a, b: links of similarity ``least`` or more that join all nodes which meet into their components."""
+    radius, places = looked_at(least), meeting_places(fps, chosen)
+    sizes = places.groupBy("place").count().filter("count > 1").select("place", F.when(F.col("count") > LARGE, F.ceil(F.col("count") / ROOM).cast("int")).otherwise(0).alias("tiles"))
+    tile = F.when(F.col("tiles") > 0, F.pmod(F.xxhash64("node"), F.col("tiles"))).otherwise(0).cast("int")
+    met = cut(places.join(sizes, "place").withColumn("tile", tile))
+    large = met.filter("tiles > 0")
+    alone = F.col("node").alias("root")
+    few = paired(met.filter("tiles = 0").select(F.col("place").alias("group"), "tile", "node", "fp", alone), radius, False)
+    stars = paired(large.select(F.xxhash64("place", "tile").alias("group"), "tile", "node", "fp", alone), radius, True)
+    links = verified(few.unionByName(stars).distinct(), texts, words, least)
+    if not large.take(1):
+        return links
+    rooted = large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    other = rooted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    group = F.xxhash64("place", F.least("tile", "other"), F.greatest("tile", "other"))
+    rest = paired(other.select(group.alias("group"), "tile", "node", "fp", "root"), radius, False)
+    return links.unionByName(verified(rest, texts, words, least))
 
 
 def one_of_similar(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """One row of each group, with all its columns: of the least doc_id (a null one last), and there of the least text hash."""
     marked = cut(wide_fingerprints(docs, words))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("head")
-    distinct = cut(marked.groupBy(F.xxhash64("fp").alias("node"), "fp").agg(head))
-    links = similar_links(distinct.select("node", "fp"), differing(least), choices(distinct.count(), least))
+    distinct = cut(marked.groupBy("node", "fp").agg(head))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    heads = distinct.select("node", F.col("head.doc_id").alias("head_id"), F.col("head.text_key").alias("head_key"))
+    texts = texts.join(heads, (texts["text_key"] == heads["head_key"]) & texts["doc_id"].eqNullSafe(heads["head_id"])).select("node", "text")
+    links = similar_links(distinct.select("node", "fp"), texts, words, least, choices(distinct.count(), least))
     roots = components(links)
     placed = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "head")
     heads = cut(placed.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head_id"), F.col("head.text_key").alias("head_key")))

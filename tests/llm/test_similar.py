@@ -66,6 +66,34 @@ def test_large_groups_give_a_forest():
     assert pairs == want and len(similar.forest(np.arange(len(fps)), fps, 39)) < len(fps)
 
 
+def test_links_are_verified_at_the_limit_and_large_families_are_linear(spark, monkeypatch):
+    rnd, rows, want = random.Random(3), [], set()
+
+    def changed(words, k, tag):
+        return [f"{w}{tag}" if i % (len(words) // k) == 7 else w for i, w in enumerate(words)]
+
+    for f in range(40):  # similarity just above and just below the limit
+        words = [f"w{rnd.randrange(10**9)}" for _ in range(400)]
+        near, far = changed(words, 8, "x"), changed(words, 12, "y")
+        for w, limit in ((near, 0.8), (far, 0.7)):
+            a, b = (shingle_counts([x.encode() for x in t]) for t in (words, w))
+            s = (a & b).total() / (a | b).total()
+            assert limit <= s < limit + 0.1 and (limit == 0.8) == (s >= 0.8)
+        rows += [(10 * f, " ".join(words)), (10 * f + 1, " ".join(near)), (1000 + f, " ".join(f"{x}z" for x in words)), (2000 + f, " ".join(f"{x}z" for x in far))]
+        want |= {10 * f, 1000 + f, 2000 + f}
+    words = [f"v{rnd.randrange(10**9)}" for _ in range(200)]
+    rows += [(5000 + k, " ".join([*words[:50], f"n{k}", *words[51:]])) for k in range(400)]
+    want.add(5000)
+    sizes = []
+    check = similar.verified
+    monkeypatch.setattr(similar, "verified", lambda pairs, *a: sizes.append(pairs.count()) or check(pairs, *a))
+    monkeypatch.setattr(similar, "LARGE", 16)
+    monkeypatch.setattr(similar, "ROOM", 32)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in similar.one_of_similar(docs).collect()} == want
+    assert len(sizes) == 2 and sum(sizes) < 400 * len(similar.choices(2)) < 400 * 399 // 3  # a leader for each text and place at most
+
+
 def test_similar_edges(edge_docs, no_docs):
     kept = similar.one_of_similar(edge_docs)
     assert kept.columns == edge_docs.columns
