@@ -7,7 +7,7 @@ and a group is a connected component.
 Documents with equal fingerprints collapse first, so copies are never paired. A pair within the radius
 agrees on one of radius + 1 bit blocks, which says where pairs meet; a block value with more
 fingerprints than ``room`` is dealt out again by blocks of the remaining bits, and so on until
-the groups fit or no bits are left to divide. In each group a table holds every
+the groups fit, twice at most; a group that is still larger is dealt out as all pairs of its tiles. In each group a table holds every
 fingerprint's Hamming distances to ``PIVOTS`` reference fingerprints. Distances obey the triangle
 inequality, so a pair whose coordinates differ by more than the radius anywhere cannot link: the group is
 sorted by the first coordinate, only the band within the radius is looked at, in tiles of bounded size, and
@@ -106,21 +106,18 @@ def links_within(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.
 
 def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints: (smaller, larger) as signed values of the group's least."""
-    parent = list(range(len(fps)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    label = np.arange(len(fps))
     for i, j in links_within(fps, radius):
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
+        while len(i):
+            p, q = label[i], label[j]
+            apart = p != q
+            i, j = i[apart], j[apart]
+            np.minimum.at(label, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+            while (label[label] != label).any():
+                label = label[label]
     signed = fps.view(np.int64)
-    return [(int(signed[root(x)]), int(signed[x])) for x in range(len(fps)) if root(x) != x]
+    hung = np.flatnonzero(label != np.arange(len(fps)))
+    return list(zip(signed[label[hung]].tolist(), signed[hung].tolist(), strict=True))
 
 
 def blocks(free: int, radius: int) -> list[int]:
@@ -150,7 +147,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, room: int = ROOM) -> DataFr
         large = cut(sizes.filter(F.col("count") > room).select("mask", "value"))
         last = depth == 2 or not large.take(1)
         here = waiting if last else waiting.join(large, ["mask", "value"], "left_anti")
-        links = cut(grouped_links(here, radius, parts))
+        links = cut(grouped_links(tiled(here, sizes, room), radius, parts))
         found = links if found is None else found.unionByName(links)
         if last:
             break
@@ -169,6 +166,14 @@ def near_links(fps: DataFrame, radius: int = RADIUS, room: int = ROOM) -> DataFr
     return found.distinct()
 
 
+def tiled(members: DataFrame, sizes: DataFrame, room: int) -> DataFrame:
+    """fp, mask, value and the two tiles that are compared: a group of more than ``room`` as all pairs of tiles of about half of it."""
+    n = F.ceil(F.coalesce("count", F.lit(1)) / (room / 2)).cast("int")
+    out = members.join(sizes.filter(F.col("count") > room), ["mask", "value"], "left").withColumn("tiles", F.when(F.col("count") > room, n).otherwise(1))
+    out = out.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return out.select("fp", "mask", "value", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+
+
 def grouped_links(members: DataFrame, radius: int, parts: int) -> DataFrame:
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -179,12 +184,12 @@ def grouped_links(members: DataFrame, radius: int, parts: int) -> DataFrame:
                 out.extend(spanning_links(np.array(held, np.int64).view(np.uint64), radius))
 
         for batch in batches:
-            fp, mask, value = (batch.column(c).to_numpy() for c in ("fp", "mask", "value"))
-            edge = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])) if len(fp) else fp
+            fp, *keys = (batch.column(c).to_numpy() for c in ("fp", "mask", "value", "low", "high"))
+            edge = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])) if len(fp) else fp
             for a, b in stretches_of(edge, len(fp)):
-                if key != (mask[a], value[a]):
+                if key != (own := tuple(k[a] for k in keys)):
                     close()
-                    key, held = (mask[a], value[a]), []
+                    key, held = own, []
                 held.extend(fp[a:b].tolist())
             if len(out) > 100_000:
                 yield links_batch(out)
@@ -192,8 +197,9 @@ def grouped_links(members: DataFrame, radius: int, parts: int) -> DataFrame:
         close()
         yield links_batch(out)
 
-    dealt = members.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value", "fp")
-    return map_arrow(dealt.select("fp", "mask", "value"), body, "a bigint, b bigint")
+    keys = ["mask", "value", "low", "high"]
+    dealt = members.repartition(parts, *keys).sortWithinPartitions(*keys, "fp")
+    return map_arrow(dealt.select("fp", *keys), body, "a bigint, b bigint")
 
 
 def links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -150,6 +150,19 @@ def test_simhash_groups(spark, prose, room):
     assert got == simhash_groups(rows, 3)
 
 
+def test_groups_that_stay_large_are_dealt_out_in_tiles(spark):
+    members = spark.range(3000).selectExpr("id AS fp", "1L AS mask", "IF(id < 2900, 0L, 1L) AS value")
+    groups = defaultdict(set)
+    for r in simhash.tiled(members, members.groupBy("mask", "value").count(), 400).collect():
+        groups[r.value, r.low, r.high].add(r.fp)
+    assert max(map(len, groups.values())) <= 500 and len(groups[1, 0, 0]) == 100
+    met = np.zeros((2900, 2900), bool)
+    for (value, _, _), own in groups.items():
+        if value == 0:
+            met[np.ix_(sorted(own), sorted(own))] = True
+    assert met.all()
+
+
 def test_links_and_components(spark):
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 1 << 64, 1, np.uint64)[0]
