@@ -1,10 +1,11 @@
 """Line dedup by a tree of log templates.
 
 A line's tokens with a digit become ``<*>``. The tree has a fixed depth: the number of tokens, then
-the leading tokens; a leaf holds the lines that agree in these. Within a leaf a token is constant at
-its position if at least ``min_docs`` (document, line) pairs have it there; any other token is a
-variable field and becomes ``<*>``. If constants make up ``similarity`` of a line, that is its
-template; otherwise the line stands for itself. A template that ``min_docs`` documents or more share
+the leading tokens; a leaf holds the lines that agree in these. Within a leaf a token's level is how often
+its share of the leaf's (document, line) pairs at its position must be doubled to exceed one half or reach one; a token that fewer
+than ``min_docs`` pairs have has none, as no template with it can recur. The tokens up to the least level at which they make up
+``similarity`` of a line are its constants and the others variable fields, ``<*>``: that is its template. So
+what is constant follows shares, not the size of the table. Without such a level the line stands for itself. A template that ``min_docs`` documents or more share
 recurs, and its lines are dropped everywhere but in the first document (smallest doc_id) that has it,
 so that of a passage which many documents copied one copy stays.
 
@@ -96,15 +97,18 @@ def recurring_lines(docs: DataFrame, dealt: DataFrame, leading: int = LEADING, m
     found = texts.select(F.explode(F.filter(parsed(F.col("text"), leading, min_tokens), lambda x: F.array_contains(F.col("wanted"), x["h"]))).alias("x")).select("x.*")
     shapes = found.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"), F.first("short").alias("short")).join(known.select("h", "n"), "h")
     tokens = shapes.select("h", "leaf", "short", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).drop("m")
-    held = tokens.join(constant.withColumn("held", F.lit(True)), ["leaf", "pos", "token"], "left")
-    fixed = F.coalesce("held", F.lit(False)) & (F.col("token") != WILD)
+    totals = shapes.groupBy("leaf").agg(F.sum("n").alias("total"))
+    constant = tokens.filter(F.col("token") != WILD).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs)
+    level = F.floor(F.log2(F.col("total") / F.col("m"))).cast("int")
+    held = tokens.join(constant.join(totals, "leaf").select("leaf", "pos", "token", level.alias("level")), ["leaf", "pos", "token"], "left")
     spelled = held.groupBy("h", "leaf", "short").agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.when(fixed, F.col("token")).otherwise(WILD).alias("t")))).alias("t"),
-        F.avg(fixed.cast("double")).alias("share"),
+        F.sort_array(F.collect_list(F.struct("pos", "token", "level"))).alias("t"),
+        F.sort_array(F.collect_list("level")).alias("levels"),
     )  # a group is the tokens of one line
-    general = F.xxhash64("leaf", F.array_join(F.col("t.t"), " "))
-    templates = spelled.select("h", "short", F.when(F.col("share") >= similarity, general).otherwise(F.col("h")).alias("template"))
+    least = F.get("levels", F.greatest(F.ceil(F.size("t") * F.lit(similarity) - 1e-9), F.lit(1)).cast("int") - 1)
+    spelled = spelled.withColumn("least", least)
+    general = F.xxhash64("leaf", F.array_join(F.transform("t", lambda x: F.when(x["level"] <= F.col("least"), x["token"]).otherwise(WILD)), " "))
+    templates = spelled.select("h", "short", F.when(F.col("least").isNotNull(), general).otherwise(F.col("h")).alias("template"))
     placed = pairs.select("doc_id", "h").join(templates, "h")
     needed = F.when(F.bool_or("short"), SHORT_DOCS).otherwise(min_docs)
     recurring = placed.select("template", "doc_id", "short").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), needed.alias("needed"), first).filter(F.col("n") >= F.col("needed"))

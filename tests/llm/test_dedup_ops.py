@@ -61,6 +61,17 @@ def test_long_lines_go_from_the_second_document_and_short_ones_from_the_tenth(sp
     assert got == {i: t.rsplit("\n", 1)[0] if 0 < i < 12 else t for i, t in want.items()}
 
 
+def test_templates_with_word_fields_recur_at_every_size(spark):
+    word = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    for n in (100, 2500):
+        rows = [(i, f"Filed under the topic {word(i % 50)} by author {word(i // 50 % 50)} today") for i in range(n)]
+        rows += [(n + i, f"Filed under the {word(i % 676)} {word(i // 26 % 676)} {word(i * 7 % 676)} {word(i * 11 % 676)} {word(i * 13 % 676)} {i} x") for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r.doc_id for r in drop_recurring_lines(docs.filter(f"doc_id < {n}"), min_docs=10).filter("n_lines_dropped > 0").collect()}
+        assert got == set(range(1, n))
+        assert {r.doc_id for r in drop_recurring_lines(docs).filter("n_lines_dropped > 0").collect()} >= set(range(1, n))
+
+
 def test_line_dedup_edges(edge_docs, no_docs):
     out = drop_recurring_lines(edge_docs, min_docs=2)
     assert out.columns == [*edge_docs.columns, "n_lines_dropped"] and out.count() == edge_docs.count()
