@@ -2,7 +2,7 @@
 
 Base spans per kind are the leftmost non-overlapping matches of the kind's pattern that pass its check; they
 always stay. The network learns from them as labelled spans: at most ``TRAIN_WINDOWS`` windows with and as many without
-a span, chosen by the least hash of their content from all documents, and trained in numpy on the driver with a fixed seed.
+a span, distinct and chosen by the least hash of their content from all documents, and trained in numpy on the driver with a fixed seed.
 
 A text is covered by windows of ``WIDTH`` characters, each overlapping the next by half. Every kind of span has a
 digit or an at sign, and spans without one are dropped, so a window that has neither, nor a neighbour that has,
@@ -241,26 +241,48 @@ def fit(ids: np.ndarray, tags: np.ndarray, steps: int = STEPS, rate: float = 0.0
     return net
 
 
-def train(docs: DataFrame, most: int = TRAIN_WINDOWS) -> Network | None:
-    """A network from at most ``most`` windows with and ``most`` without a base span; None if there is none with one."""
+def sample(docs: DataFrame, most: int) -> list[pa.Table]:
+    """w and tags of the ``most`` distinct windows of least hash with a base span, and of as many without one; each task gives off no more."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        held: tuple[set, set] = (set(), set())
+        limit = [1 << 63, 1 << 63]
+
+        def cut_down(k: int) -> list[tuple[int, str, bytes]]:
+            rows = sorted(held[k])[:most]
+            held[k].intersection_update(rows)
+            if len(rows) == most:
+                limit[k] = rows[-1][0]
+            return rows
+
         for part in text_batches(batches):
-            rows = []
             for text in part["text"]:
                 starts = window_starts(text)
                 if not len(starts):
                     continue
                 tags = tags_of(base_spans(text)[0], len(text)).astype(np.uint8)
                 for a in starts.tolist():
-                    own = tags[a : a + WIDTH]
-                    rows.append((text[a : a + WIDTH], own.tobytes(), bool(own.any())))
-            if rows:
-                w, t, has = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(t, pa.binary()), pa.array(has)], ["w", "tags", "has"])
-
-    windows = map_arrow(keyed_texts(docs), body, "w string, tags binary, has boolean")
-    chosen = [windows.filter(c).select("w", "tags", F.xxhash64("w").alias("by")).orderBy("by", "w", "tags").limit(most).toArrow() for c in ("has", "not has")]
+                    own, w = tags[a : a + WIDTH], text[a : a + WIDTH]
+                    k, by = int(own.any()), xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)
+                    by -= (by >> 63) << 64
+                    if by <= limit[k]:
+                        held[k].add((by, w, own.tobytes()))
+                        if len(held[k]) > 4 * most:
+                            cut_down(k)
+        for k in (0, 1):
+            if rows := cut_down(k):
+                by, w, t = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(t, pa.binary()), pa.array([bool(k)] * len(rows)), pa.array(by, pa.int64())], ["w", "tags", "has", "by"])
+
+    windows = map_arrow(keyed_texts(docs), body, "w string, tags binary, has boolean, by bigint")
+    return [windows.filter(c).select("w", "tags", "by").distinct().orderBy("by", "w", "tags").limit(most).select("w", "tags").toArrow() for c in ("has", "not has")]
+
+
+def train(docs: DataFrame, most: int = TRAIN_WINDOWS) -> Network | None:
+    """A network from at most ``most`` windows with and ``most`` without a base span; None if there is none with one."""
+    chosen = sample(docs, most)
     if chosen[0].num_rows == 0:
         return None
     ids, tags = [], []

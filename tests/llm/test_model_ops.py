@@ -202,3 +202,11 @@ def test_scores_of_whole_texts(two_languages, edge_docs, no_docs, monkeypatch):
     assert sorted(r.n_tokens for r in out)[:4] == [1, 1, 1, 1]
     assert hmm.score_documents(no_docs, F.lit(True)).collect() == []
     assert all(np.isfinite(r.score) and r.n_known == 0 for r in hmm.score_documents(edge_docs, F.lit(False)).collect())
+
+
+def test_repeated_windows_count_once_in_the_sample(spark):
+    rows = [(k, f"write to user{k}@host{k}.org") for k in range(300)] + [(1000 + k, "call +1 202 555 0199 now") for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for most, want in ((1000, 301), (100, 100)):
+        own = [(r["w"], r["tags"]) for r in pii.sample(docs, most)[0].to_pylist()]
+        assert len(own) == len(set(own)) == want
