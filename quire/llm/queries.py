@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules
+from . import host_rules, prefix_trie
 from ..session import table
 from .common import documents, fold, scratch
 
@@ -82,6 +82,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefix_trie.graft(prefix_trie.sequences(table(spark, sf_dir, "conversations")))
+    return prefix_trie.with_ends_hash(prefix_trie.prefix_trie(rebuilt)).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,9 +104,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hmm_score": op8_hmm_score,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
+    "op12_prefix_trie": op12_prefix_trie,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op5_host_rules": host_rules.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
