@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, prefix_trie
+from . import host_rules, prefix_trie, spelling
 from ..session import table
 from .common import documents, fold, scratch
 
@@ -87,6 +87,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.with_ends_hash(prefix_trie.prefix_trie(rebuilt)).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(documents(spark, sf_dir)).filter("n >= 2"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,10 +109,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op5_host_rules": host_rules.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
