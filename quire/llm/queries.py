@@ -82,6 +82,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    held_out = fold(F.col("doc_id"), 4) == 2
+    scored = toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rebuilt = prefix_trie.graft(prefix_trie.sequences(table(spark, sf_dir, "conversations")))
     return prefix_trie.with_ends_hash(prefix_trie.prefix_trie(rebuilt)).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
@@ -108,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hmm_score": op8_hmm_score,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
+    "op11_toxicity": op11_toxicity,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling_variants": op13_spelling_variants,
     "pipeline": pipeline,
