@@ -23,9 +23,11 @@ def test_query(spark, key):
     n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
     if key == "op10_decontamination" or key == "pipeline":
         assert 0 < rows <= n
+    elif key in ("op12_prefix_trie", "op13_spelling_variants"):
+        assert note == "equal" and rows > 0
     else:
         assert rows == n
 
 
 def test_only_known_queries_have_sql():
-    assert set(ORACLES) <= set(QUERIES) and len([k for k in QUERIES if k.startswith("op")]) == 10 and "pipeline" in QUERIES
+    assert set(ORACLES) <= set(QUERIES) and len([k for k in QUERIES if k.startswith("op")]) == 13 and "pipeline" in QUERIES
