@@ -29,7 +29,8 @@ from .common import cut, keyed_texts, map_arrow, text_batches
 
 BITS, SHORTEST, LONGEST = 21, 3, 6
 CHOSEN, LEAST_TEXTS = 1 << 16, 3
-SAMPLE, ENTRIES = 2000, 8_000_000
+SAMPLE, ENTRIES = 2000, 4_000_000
+MARKS = 1 << 27  # bits that mark the ids with a label
 PENALTY = 1.0
 BLOCK = 1 << 14  # slots of one row of counts
 STRETCH = 1 << 20  # code points of a long text that are hashed at once
@@ -90,9 +91,30 @@ def known_labels(labels: DataFrame, use: Column) -> DataFrame:
     return rows.groupBy(F.col("doc_id").alias("label_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
 
 
+def place_of(ident: Column) -> Column:
+    return F.pmod(F.xxhash64(ident.cast("long")), F.lit(MARKS))
+
+
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts whose id may have a label: a bit for each id's hash, 16 MB however many labels there are, keeps most others from travelling."""
+    at = place_of(F.col("label_id"))
+    words = labels.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toArrow()
+    bits = np.zeros(MARKS >> 6, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
+
+    rows = keyed_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", place_of(F.col("doc_id")).alias("at"))
+    return map_arrow(rows, body, "doc_id long, text string")
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts of labelled rows. Labels are narrow: the optimizer broadcasts them while they are small, else both sides meet by id."""
-    return keyed_texts(docs).join(labels, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    """The texts of labelled rows. The labels grow with the documents, so both sides meet by id at every size."""
+    return marked(docs, labels).join(labels.hint("merge"), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -225,11 +247,15 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE, e
     telling = np.where(total >= LEAST_TEXTS, np.abs(ratio) * np.sqrt(total), 0)
     chosen = np.argsort(-telling, kind="stable")[:CHOSEN]
     chosen = np.sort(chosen[telling[chosen] > 0])
-    rows, toxic = bounded(cut(sample_features(labelled(docs, sample_ids(known, sample)), chosen)), entries)
+    ratio = ratio[chosen]
+    del counts, shares, total, telling
+    drawn = cut(sample_ids(known, sample))
+    sampled = keyed_texts(docs).join(drawn, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")  # 2 * sample ids
+    rows, toxic = bounded(cut(sample_features(sampled, chosen)), entries)
     weight = np.where(toxic > 0, texts[1] / max(1, toxic.sum()), texts[0] / max(1, (1 - toxic).sum()))
-    w, intercept = regress(rows, toxic, weight, ratio[chosen])
+    w, intercept = regress(rows, toxic, weight, ratio)
     full = np.zeros(1 << BITS, np.float32)
-    full[chosen] = w * ratio[chosen]
+    full[chosen] = w * ratio
     return Model(full, intercept)
 
 
