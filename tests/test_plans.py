@@ -1,8 +1,7 @@
 """Every registered plan beside its SQL, and the physical plans that scale depends on."""
 
 import pytest
-from conftest import SMALL
-from oracle import compare_frame, connect
+from oracle import SMALL, compare_frame, connect
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
