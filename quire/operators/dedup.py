@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .components import ONE_TASK, components
 from .keyed import FAN, attach, lookup, narrow
 
+ROOM = 2_000_000  # contested keys of one component that a task may fold
+
 
 def key_pairs(records: DataFrame, ident: str, order: str, keys: Sequence[str]) -> DataFrame:
     """One row per record and non-empty key: (ident, order, rank, kind, value)."""
@@ -57,30 +61,98 @@ def first_seen(rows: DataFrame, ident: str, order: str, exact: str, reference: s
 
 
 def greedy(records: DataFrame, ident: str, order: str, keys: Sequence[str], owned: DataFrame | None = None,
-           fan: int = FAN) -> DataFrame:
-    """Sequential multi-key dedup, in rounds.
+           fan: int = FAN, room: int = ROOM, one_task: int = ONE_TASK) -> DataFrame:
+    """Sequential multi-key dedup.
 
     A record is rejected when any of its keys is held by an earlier *accepted* record;
-    rejected records hold nothing. That set is the first maximal independent set in
-    order of arrival. Each round accepts the records that come first on all their keys
-    and rejects those sharing a key with them. Records whose keys nobody shares never
-    enter the rounds. ``owned`` (kind, value, owner) lists keys held before the first
-    record.
+    rejected records hold nothing. Records of different components (records that keys link) do not
+    touch each other, so each component is folded in order inside a task that streams its rows. Only a component
+    of more than ``room`` keys is settled in rounds instead. Records whose keys nobody shares need neither.
+    ``owned`` (kind, value, owner) lists keys held before the first record.
 
     Returns (ident, status, canonical_id, method), one row per record. ``order`` is unique
-    and of any sortable type. Few rounds do in practice; a chain of records that each
-    share a key with the next only needs about half its length.
+    and of any sortable type.
     """
     pairs = key_pairs(records, ident, order, keys)
     by = ["kind", "value"]
     counted = attach(pairs, by, [ident], [F.count(F.lit(1)).alias("_holders")], fan)
     if owned is not None:
-        held = owned.select("kind", "value", F.col("owner").cast("string").alias("_owner"))
+        held = owned.groupBy("kind", "value").agg(F.min(F.col("owner").cast("string")).alias("_owner"))
         counted = lookup(counted, held, by, [ident], "left", fan)
     else:
         counted = counted.withColumn("_owner", F.lit(None).cast("string"))
     contested = cut(counted.filter((F.col("_holders") > 1) | F.col("_owner").isNotNull()).drop("_holders"))
+    # Sorted by the order and written, so that the numbers follow it and stay.
+    numbered = cut(contested.select(ident, order).distinct().orderBy(order).select(ident, F.monotonically_increasing_id().alias("_n")))
+    contested = cut(contested.join(numbered, ident))
+    star = attach(contested.select("_n", *by), by, ["_n"], [F.min("_n").alias("_least")], fan).select("_n", "_least")
+    labels = components(star, one_task).select(F.col("node").alias("_n"), F.col("root").alias("_label"))
+    labelled = contested.join(labels, "_n", "left").withColumn("_label", F.coalesce("_label", "_n"))
+    sizes = labelled.groupBy("_label").count().filter(F.col("count") > room)
+    large = [r["_label"] for r in sizes.collect()]  # at most the contested keys over room
+    rejected = _folded(labelled.filter(~F.col("_label").isin(large)) if large else labelled, ident)
+    if large:
+        rejected = rejected.unionByName(_in_rounds(labelled.filter(F.col("_label").isin(large)).drop("_label", "_n"), ident, order, owned, fan))
+    return records.select(ident).join(rejected, ident, "left").select(
+        ident, F.when(F.col("method").isNull(), "accepted").otherwise("duplicate").alias("status"), "canonical_id", "method",
+    )
 
+
+def _folded(labelled: DataFrame, ident: str) -> DataFrame:
+    """The rejected records of each component, by the statement itself; a task holds the keys of one component."""
+    kept = labelled.select("_label", "_n", "rank", "kind", "value", "_owner", ident, F.col(ident).cast("string").alias("_name"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = record = None
+        holders: dict[tuple[str, str], str] = {}
+        mine: list[tuple[tuple[str, str], str | None]] = []
+        out: list[tuple] = []
+
+        def settle() -> None:
+            if record is None:
+                return
+            for key, owner in mine:
+                holder = owner if owner is not None else holders.get(key)
+                if holder is not None:
+                    out.append((record[1], holder, key[0]))
+                    return
+            for key, _ in mine:
+                holders.setdefault(key, record[2])
+
+        kind_of = None
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind_of), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], [ident, "canonical_id", "method"])
+
+        for batch in batches:
+            kind_of = batch.schema.field(6).type
+            for at, n, _, kind, value, owner, who, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if record is None or n != record[0]:
+                    settle()
+                    record, mine = (n, who, name), []
+                    if at != label:
+                        label, holders = at, {}
+                mine.append(((kind, value), owner))
+            if out:
+                yield rows()
+        settle()
+        if out:
+            yield rows()
+
+    schema = f"`{ident}` {labelled.schema[ident].dataType.simpleString()}, canonical_id string, method string"
+    parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept.repartition(parts, "_label").sortWithinPartitions("_label", "_n", "rank").mapInArrow(fold, schema)
+
+
+def _in_rounds(contested: DataFrame, ident: str, order: str, owned: DataFrame | None, fan: int) -> DataFrame:
+    """The rejected records as the complement of the first maximal independent set in order of arrival.
+
+    Each round accepts the records that come first on all their keys and rejects those sharing a key with them.
+    Few rounds do in practice; a chain of records that each share a key with the next needs about half its length.
+    """
+    by = ["kind", "value"]
     # A record has one row per key, so a window over its rows stays that short.
     mine = Window.partitionBy(ident)
     lost_before = F.max(F.col("_owner").isNotNull()).over(mine)
@@ -106,7 +178,7 @@ def greedy(records: DataFrame, ident: str, order: str, keys: Sequence[str], owne
     )
     if owned is not None:
         prior = contested.filter(F.col("_owner").isNotNull()).groupBy(*by).agg(F.min("_owner").alias("_holder"))
-        prior = prior.withColumn("_held_since", F.lit(None).cast(records.schema[order].dataType))
+        prior = prior.withColumn("_held_since", F.lit(None).cast(contested.schema[order].dataType))
         holders = prior.unionByName(holders.join(prior.select(*by), by, "left_anti"))
     lost = settled.filter(~F.col("_accepted"))
     matched = lookup(lost, holders, by, [ident], "inner", fan)
@@ -114,12 +186,7 @@ def greedy(records: DataFrame, ident: str, order: str, keys: Sequence[str], owne
     rejected = matched.filter(earlier).groupBy(ident).agg(
         F.min_by(F.struct(F.col("_holder").alias("canonical_id"), F.col("kind").alias("method")), "rank").alias("_hit")
     )
-    return records.select(ident).join(rejected, ident, "left").select(
-        ident,
-        F.when(F.col("_hit").isNull(), "accepted").otherwise("duplicate").alias("status"),
-        F.col("_hit.canonical_id").alias("canonical_id"),
-        F.col("_hit.method").alias("method"),
-    )
+    return rejected.select(ident, "_hit.canonical_id", "_hit.method")
 
 
 def soft_hits(accepted: DataFrame, ident: str, order: str, keys: Sequence[str], fan: int = FAN) -> DataFrame:

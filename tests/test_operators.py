@@ -82,11 +82,11 @@ def fold(records, keys, owned=()):
     return out
 
 
-def run_greedy(spark, records, keys, owned=None):
+def run_greedy(spark, records, keys, owned=None, **more):
     schema = "id long, ord long, " + ", ".join(f"{k} string" for k in keys)
     df = spark.createDataFrame([(r["id"], r["id"], *[r.get(k) for k in keys]) for r in records], schema).repartition(3)
     held = spark.createDataFrame(owned, "kind string, value string, owner string") if owned else None
-    got = dedup.greedy(df, "id", "ord", keys, held, fan=4).collect()
+    got = dedup.greedy(df, "id", "ord", keys, held, fan=4, **more).collect()
     return {r["id"]: (r["status"], r["canonical_id"], r["method"]) for r in got}
 
 
@@ -105,7 +105,8 @@ def test_greedy_equals_the_fold(spark, seed):
         for i in range(250)
     ]
     owned = [("url", "3", "archive"), ("text", "5", "archive")] if seed == 5 else None
-    assert run_greedy(spark, records, keys, owned) == fold(records, keys, owned or ())
+    for more in ({}, {"one_task": 0}, {"room": 40}):  # pointers instead of one task, rounds instead of a fold
+        assert run_greedy(spark, records, keys, owned, **more) == fold(records, keys, owned or ())
 
 
 def test_long_chain_and_no_conflict(spark):
@@ -115,6 +116,43 @@ def test_long_chain_and_no_conflict(spark):
     assert {s for s, _, _ in run_greedy(spark, free, ["a"]).values()} == {"accepted"}
 
 
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_a_long_chain_takes_few_writes(spark, one_task, monkeypatch):
+    """Each record shares a key with the next: one component, one fold, however long the chain."""
+    from quire.operators import components
+    from quire.session import cut
+
+    writes = []
+    for module in (dedup, components):
+        monkeypatch.setattr(module, "cut", lambda df: writes.append(1) or cut(df))
+    chain = [{"id": i, "a": f"a{i // 2}", "b": f"b{(i + 1) // 2}"} for i in range(10_000)]
+    assert run_greedy(spark, chain, ["a", "b"], one_task=one_task) == fold(chain, ["a", "b"])
+    assert len(writes) <= 20
+
+
+@pytest.mark.parametrize("one_task", [0, 50, 1_000_000])
+def test_components(spark, one_task):
+    from quire.operators.components import components
+
+    rng = random.Random(one_task)
+    order = rng.sample(range(3000), 3000)
+    edges = [(order[i], order[i + 1]) for i in range(400)] + [(order[500], x) for x in order[501:900]]
+    edges += [tuple(rng.sample(order[900:2000], 2)) for _ in range(500)] + [(7, 7), edges[0], edges[0][::-1]]
+    up = {x: x for x in order}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3), one_task).collect()}
+    assert got == {x: root(x) for x in order if root(x) != x}
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long"), one_task).collect() == []
+
+
 def test_soft_hits(spark):
     df = spark.createDataFrame([(1, 1, "d1", "c1"), (2, 2, "d1", "c1"), (3, 3, None, "c1"), (4, 4, "d9", "")],
                                "id long, ord long, deed string, lawsuit string")
