@@ -8,6 +8,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..session import cut
 from .components import ONE_TASK, components
@@ -75,24 +76,28 @@ def greedy(records: DataFrame, ident: str, order: str, keys: Sequence[str], owne
     """
     pairs = key_pairs(records, ident, order, keys)
     by = ["kind", "value"]
-    counted = attach(pairs, by, [ident], [F.count(F.lit(1)).alias("_holders")], fan)
+    counted = attach(pairs, by, [ident], [F.count(F.lit(1)).alias("_holders"), F.min(order).alias("_least")], fan)
     if owned is not None:
         held = owned.groupBy("kind", "value").agg(F.min(F.col("owner").cast("string")).alias("_owner"))
         counted = lookup(counted, held, by, [ident], "left", fan)
     else:
         counted = counted.withColumn("_owner", F.lit(None).cast("string"))
     contested = cut(counted.filter((F.col("_holders") > 1) | F.col("_owner").isNotNull()).drop("_holders"))
-    # Sorted by the order and written, so that the numbers follow it and stay.
-    numbered = cut(contested.select(ident, order).distinct().orderBy(order).select(ident, F.monotonically_increasing_id().alias("_n")))
-    contested = cut(contested.join(numbered, ident))
-    star = attach(contested.select("_n", *by), by, ["_n"], [F.min("_n").alias("_least")], fan).select("_n", "_least")
+    if isinstance(contested.schema[order].dataType, IntegralType):
+        contested = contested.withColumns({"_n": F.col(order).cast("long"), "_least": F.col("_least").cast("long")})
+    else:
+        # Sorted by the order and written, so that the numbers follow it and stay.
+        numbered = cut(contested.select(order).distinct().orderBy(order).select(order, F.monotonically_increasing_id().alias("_n")))
+        least = numbered.select(F.col(order).alias("_least"), F.col("_n").alias("_first"))
+        contested = cut(lookup(contested.join(numbered, order), least, ["_least"], [ident]).drop("_least").withColumnRenamed("_first", "_least"))
+    star = contested.select("_n", "_least")
     labels = components(star, one_task).select(F.col("node").alias("_n"), F.col("root").alias("_label"))
     labelled = contested.join(labels, "_n", "left").withColumn("_label", F.coalesce("_label", "_n"))
     sizes = labelled.groupBy("_label").count().filter(F.col("count") > room)
     large = [r["_label"] for r in sizes.collect()]  # at most the contested keys over room
     rejected = _folded(labelled.filter(~F.col("_label").isin(large)) if large else labelled, ident)
     if large:
-        rejected = rejected.unionByName(_in_rounds(labelled.filter(F.col("_label").isin(large)).drop("_label", "_n"), ident, order, owned, fan))
+        rejected = rejected.unionByName(_in_rounds(labelled.filter(F.col("_label").isin(large)).drop("_label", "_n", "_least"), ident, order, owned, fan))
     return records.select(ident).join(rejected, ident, "left").select(
         ident, F.when(F.col("method").isNull(), "accepted").otherwise("duplicate").alias("status"), "canonical_id", "method",
     )

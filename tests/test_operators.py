@@ -82,10 +82,12 @@ def fold(records, keys, owned=()):
     return out
 
 
-def run_greedy(spark, records, keys, owned=None, **more):
+def run_greedy(spark, records, keys, owned=None, order="id", **more):
     schema = "id long, ord long, " + ", ".join(f"{k} string" for k in keys)
     df = spark.createDataFrame([(r["id"], r["id"], *[r.get(k) for k in keys]) for r in records], schema).repartition(3)
     held = spark.createDataFrame(owned, "kind string, value string, owner string") if owned else None
+    if order == "name":  # an order that is no number
+        df = df.withColumn("ord", F.format_string("n%06d", "ord"))
     got = dedup.greedy(df, "id", "ord", keys, held, fan=4, **more).collect()
     return {r["id"]: (r["status"], r["canonical_id"], r["method"]) for r in got}
 
@@ -105,7 +107,7 @@ def test_greedy_equals_the_fold(spark, seed):
         for i in range(250)
     ]
     owned = [("url", "3", "archive"), ("text", "5", "archive")] if seed == 5 else None
-    for more in ({}, {"one_task": 0}, {"room": 40}):  # pointers instead of one task, rounds instead of a fold
+    for more in ({}, {"one_task": 0}, {"room": 40}, {"order": "name"}):  # pointers instead of one task, rounds instead of a fold
         assert run_greedy(spark, records, keys, owned, **more) == fold(records, keys, owned or ())
 
 
