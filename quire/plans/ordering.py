@@ -83,23 +83,22 @@ def w5(t: Tables):
 
 
 @plan("w6_greedy_dedup", """
-WITH RECURSIVE base AS (SELECT event_id AS n, event_id AS id, user_id || '|' || floor(value)::BIGINT AS a, event_type || '|' || props || '|' || floor(value / 8)::BIGINT AS b FROM events),
-pairs AS (SELECT id, 1 AS rank, 'url' AS kind, a AS value FROM base UNION ALL SELECT id, 2, 'file', b FROM base),
-counted AS (SELECT *, count(*) OVER (PARTITION BY kind, value) AS holders FROM pairs),
-active AS (SELECT id, rank, kind, value FROM counted WHERE holders > 1),
-rounds AS (
-  SELECT 0 AS r, id, rank, kind, value, NULL::BOOLEAN AS ok FROM active
-  UNION ALL
-  SELECT r + 1, id, rank, kind, value, CASE WHEN wins THEN true WHEN beaten THEN false END FROM (
-    SELECT *, bool_or(lost) OVER (PARTITION BY id) AS beaten FROM (
-      SELECT *, bool_or(wins) OVER (PARTITION BY kind, value) AND NOT wins AS lost FROM (
-        SELECT *, bool_and(id = least_id) OVER (PARTITION BY id) AS wins FROM (
-          SELECT *, min(id) OVER (PARTITION BY kind, value) AS least_id FROM rounds WHERE ok IS NULL))))),
-settled AS (SELECT DISTINCT id, rank, kind, value, ok FROM rounds WHERE ok IS NOT NULL),
-hits AS (SELECT l.id, arg_min(w.id, l.rank) AS canon, arg_min(l.kind, l.rank) AS method FROM settled l JOIN settled w ON w.ok AND NOT l.ok AND w.kind = l.kind AND w.value = l.value AND w.id < l.id GROUP BY l.id)
-SELECT base.id AS event_id, CASE WHEN canon IS NULL THEN 'accepted' ELSE 'duplicate' END AS status, canon::VARCHAR AS canonical_id, method FROM base LEFT JOIN hits USING (id)""")
+WITH RECURSIVE base AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY event_id) AS n, event_id AS id, 'url|' || user_id || '|' || floor(value)::BIGINT AS a,
+         'file|' || event_type || '|' || props || '|' || floor(value / 8)::BIGINT AS b FROM events),
+held(k, owner, method) USING KEY (k) AS (
+  SELECT '#' AS k, 0::BIGINT AS owner, NULL::VARCHAR AS method
+  UNION
+  SELECT unnest(CASE WHEN ha IS NULL AND hb IS NULL THEN ['#', a, b] ELSE ['#', 'r|' || id] END),
+         unnest(CASE WHEN ha IS NULL AND hb IS NULL THEN [n, id, id] ELSE [n, coalesce(ha, hb)] END),
+         unnest(CASE WHEN ha IS NULL AND hb IS NULL THEN [NULL, NULL, NULL] ELSE [NULL, CASE WHEN ha IS NOT NULL THEN 'url' ELSE 'file' END] END)
+  FROM (SELECT c.n, c.id, c.a, c.b, x.owner AS ha, y.owner AS hb
+        FROM held h JOIN base c ON c.n = h.owner + 1 LEFT JOIN recurring.held x ON x.k = c.a LEFT JOIN recurring.held y ON y.k = c.b
+        WHERE h.k = '#'))
+SELECT id AS event_id, CASE WHEN r.k IS NULL THEN 'accepted' ELSE 'duplicate' END AS status, r.owner::VARCHAR AS canonical_id, r.method
+FROM base LEFT JOIN held r ON r.k = 'r|' || id""")
 def w6(t: Tables):
-    """Two strong keys per event, many of them shared; the fold itself is checked by the tests."""
+    """Two strong keys per event, many of them shared. The SQL is the fold itself, one event a step."""
     return dedup.greedy(_event_keys(t), "event_id", "ord", ["url", "file"])
 
 
