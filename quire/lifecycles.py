@@ -108,7 +108,7 @@ def extract_cases(pages: DataFrame, *, reference_only: tuple[str, ...] = (), pie
     described = read.select(src, page, F.length("_t").alias("_size"), *[c.alias(n) for n, c in meta.items()])
     described = cut(described)
     proof = segment.page_evidence_of(F.col("_size"), [F.col(c) for c in NUMBERS], F.col("decision_date"), F.col("subject"))
-    starts = segment.boundaries(described.filter(proof), src, page, NUMBERS, block=block)
+    starts = segment.boundaries(described.filter(proof), src, page, NUMBERS, block=block, keep_block=True)
     found = cut(segment.spans(starts, src, page, gated.select(src, "pages"), "pages", block=block))
 
     marks = found.select(src, page, F.lit(True).alias("_start"))

@@ -1,10 +1,10 @@
 """Order-dependent operators in two levels.
 
 Rows of a key are cut into blocks of the order column. Inside a block an ordinary window
-works; one row per block carries what crosses the edge. A block spans ``block`` numbers,
-or as many as hold ``block`` rows on average where the numbers lie further apart, so
-ids with large gaps (hashes, times) make no more blocks than dense ones. With a unique integer
-order a key with a third of the table is spread over all tasks.
+works; one row per block carries what crosses the edge. The borders come from a quantile sketch of the
+order column, so a block holds about ``block`` rows however the numbers crowd. Neighbouring blocks that together
+span no more than ``block`` numbers are one, as no key can have more rows there: page numbers that repeat in
+every volume need no blocks. With a unique integer order a key with a third of the table is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -17,13 +17,64 @@ from pyspark.sql import functions as F
 BLOCK = 1_000_000
 
 
-def block_start(rows: DataFrame, order: str, block: int) -> Column:
-    """The first number of each row's block. The width comes from one pass over the order column."""
+SKETCH = 4096  # quantiles that the sketch gives
+ACCURACY = 4 * SKETCH  # their ranks are right within 1 / ACCURACY of the rows
+
+
+def apart(low: Column, high: Column) -> Column:
+    """How far two numbers are apart, also where that is no long."""
+    return high.cast("double") - low.cast("double")
+
+
+def borders(rows: DataFrame, order: str, block: int) -> DataFrame:
+    """One row: least number, the borders between blocks, and into how many parts a block is still to be cut evenly."""
     at = F.col(order).cast("long")
-    span = F.max(at).cast("double") - F.min(at) + 1
-    width = F.greatest(F.lit(int(block)), F.ceil(span / F.count(at) * int(block)).cast("long"))
-    step = rows.agg(F.coalesce(width, F.lit(int(block))).alias("w")).scalar()
-    return F.coalesce(at - F.pmod(at, step), F.lit(0).cast("long"))
+    shares = F.array([F.lit(i / SKETCH) for i in range(1, SKETCH)])
+    sketch = rows.agg(
+        F.min(at).alias("least"), F.max(at).alias("most"), F.count(at).alias("n"), F.percentile_approx(at, shares, ACCURACY).alias("q"),
+    )
+    wanted = F.greatest(F.ceil(F.col("n") / block), F.lit(1))
+    every = F.greatest(F.floor(SKETCH / wanted), F.lit(1))
+    chosen = F.filter("q", lambda _, i: (i + 1) % every == 0)
+
+    def step(acc: Column, border: Column) -> Column:
+        # A border ends a block when the next one would stretch it over more than ``block`` numbers.
+        ends = (apart(acc["start"], border) > block) & (acc["last"] > acc["start"])
+        return F.struct(
+            F.when(ends, acc["last"]).otherwise(acc["start"]).alias("start"), border.alias("last"),
+            F.when(ends, F.array_append(acc["cuts"], acc["last"])).otherwise(acc["cuts"]).alias("cuts"),
+        )
+
+    start = F.struct(F.col("least").alias("start"), F.col("least").alias("last"), F.array().cast("array<bigint>").alias("cuts"))
+    cuts = F.aggregate(F.array_append(chosen, F.col("most")), start, step, lambda acc: acc["cuts"])
+    return sketch.select(F.struct(
+        "least", "most", F.when(apart(F.col("least"), F.col("most")) < block, F.array().cast("array<bigint>")).otherwise(cuts).alias("cuts"),
+        F.ceil(wanted / SKETCH).alias("parts"),
+    ).alias("b"))
+
+
+def with_block(rows: DataFrame, order: str, block: int) -> DataFrame:
+    """Add ``_block``, the first number of the row's block, from one pass over the order column."""
+    at, b = F.col(order).cast("long"), F.col("_borders")
+    cuts = b["cuts"]
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        right = F.get(cuts, middle) <= at
+        return F.struct(F.when(right, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(right, span["hi"]).otherwise(middle).alias("hi"))
+
+    steps = F.array([F.lit(i) for i in range(SKETCH.bit_length())])
+    place = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve, lambda span: span["lo"])
+
+    def within(i: Column) -> Column:
+        low, high = F.coalesce(F.get(cuts, i - 1), b["least"]), F.coalesce(F.get(cuts, i), b["most"])
+        width = F.greatest(F.lit(float(block)), F.ceil(apart(low, high) / b["parts"]))
+        return F.when(b["parts"] > 1, low + F.floor(apart(low, at) / width).cast("long") * width.cast("long")).otherwise(low)
+
+    found = F.transform(F.array(place), within)[0]
+    start = F.when(F.size(cuts) == 0, F.lit(0).cast("long")).otherwise(F.coalesce(found, F.lit(0).cast("long")))
+    # Lambdas may not hold the subquery itself.
+    return rows.withColumn("_borders", borders(rows, order, block).scalar()).withColumn("_block", start).drop("_borders")
 
 
 def in_order(
@@ -37,6 +88,7 @@ def in_order(
     position: str | None = None,
     block: int = BLOCK,
     keep_block: bool = False,
+    laid: bool = False,
 ) -> DataFrame:
     """Add columns that look along each key in ascending ``order``.
 
@@ -44,14 +96,18 @@ def in_order(
     maps a new name to a column summed up to and including the row, ``position`` names
     a 1-based rank. ``order`` is an integer, unique within the key; keys are not NULL.
     With ``keep_block`` the column ``_block`` stays: rows are laid out by key and block,
-    so grouping by both and more needs no further exchange.
+    so grouping by both and more needs no further exchange. ``laid`` says that the rows come with this column
+    and layout from an earlier call, which then serves again.
     """
     previous, following, running = dict(previous or {}), dict(following or {}), dict(running or {})
     # NULLs go here rather than in a join later: both uses of the layout then share it.
     for name in dict.fromkeys([*keys, order]):
         if rows.schema[name].nullable:
             rows = rows.filter(F.col(name).isNotNull())
-    laid = rows.withColumn("_block", block_start(rows, order, block)).repartition(*keys, "_block")
+    if laid:
+        placed = rows
+    else:
+        placed = with_block(rows, order, block).repartition(*keys, "_block")
     near = Window.partitionBy(*keys, "_block").orderBy(order)
     upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     far = Window.partitionBy(*keys).orderBy("_block")
@@ -73,14 +129,14 @@ def in_order(
         edge.append(F.sum(value).alias(f"_edge_{name}"))
         carry.append(F.sum(f"_edge_{name}").over(before).alias(f"_out_{name}"))
 
-    blocks = laid.groupBy(*keys, "_block").agg(*edge).select(*keys, "_block", *carry)
-    joined = laid.select("*", *inside).join(blocks, [*keys, "_block"])
+    blocks = placed.groupBy(*keys, "_block").agg(*edge).select(*keys, "_block", *carry)
+    joined = placed.select("*", *inside).join(blocks, [*keys, "_block"])
     results = [F.coalesce(f"_in_{n}", f"_out_{n}")["v"].alias(n) for n in (*previous, *following)]
     for name in sums:
         offset = F.coalesce(F.col(f"_out_{name}"), F.lit(0))
         results.append((F.col(f"_in_{name}") + offset).alias(name))
-    kept = ["_block"] if keep_block else []
-    return joined.select(*rows.columns, *kept, *results)
+    columns = [c for c in rows.columns if c != "_block"] + (["_block"] if keep_block else [])
+    return joined.select(*columns, *results)
 
 
 def number_batches(rows: DataFrame, order: str, size: int, *, name: str = "batch", block: int = BLOCK) -> DataFrame:

@@ -51,13 +51,14 @@ def index_volumes(pages: DataFrame, source: str, page: str, text: str, *, all_of
 
 
 def boundaries(candidates: DataFrame, source: str, page: str, identity: Sequence[str],
-               block: int = BLOCK) -> DataFrame:
+               block: int = BLOCK, keep_block: bool = False) -> DataFrame:
     """Keep a candidate page when its identity differs from the previous candidate's.
 
-    Filter by evidence first: pages without evidence do not interrupt an identity.
+    Filter by evidence first: pages without evidence do not interrupt an identity. With ``keep_block``
+    the layout stays for ``spans``.
     """
     packed = candidates.withColumn("_identity", F.struct(*identity))
-    looked = in_order(packed, [source], page, previous={"_before": "_identity"}, block=block)
+    looked = in_order(packed, [source], page, previous={"_before": "_identity"}, block=block, keep_block=keep_block)
     return looked.filter(~F.col("_before").eqNullSafe(F.col("_identity"))).drop("_before", "_identity")
 
 
@@ -65,9 +66,10 @@ def spans(starts: DataFrame, source: str, page: str, last_pages: DataFrame, last
           block: int = BLOCK) -> DataFrame:
     """End of each span: the page before the next start, else the last page.
 
-    Compute before any candidate is skipped; a skipped one still ends its predecessor.
+    Compute before any candidate is skipped; a skipped one still ends its predecessor. Starts that
+    ``boundaries`` has left in their blocks are not dealt out again.
     """
-    looked = in_order(starts, [source], page, following={"_next": page}, block=block)
+    looked = in_order(starts, [source], page, following={"_next": page}, block=block, laid="_block" in starts.columns)
     sized = lookup(looked, last_pages.select(source, last), [source], [source, page])
     return sized.withColumn("end_page", F.coalesce(F.col("_next") - 1, F.col(last))).drop("_next", last)
 

@@ -27,10 +27,10 @@ b AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS
 s AS (SELECT user_id, event_id, event_type FROM b WHERE before IS DISTINCT FROM event_type)"""
 
 
-def _starts(t: Tables):
+def _starts(t: Tables, keep_block: bool = False):
     """Evidence (a minimum value) is filtered before identities are compared."""
     candidates = t("events").filter(F.col("value") >= 5).select("user_id", "event_id", "event_type")
-    return segment.boundaries(candidates, "user_id", "event_id", ["event_type"])
+    return segment.boundaries(candidates, "user_id", "event_id", ["event_type"], keep_block=keep_block)
 
 
 @plan("w2_spans", f"""
@@ -39,7 +39,7 @@ SELECT user_id, event_id AS start_page, event_type, coalesce(lead(event_id) OVER
 FROM s JOIN l USING (user_id)""")
 def w2(t: Tables):
     last = t("events").groupBy("user_id").agg(F.max("event_id").alias("last"))
-    spans = segment.spans(_starts(t), "user_id", "event_id", last, "last")
+    spans = segment.spans(_starts(t, keep_block=True), "user_id", "event_id", last, "last")
     return spans.select("user_id", F.col("event_id").alias("start_page"), "event_type", "end_page")
 
 

@@ -56,6 +56,27 @@ def test_in_order_across_block_edges(spark, block):
     assert {r["id"]: (r["p"], r["f"], r["s"], r["n"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowded_numbers_make_even_blocks(spark, seed, monkeypatch):
+    """Nine tenths of the ids in a hundredth of their range, beyond what the sketch's quantiles name one by one."""
+    rng = random.Random(seed)
+    ids = set(rng.sample(range(10**9, 10**9 + 10**7), 18_000)) | set(rng.sample(range(-(10**9), 0), 2_000)) | {-(2**62), 2**62}
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+    for block, quantiles in ((100, 4096), (1_000, 4096), (1_000, 8)):
+        monkeypatch.setattr(ordered, "SKETCH", quantiles)
+        sizes = [r["count"] for r in ordered.with_block(df, "id", block).groupBy("_block").count().collect()]
+        assert sum(sizes) == len(ids) and len(sizes) <= 3 * len(ids) / block + 3
+        assert max(sizes) < 2 * block or quantiles == 8
+    got = ordered.in_order(df, [], "id", previous={"p": "id"}, position="n", block=100)
+    order = sorted(ids)
+    assert {r.id: (r.p, r.n) for r in got.collect()} == {x: (order[i - 1] if i else None, i + 1) for i, x in enumerate(order)}
+
+
+def test_numbers_that_repeat_in_each_key_stay_in_one_block(spark):
+    df = spark.range(50_000).selectExpr("id div 100 AS k", "id % 100 AS page")
+    assert ordered.with_block(df, "page", 100).select("_block").distinct().count() == 1
+
+
 def test_previous_keeps_null_values(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", 5), (3, "a", None), (4, "a", 6)], "id long, k string, v int")
     got = ordered.in_order(df, ["k"], "id", previous={"p": "v"}, block=2).orderBy("id").collect()
