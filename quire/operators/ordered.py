@@ -11,70 +11,52 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1_000_000
 
 
-SKETCH = 4096  # quantiles that the sketch gives
-ACCURACY = 4 * SKETCH  # their ranks are right within 1 / ACCURACY of the rows
-
-
-def apart(low: Column, high: Column) -> Column:
-    """How far two numbers are apart, also where that is no long."""
-    return high.cast("double") - low.cast("double")
+SKETCH = 512  # quantiles that the sketch gives
+ACCURACY = 16 * SKETCH  # their ranks are right within 1 / ACCURACY of the rows
 
 
 def borders(rows: DataFrame, order: str, block: int) -> DataFrame:
-    """One row: least number, the borders between blocks, and into how many parts a block is still to be cut evenly."""
+    """One row: least and greatest number, the borders between blocks, and into how many parts a block is still to be cut evenly.
+
+    A border ends a block when the next one would stretch it over more than ``block`` numbers. Distances are
+    doubles, as two numbers may be further apart than any long. (Written as text: one parse is cheaper than many calls.)
+    """
     at = F.col(order).cast("long")
-    shares = F.array([F.lit(i / SKETCH) for i in range(1, SKETCH)])
+    shares = F.lit(np.arange(1, SKETCH) / SKETCH)
     sketch = rows.agg(
-        F.min(at).alias("least"), F.max(at).alias("most"), F.count(at).alias("n"), F.percentile_approx(at, shares, ACCURACY).alias("q"),
+        F.min(at).alias("least"), F.max(at).alias("most"), F.percentile_approx(at, shares, ACCURACY).alias("q"),
+        F.greatest(F.ceil(F.count(at) / block), F.lit(1)).alias("wanted"),
     )
-    wanted = F.greatest(F.ceil(F.col("n") / block), F.lit(1))
-    every = F.greatest(F.floor(SKETCH / wanted), F.lit(1))
-    chosen = F.filter("q", lambda _, i: (i + 1) % every == 0)
-
-    def step(acc: Column, border: Column) -> Column:
-        # A border ends a block when the next one would stretch it over more than ``block`` numbers.
-        ends = (apart(acc["start"], border) > block) & (acc["last"] > acc["start"])
-        return F.struct(
-            F.when(ends, acc["last"]).otherwise(acc["start"]).alias("start"), border.alias("last"),
-            F.when(ends, F.array_append(acc["cuts"], acc["last"])).otherwise(acc["cuts"]).alias("cuts"),
-        )
-
-    start = F.struct(F.col("least").alias("start"), F.col("least").alias("last"), F.array().cast("array<bigint>").alias("cuts"))
-    cuts = F.aggregate(F.array_append(chosen, F.col("most")), start, step, lambda acc: acc["cuts"])
-    return sketch.select(F.struct(
-        "least", "most", F.when(apart(F.col("least"), F.col("most")) < block, F.array().cast("array<bigint>")).otherwise(cuts).alias("cuts"),
-        F.ceil(wanted / SKETCH).alias("parts"),
-    ).alias("b"))
+    far = f"double(x) - double(a.start) > {block} AND a.last > a.start"
+    cuts = f"""aggregate(
+        array_append(filter(q, (x, i) -> (i + 1) % greatest({SKETCH} div wanted, 1) = 0), most),
+        named_struct('start', least, 'last', least, 'cuts', CAST(array() AS array<bigint>)),
+        (a, x) -> named_struct('start', if({far}, a.last, a.start), 'last', x, 'cuts', if({far}, array_append(a.cuts, a.last), a.cuts)),
+        a -> a.cuts)"""
+    return sketch.select(F.expr(f"""named_struct('least', least, 'most', most, 'parts', ceil(wanted / {SKETCH}),
+        'cuts', if(double(most) - double(least) < {block}, CAST(array() AS array<bigint>), {cuts}))""").alias("b"))
 
 
 def with_block(rows: DataFrame, order: str, block: int) -> DataFrame:
     """Add ``_block``, the first number of the row's block, from one pass over the order column."""
-    at, b = F.col(order).cast("long"), F.col("_borders")
-    cuts = b["cuts"]
-
-    def halve(span: Column, _: Column) -> Column:
-        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
-        right = F.get(cuts, middle) <= at
-        return F.struct(F.when(right, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(right, span["hi"]).otherwise(middle).alias("hi"))
-
-    steps = F.array([F.lit(i) for i in range(SKETCH.bit_length())])
-    place = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve, lambda span: span["lo"])
-
-    def within(i: Column) -> Column:
-        low, high = F.coalesce(F.get(cuts, i - 1), b["least"]), F.coalesce(F.get(cuts, i), b["most"])
-        width = F.greatest(F.lit(float(block)), F.ceil(apart(low, high) / b["parts"]))
-        return F.when(b["parts"] > 1, low + F.floor(apart(low, at) / width).cast("long") * width.cast("long")).otherwise(low)
-
-    found = F.transform(F.array(place), within)[0]
-    start = F.when(F.size(cuts) == 0, F.lit(0).cast("long")).otherwise(F.coalesce(found, F.lit(0).cast("long")))
-    # Lambdas may not hold the subquery itself.
-    return rows.withColumn("_borders", borders(rows, order, block).scalar()).withColumn("_block", start).drop("_borders")
+    at = f"CAST(`{order}` AS bigint)"
+    place = f"""aggregate(sequence(1, {SKETCH.bit_length()}), named_struct('lo', 0, 'hi', size(_borders.cuts)),
+        (s, x) -> if(get(_borders.cuts, (s.lo + s.hi) div 2) <= {at},
+                     named_struct('lo', int((s.lo + s.hi) div 2) + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', int((s.lo + s.hi) div 2))),
+        s -> s.lo)"""
+    low, high = "coalesce(get(_borders.cuts, i - 1), _borders.least)", "coalesce(get(_borders.cuts, i), _borders.most)"
+    width = f"greatest({float(block)}D, ceil((double({high}) - double({low})) / _borders.parts))"
+    even = f"if(_borders.parts > 1, {low} + bigint(floor((double({at}) - double({low})) / {width})) * bigint({width}), {low})"
+    start = f"if(size(_borders.cuts) = 0, 0L, coalesce(transform(array({place}), i -> {even})[0], 0L))"
+    # Lambdas may not hold the subquery itself, so a column does.
+    return rows.withColumn("_borders", borders(rows, order, block).scalar()).withColumn("_block", F.expr(start)).drop("_borders")
 
 
 def in_order(
