@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, map_arrow
+from .common import cut, let
 
 WILD = "<*>"
 LEADING, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 5, 10, 0.7
@@ -56,13 +56,13 @@ def leaf_of(tokens: Column, leading: int) -> Column:
 
 
 def parsed(text: Column, leading: int, min_tokens: int) -> Column:
-    """The lines that can have a template: array of (line, leaf, h, short, whole), h the hash of the masked line."""
+    """The lines that can have a template: array of (line, leaf, h, short, whole, words), h the hash of the masked line."""
 
     def one(raw: Column, line: Column) -> Column:
         def fields(t: Column) -> Column:
             short, h = F.size(t) < min_tokens, F.xxhash64(line)
             leaf = F.when((line != "") & (~short | line.rlike(r"\p{L}")), leaf_of(t, leading))
-            return F.struct(line.alias("line"), leaf.alias("leaf"), h.alias("h"), short.alias("short"), whole(raw, t, h).alias("whole"))
+            return F.struct(line.alias("line"), leaf.alias("leaf"), h.alias("h"), short.alias("short"), whole(raw, t, h).alias("whole"), F.size(t).alias("words"))
 
         return let(F.split(line, " "), fields)
 
@@ -70,32 +70,24 @@ def parsed(text: Column, leading: int, min_tokens: int) -> Column:
     return F.filter(lines, lambda x: x["leaf"].isNotNull())
 
 
-def dealt_out(docs: DataFrame) -> DataFrame:
-    """The documents by a hash of their id, once for all that joins them; other columns wait in one, so that no name clashes."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_"))
-    return docs.select("doc_id", "text", others.alias("others"), F.xxhash64("doc_id").alias("deal")).repartition(parts, "deal")
-
-
-def recurring_lines(docs: DataFrame, dealt: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def recurring_lines(
+    docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, spare: float | None = None
+) -> DataFrame:
     """doc_id and the hashes of the lines (masked, or whole) that go from it; documents that keep all their lines are not listed."""
     first = F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")
-    lines = docs.select("doc_id", F.explode(F.array_distinct(parsed(F.col("text"), leading, min_tokens))).alias("x")).select("doc_id", "x.*")
+    parts = docs.select("doc_id", F.explode(F.array_distinct(parsed(F.col("text"), leading, min_tokens))).alias("x")).select("doc_id", "x.*")
     # Leaves that enough documents visit; a template cannot recur more often than its leaf.
-    keys = cut(lines.select("doc_id", "leaf", "h", "short", "whole").distinct())
-    long = keys.filter("whole IS NOT NULL").select("doc_id", F.col("whole").alias("h"))
+    keys = cut(parts.select("doc_id", "leaf", "h", "short", "whole", "words").distinct())
+    long = keys.filter("whole IS NOT NULL").select("doc_id", F.col("whole").alias("h"), "words")
     twice = long.groupBy("h").agg(F.count(F.lit(1)).alias("n"), first).filter(F.col("n") >= 2)
-    copied = long.join(twice, "h").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h")
-    hot = keys.select("doc_id", "leaf").distinct().groupBy("leaf").count().filter(F.col("count") >= min(min_docs, SHORT_DOCS)).select("leaf")
-    pairs = cut(keys.select("doc_id", "leaf", "h", "short").join(hot, "leaf", "left_semi").distinct())
-    # Equal lines collapse before their tokens are looked at; the texts of only these lines are needed.
-    known = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
-    wanted = known.groupBy("doc_id").agg(F.collect_set("h").alias("wanted"))  # at most the lines of the document
-    asked = dealt.join(wanted.withColumn("wanted_key", F.xxhash64("doc_id")).withColumnRenamed("doc_id", "wanted_id"), (F.col("deal") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-    # An opaque step takes all columns, so that this and the final join read one and the same exchange of the texts.
-    texts = map_arrow(asked, lambda batches: (b.select(["text", "wanted"]) for b in batches), "text string, wanted array<bigint>")
-    found = texts.select(F.explode(F.filter(parsed(F.col("text"), leading, min_tokens), lambda x: F.array_contains(F.col("wanted"), x["h"]))).alias("x")).select("x.*")
-    shapes = found.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"), F.first("short").alias("short")).join(known.select("h", "n"), "h")
+    copied = long.join(twice, "h").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "words", "first")
+    hot = cut(keys.select("doc_id", "leaf").distinct().groupBy("leaf").count().filter(F.col("count") >= min(min_docs, SHORT_DOCS)).select("leaf"))
+    pairs = cut(keys.select("doc_id", "leaf", "h", "short", "words").join(hot, "leaf", "left_semi").distinct())
+    # Equal lines of these leaves collapse where they are read, before their tokens are looked at; no document is joined for them.
+    known = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    spelled_out = docs.select(F.explode(parsed(F.col("text"), leading, min_tokens)).alias("x")).select("x.leaf", "x.h", "x.line", "x.short")
+    found = spelled_out.join(hot, "leaf", "left_semi").distinct()
+    shapes = cut(found.join(known, "h"))
     tokens = shapes.select("h", "leaf", "short", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     totals = shapes.groupBy("leaf").agg(F.sum("n").alias("total"))
     constant = tokens.filter(F.col("token") != WILD).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs)
@@ -109,18 +101,31 @@ def recurring_lines(docs: DataFrame, dealt: DataFrame, leading: int = LEADING, m
     spelled = spelled.withColumn("least", least)
     general = F.xxhash64("leaf", F.array_join(F.transform("t", lambda x: F.when(x["level"] <= F.col("least"), x["token"]).otherwise(WILD)), " "))
     templates = spelled.select("h", "short", F.when(F.col("least").isNotNull(), general).otherwise(F.col("h")).alias("template"))
-    placed = pairs.select("doc_id", "h").join(templates, "h")
+    placed = pairs.select("doc_id", "h", "words").join(templates, "h")
     needed = F.when(F.bool_or("short"), SHORT_DOCS).otherwise(min_docs)
     recurring = placed.select("template", "doc_id", "short").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), needed.alias("needed"), first).filter(F.col("n") >= F.col("needed"))
-    dropped = placed.join(recurring, "template").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h").unionByName(copied)
+    dropped = placed.join(recurring, "template").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "words", "first").unionByName(copied)
+    if spare is not None:
+        # What a document shares with one and the same first document: more than ``spare`` of its words make it a copy.
+        once = dropped.groupBy("doc_id", "h").agg(F.max("words").alias("words"), F.min("first").alias("first"))
+        shared = once.groupBy("doc_id", "first").agg(F.sum("words").alias("words")).groupBy("doc_id").agg(F.max("words").alias("shared"))
+        own = keys.groupBy(F.col("doc_id").alias("own_id")).agg(F.sum("words").alias("own"))
+        copies = shared.join(own, F.col("doc_id").eqNullSafe(F.col("own_id"))).filter(F.col("shared") > spare * F.col("own")).select(F.col("doc_id").alias("copy_id"))
+        dropped = dropped.join(copies, F.col("doc_id").eqNullSafe(F.col("copy_id")), "left_anti")
     return dropped.groupBy("doc_id").agg(F.collect_set("h").alias("dropped"))
 
 
-def drop_recurring_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """All rows and columns of ``docs``, texts without the lines whose template recurs, and n_lines_dropped."""
-    dealt = dealt_out(docs)
-    gone = recurring_lines(docs, dealt, leading, min_tokens, min_docs, similarity).withColumnRenamed("doc_id", "gone_id").withColumn("gone_key", F.xxhash64("gone_id"))
-    joined = dealt.join(gone, (F.col("deal") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+def drop_recurring_lines(
+    docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, spare: float | None = None
+) -> DataFrame:
+    """All rows and columns of ``docs``, texts without the lines whose template recurs, and n_lines_dropped.
+
+    With ``spare`` a document that has more than this share of its words in lines of one earlier document stays as it is:
+    it is a copy of that document, which is for near-duplicate detection to judge, and that needs whole texts.
+    """
+    gone = recurring_lines(docs, leading, min_tokens, min_docs, similarity, spare).withColumnRenamed("doc_id", "gone_id")
+    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_"))  # in one column, so that no name clashes
+    joined = docs.select("doc_id", "text", others.alias("others")).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
 
     def stays(raw: Column) -> Column:
         def kept(line: Column) -> Column:
