@@ -2,7 +2,8 @@
 
 1. language: documents without a letter, or whose cross-entropy no language of the table explains, go.
 2. line_dedup: lines of recurring templates go from all but the first document that has them; a document
-   that consists of nothing else goes.
+   that consists of nothing else goes. A document with over half of its words in lines of one earlier document
+   stays whole: near copies are judged on whole texts, by the next stage.
 3. near_dedup: of each group of documents that links of five-word similarity 0.8 or more join one stays.
 4. decontamination: documents that contain a benchmark item go.
 5. encoding: the rest as SentencePiece ids.
@@ -32,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_recurring_lines(docs)
+    out = line_dedup.drop_recurring_lines(docs, spare=0.5)
     emptied = (F.col("n_lines_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = out.filter(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
