@@ -28,11 +28,12 @@ SELECT event_id, user_id, CASE WHEN event_id > {START} THEN 'new' ELSE 'retry' E
 def r1(t: Tables):
     """Rows past the cursor and the retry set, the earlier failed posts."""
     root = scratch(t.spark, "cursor")
+    failed = t("events").filter((F.col("event_id") <= START) & (F.col("event_type") == "error")).select("event_id")
+    job = I.Intake(t.spark, root, "user_id", "event_id", "value", "props", cursor=START, retry=tuple(r[0] for r in failed.collect()))
 
     def each(batch, number):
-        wanted = (F.col("event_id") > START) | (F.col("event_type") == "error")
-        origin = F.when(F.col("event_id") > START, "new").otherwise("retry")
-        append_once(batch.filter(wanted).select("event_id", "user_id", origin.alias("origin")), f"{root}/rows", number)
+        origin = F.when(F.col("retried"), "retry").otherwise("new")
+        append_once(job.candidates(batch, number).select("event_id", "user_id", origin.alias("origin")), f"{root}/rows", number)
 
     I.drain(_stream(t, "events"), f"{root}/checkpoint", each)
     return read_log(t.spark, f"{root}/rows").drop("batch_id")
@@ -45,21 +46,23 @@ def r2(t: Tables):
     return t("events").agg(F.max("event_id").alias("cursor"), F.count_if(F.col("event_id") > cursor.scalar()).alias("emitted"))
 
 
-@plan("r3_budget_admission", f"""
-WITH RECURSIVE n AS (SELECT user_id, event_id, round(value * 100)::BIGINT AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-b AS (SELECT user_id, event_id, bytes, (n - 1) // 25 + 1 AS cycle, (n - 1) % 25 + 1 AS p FROM n),
-f AS (SELECT DISTINCT user_id, cycle, 0::BIGINT AS p, 0::BIGINT AS used, NULL::BIGINT AS event_id, NULL::VARCHAR AS status FROM b
-  UNION ALL SELECT b.user_id, b.cycle, b.p, CASE WHEN bytes <= {LIMIT} AND used + bytes <= {BUDGET} THEN used + bytes ELSE used END, b.event_id,
+def _cycle_sql(retry: str) -> str:
+    """One cycle of each user: all retries and the first 25 other events, folded in order under one budget; the rest wait."""
+    return f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, round(value * 100)::BIGINT AS bytes, {retry} AS again FROM events),
+n AS (SELECT *, count(*) FILTER (NOT again) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e),
+b AS (SELECT user_id, event_id, bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM n WHERE again OR n <= 25),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS p, 0::BIGINT AS used, NULL::BIGINT AS event_id, NULL::VARCHAR AS status FROM b
+  UNION ALL SELECT b.user_id, b.p, CASE WHEN bytes <= {LIMIT} AND used + bytes <= {BUDGET} THEN used + bytes ELSE used END, b.event_id,
     CASE WHEN bytes > {LIMIT} THEN 'manual_archival_required' WHEN used + bytes > {BUDGET} THEN 'download_failed' ELSE 'acquired' END
-  FROM f JOIN b ON b.user_id = f.user_id AND b.cycle = f.cycle AND b.p = f.p + 1)
-SELECT user_id, cycle, event_id, status FROM f WHERE p > 0""")
-def r3(t: Tables):
-    return B.admit(_sized(t), "user_id", "event_id", "bytes", item_limit=LIMIT, cycle_budget=BUDGET).select(
-        "user_id", "cycle", "event_id", "status")
+  FROM f JOIN b ON b.user_id = f.user_id AND b.p = f.p + 1),
+fate AS (SELECT user_id, event_id, status FROM f WHERE p > 0 UNION ALL SELECT user_id, event_id, 'waiting' FROM n WHERE NOT again AND n > 25)"""
 
 
-def _sized(t: Tables):
-    return t("events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("bytes"))
+@plan("r3_budget_admission", _cycle_sql("event_type = 'error'") + " SELECT user_id, event_id, status FROM fate")
+def r3(t: Tables):
+    rows = t("events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("bytes"), (F.col("event_type") == "error").alias("again"))
+    return B.admit(rows, "user_id", "event_id", "bytes", retry="again", item_limit=LIMIT, cycle_budget=BUDGET).select("user_id", "event_id", "status")
 
 
 @plan("r4_binary_dedup", """
@@ -143,16 +146,11 @@ def r8(t: Tables):
     return rows
 
 
-@plan("r9_run_status", f"""
-WITH RECURSIVE n AS (SELECT user_id, event_id, round(value * 100)::BIGINT AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-b AS (SELECT user_id, event_id, bytes, (n - 1) // 25 + 1 AS cycle, (n - 1) % 25 + 1 AS p FROM n),
-f AS (SELECT DISTINCT user_id, cycle, 0::BIGINT AS p, 0::BIGINT AS used, NULL::VARCHAR AS status FROM b
-  UNION ALL SELECT b.user_id, b.cycle, b.p, CASE WHEN bytes <= {LIMIT} AND used + bytes <= {BUDGET} THEN used + bytes ELSE used END,
-    CASE WHEN bytes > {LIMIT} THEN 'manual' WHEN used + bytes > {BUDGET} THEN 'retry' ELSE 'acquired' END
-  FROM f JOIN b ON b.user_id = f.user_id AND b.cycle = f.cycle AND b.p = f.p + 1)
-SELECT count(*) FILTER (status = 'acquired') AS acquired, count(*) FILTER (status = 'manual') AS manual, count(*) FILTER (status = 'retry') AS retry,
-  CASE WHEN count(*) FILTER (status = 'retry' OR status = 'manual') = 0 THEN 'completed' ELSE 'completed_with_failures' END AS outcome,
-  (SELECT max(event_id) FROM events) AS cursor FROM f WHERE p > 0""")
+@plan("r9_run_status", _cycle_sql("false") + """
+SELECT count(*) FILTER (status = 'acquired') AS acquired, count(*) FILTER (status = 'manual_archival_required') AS manual,
+  count(*) FILTER (status = 'download_failed') AS retry, count(*) FILTER (status = 'waiting') AS waiting,
+  CASE WHEN count(*) FILTER (status IN ('download_failed', 'manual_archival_required')) = 0 THEN 'completed' ELSE 'completed_with_failures' END AS outcome,
+  max(event_id) FILTER (status <> 'waiting') AS cursor FROM fate""")
 def r9(t: Tables):
     """The whole cycle: cursor, admission, duplicates, failures, status."""
     root = scratch(t.spark, "cycle")
@@ -160,7 +158,7 @@ def r9(t: Tables):
     stream = _stream(t, "events").select(
         "user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("bytes"), F.concat_ws("|", "user_id", "event_type").alias("sha"))
     job.run(stream)
-    return job.last_success().select("acquired", "manual", "retry", "outcome", "cursor")
+    return job.last_success().select("acquired", "manual", "retry", "waiting", "outcome", "cursor")
 
 
 @plan("r10_failure_register", """

@@ -52,18 +52,26 @@ def touched(history: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 def latest_registered(rows: DataFrame, digest: str, order: str, ident: str, register: DataFrame | None,
                       block: int = BLOCK) -> DataFrame:
-    """Each row with the most recent earlier row of the same hash, in the batch or before it."""
+    """Each row with the most recent earlier row of the same hash, in the batch or before it. An unknown hash equals none."""
+    alone = rows.filter(F.col(digest).isNull()).withColumn("canonical_id", F.lit(None).cast(rows.schema[ident].dataType))
+    rows = rows.filter(F.col(digest).isNotNull())
     near = in_order(rows, [digest], order, previous={"canonical_id": ident}, block=block)
     if register is None:
-        return near
+        return near.unionByName(alone)
     known = touched(register, rows, digest).groupBy(digest).agg(F.max_by(ident, F.struct("batch_id", order)).alias("_known"))
     joined = lookup(near, known, [digest], [order])
-    return joined.withColumn("canonical_id", F.coalesce("canonical_id", "_known")).drop("_known")
+    linked = joined.withColumn("canonical_id", F.coalesce("canonical_id", "_known")).drop("_known")
+    return linked.unionByName(alone.select(*linked.columns))
 
 
 @dataclass
 class Intake:
-    """Cursor, retries, budget, binary duplicates, failures and status of one feed."""
+    """Cursor, retries, budget, binary duplicates, failures and status of one feed.
+
+    A micro-batch is one cycle: what failed in the last one, the named retries, and the first posts past the channel's
+    cursor, under one budget. The cursor moves to the last post taken; posts beyond wait in a log of their own, where
+    the cursor finds them. Both are read from the logs of earlier batches, so a repeated batch sees the same.
+    """
 
     spark: SparkSession
     root: str
@@ -88,16 +96,31 @@ class Intake:
         found = self.log(name)
         return None if found is None else found.filter(F.col("batch_id") < batch)
 
+    def past_cursor(self, posts: DataFrame, number: int) -> DataFrame:
+        """The posts that no cycle has taken yet: those past their channel's cursor. Channels are few; a cursor is one row each."""
+        moved = self.before("cursors", number)
+        start = F.lit(self.cursor)
+        if moved is not None:
+            at = moved.groupBy(F.col(self.channel).alias("_channel")).agg(F.max("cursor").alias("_cursor"))
+            posts = posts.join(at, F.col(self.channel).eqNullSafe(F.col("_channel")), "left").drop("_channel")
+            start = F.greatest(start, F.col("_cursor"))
+        return posts.filter(F.col(self.ident) > start).drop("_cursor")
+
     def candidates(self, batch: DataFrame, number: int) -> DataFrame:
-        """Rows past the cursor, the named retries, and what the last batch put back."""
-        wanted = F.col(self.ident) > self.cursor
+        """Posts past the cursor, here or waiting, the named retries, and what the last batch put back (``retried`` tells them apart)."""
+        arrived = batch
+        waiting = self.before("waiting", number)
+        if waiting is not None:
+            arrived = arrived.unionByName(waiting.drop("batch_id").select(*batch.columns))
+        fresh = self.past_cursor(arrived, number).withColumn("retried", F.lit(False))
         if self.retry:
-            wanted = wanted | F.col(self.ident).isin(*self.retry)
-        fresh = batch.filter(wanted)
-        again = self.before("retry", number)
-        if again is not None:
-            last = again.filter(F.col("batch_id") == number - 1).drop("batch_id")
-            fresh = fresh.unionByName(last)
+            named = self.spark.createDataFrame([(i,) for i in self.retry], f"_retry {batch.schema[self.ident].dataType.simpleString()}").distinct()
+            again = batch.filter(F.col(self.ident) <= self.cursor).join(named, F.col(self.ident) == F.col("_retry"), "left_semi")
+            fresh = fresh.unionByName(again.withColumn("retried", F.lit(True)))
+        back = self.before("retry", number)
+        if back is not None:
+            last = back.filter(F.col("batch_id") == number - 1).drop("batch_id")
+            fresh = fresh.unionByName(last.select(*batch.columns).withColumn("retried", F.lit(True)))
         done = self.before("register", number)
         if done is not None:
             fresh = fresh.join(touched(done.select(self.ident), fresh, self.ident), self.ident, "left_anti")
@@ -107,8 +130,9 @@ class Intake:
         rows = cut(self.candidates(batch, number))
         if rows.isEmpty():
             return
-        fate = cut(B.admit(rows, self.channel, self.ident, self.size, item_limit=self.item_limit,
+        fate = cut(B.admit(rows, self.channel, self.ident, self.size, retry="retried", item_limit=self.item_limit,
                            cycle_budget=self.cycle_budget, per_cycle=self.per_cycle))
+        rows = rows.drop("retried")
         acquired = fate.filter(F.col("status") == B.ACQUIRED).select(self.ident)
         kept = rows.join(acquired, self.ident)
         earlier = self.before("register", number)
@@ -119,7 +143,12 @@ class Intake:
         append_once(failed, f"{self.root}/failures", number)
         back = failed.filter(F.col("failure_class") == "retryable").select(self.ident)
         append_once(rows.join(back, self.ident, "left_semi"), f"{self.root}/retry", number)
-        seen = rows.agg(F.max(self.ident).alias("cursor"))
+        # Only what has arrived with this batch: what waited before is in the log already.
+        beyond = fate.filter(F.col("status") == B.WAITING).select(self.ident)
+        append_once(batch.join(beyond, self.ident, "left_semi"), f"{self.root}/waiting", number)
+        taken = fate.filter((F.col("status") != B.WAITING) & ~F.col("retried"))
+        append_once(taken.groupBy(self.channel).agg(F.max(self.ident).alias("cursor")), f"{self.root}/cursors", number)
+        seen = fate.filter(F.col("status") != B.WAITING).agg(F.max(self.ident).alias("cursor"))
         status = B.cycle_status(fate).withColumn("cursor", seen.scalar())
         append_once(status, f"{self.root}/status", number)
 

@@ -24,24 +24,67 @@ def job(spark, folder, **more):
     return I.Intake(spark, f"{folder}/out", "channel", "post", "bytes", "sha", **settings)
 
 
+def one_cycle(rows, retries, item_limit, budget, per_cycle):
+    """The statement: retries and the first posts in order, one budget a channel."""
+    want, new, used = {}, {}, {}
+    for channel, post, size, _ in sorted(rows, key=lambda r: r[1]):
+        if post not in retries:
+            new[channel] = new.get(channel, 0) + 1
+            if new[channel] > per_cycle:
+                want[post] = B.WAITING
+                continue
+        if size > item_limit:
+            want[post] = B.MANUAL
+        elif used.get(channel, 0) + size > budget:
+            want[post] = B.FAILED
+        else:
+            used[channel] = used.get(channel, 0) + size
+            want[post] = B.ACQUIRED
+    return want
+
+
 def test_greedy_budget_is_a_fold(spark):
     import random
 
     rng = random.Random(11)
-    rows = [(f"c{rng.randrange(3)}", i, rng.randrange(1, 130), "x") for i in range(200)]
-    got = B.admit(spark.createDataFrame(rows, FEED), "channel", "post", "bytes", item_limit=100, cycle_budget=300, per_cycle=10, block=7)
-    want, seen, used = {}, {}, {}
-    for channel, post, size, _ in rows:
-        n = seen[channel] = seen.get(channel, 0) + 1
-        cycle = (channel, (n - 1) // 10 + 1)
-        if size > 100:
-            want[post] = (cycle[1], B.MANUAL)
-        elif used.get(cycle, 0) + size > 300:
-            want[post] = (cycle[1], B.FAILED)
-        else:
-            used[cycle] = used.get(cycle, 0) + size
-            want[post] = (cycle[1], B.ACQUIRED)
-    assert {r["post"]: (r["cycle"], r["status"]) for r in got.collect()} == want
+    rows = [(rng.choice(["c0", "c1", None]), i, rng.randrange(1, 130), "x") for i in range(200)]
+    retries = set(rng.sample(range(200), 60))
+    df = spark.createDataFrame(rows, FEED).withColumn("again", F.col("post").isin(*retries)).repartition(5)
+    got = B.admit(df, "channel", "post", "bytes", retry="again", item_limit=100, cycle_budget=700, per_cycle=20, block=7)
+    want = one_cycle(rows, retries, 100, 700, 20)
+    assert {r["post"]: r["status"] for r in got.collect()} == want and set(want.values()) == {B.MANUAL, B.FAILED, B.ACQUIRED, B.WAITING}
+
+
+def test_one_budget_for_the_whole_cycle(spark, folder):
+    """60 posts of 50 bytes under a budget of 100: two are admitted a cycle, retries first, and the cursor moves by 25 new posts."""
+    land(spark, folder, "a", [("ch", 100 + i, 50, f"s{i}") for i in range(60)])
+    work = job(spark, folder, cycle_budget=100)
+    work.run(feed(spark, folder))
+    assert sorted(r["post"] for r in work.log("register").collect()) == [100, 101]
+    first = work.log("status").first()
+    assert (first["acquired"], first["retry"], first["waiting"], first["cursor"]) == (2, 23, 35, 124)
+    work.process(spark.createDataFrame([("ch", 110, 1, "late"), ("ch", 200, 1, "s")], FEED), 1)
+    assert sorted(r["post"] for r in work.log("register").collect()) == [100, 101, 102, 103]
+    second = work.log("status").filter("batch_id = 1").first()
+    assert (second["acquired"], second["retry"], second["waiting"], second["cursor"]) == (2, 21 + 25, 11, 149)
+    work.process(spark.createDataFrame([], FEED), 2)
+    third = work.log("status").filter("batch_id = 2").first()
+    assert (third["waiting"], third["cursor"]) == (0, 200)
+
+
+def test_channels_have_their_own_cursor_and_budget(spark, folder):
+    work = job(spark, folder, cycle_budget=100, per_cycle=2)
+    work.process(spark.createDataFrame([(c, i, 40, f"{c}{i}") for c in ("a", "b") for i in (range(100, 103) if c == "a" else range(110, 116))], "channel string, post long, bytes long, sha string"), 0)
+    assert {(r["channel"], r["cursor"]) for r in work.log("cursors").collect()} == {("a", 101), ("b", 111)}
+    work.process(spark.createDataFrame([], FEED), 1)
+    assert sorted(r["post"] for r in work.log("register").collect()) == [100, 101, 102, 110, 111, 112, 113]
+
+
+def test_an_unknown_digest_keeps_its_row(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "post long, sha string").withColumn("o", F.col("post"))
+    assert {r.post: r.canonical_id for r in I.latest_registered(rows, "sha", "o", "post", None).collect()} == {1: None, 2: None, 3: 1, 4: None}
+    earlier = spark.createDataFrame([(0, "a", 0), (5, None, 0)], "post long, sha string, batch_id long").withColumn("o", F.col("post"))
+    assert {r.post: r.canonical_id for r in I.latest_registered(rows, "sha", "o", "post", earlier).collect()} == {1: 0, 2: None, 3: 1, 4: None}
 
 
 def test_cycles_with_retry_and_restart(spark, folder):
