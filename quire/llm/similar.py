@@ -222,12 +222,13 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
 def similar_links(fps: DataFrame, texts: DataFrame, words: int, least: float, chosen: list[np.ndarray]) -> DataFrame:
     """a, b: links of similarity ``least`` or more that join all nodes which meet into their components."""
     radius, places = looked_at(least), meeting_places(fps, chosen)
-    sizes = places.groupBy("place").count().filter("count > 1").select("place", F.when(F.col("count") > LARGE, F.ceil(F.col("count") / ROOM).cast("int")).otherwise(0).alias("tiles"))
-    tile = F.when(F.col("tiles") > 0, F.pmod(F.xxhash64("node"), F.col("tiles"))).otherwise(0).cast("int")
-    met = cut(places.join(sizes, "place").withColumn("tile", tile))
-    large = met.filter("tiles > 0")
+    # Only the large places are joined to anything; written, so that the optimizer sees how few they are. A row of any other place travels once.
+    crowded = F.ceil(F.col("count") / ROOM).cast("int").alias("tiles")
+    big = cut(places.groupBy("place").count().filter(F.col("count") > LARGE).select("place", crowded))
+    members = places.join(big, "place", "left")
+    large = cut(members.filter("tiles IS NOT NULL").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
     alone = F.col("node").alias("root")
-    few = paired(met.filter("tiles = 0").select(F.col("place").alias("group"), "tile", "node", "fp", alone), radius, False)
+    few = paired(members.filter("tiles IS NULL").select(F.col("place").alias("group"), F.lit(0).alias("tile"), "node", "fp", alone), radius, False)
     stars = paired(large.select(F.xxhash64("place", "tile").alias("group"), "tile", "node", "fp", alone), radius, True)
     links = verified(few.unionByName(stars).distinct(), texts, words, least)
     if not large.take(1):
