@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import text_hash
 from ..operators import validate as V
 from ..session import scratch
+from ..sources.keylog import KeyLog
 from ..sources.tables import append_once, read_log
 from ..streaming import budget as B
 from ..streaming import intake as I
@@ -70,12 +71,14 @@ SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY e
 def r4(t: Tables):
     """Each original stays; its link points at the latest earlier one with the same hash."""
     root = scratch(t.spark, "binary")
+    hashes = KeyLog(t.spark, f"{root}/hashes")
 
     def each(batch, number):
         rows = batch.select("event_id", F.col("event_id").alias("ord"), F.concat_ws("|", "user_id", "event_type").alias("sha"))
-        held = read_log(t.spark, f"{root}/rows")
-        earlier = None if held is None else held.filter(F.col("batch_id") < number)
-        append_once(I.latest_registered(rows, "sha", "ord", "event_id", earlier), f"{root}/rows", number)
+        hashes.compact(number)
+        linked = I.link_latest(rows, "sha", "ord", "event_id", hashes.held(rows, "sha", number))
+        append_once(linked, f"{root}/rows", number)
+        hashes.append(rows, "sha", "event_id", number)
 
     I.drain(_stream(t, "events"), f"{root}/checkpoint", each)
     return read_log(t.spark, f"{root}/rows").select("event_id", "canonical_id")

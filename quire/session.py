@@ -64,6 +64,20 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder; none when it does not exist."""
+    if not exists(spark, path):
+        return []
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return [f.getPath().getName() for f in found]
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables that this application has made so far, and say how many.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.dedup import greedy
 from ..operators.keyed import attach, lookup
 from ..operators.ordered import BLOCK, number_batches
-from ..session import delete
+from ..session import children, delete
 
 LOG_SCHEMA = "seq long, version string, format string"
 
@@ -189,6 +189,13 @@ def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataF
         return None
 
 
+def read_latest(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """The newest batch of a log below ``before``, for logs whose every batch holds the whole state. Opens that folder only."""
+    numbers = [int(n.removeprefix("batch_id=")) for n in children(spark, path) if n.startswith("batch_id=")]
+    earlier = [n for n in numbers if n < before]
+    return spark.read.parquet(f"{path}/batch_id={max(earlier)}") if earlier else None
+
+
 def sync_status(register: DataFrame, log: DataFrame, ident: str, key: str, state: str, done: str,
                 labels: Mapping[str, str], column: str = "status") -> DataFrame:
     """Register status from the processing log; rows the log does not know stay as they are."""

@@ -8,7 +8,7 @@ logs hold every row once.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,8 @@ from ..operators import validate as V
 from ..operators.keyed import lookup
 from ..operators.ordered import BLOCK, in_order
 from ..session import cut
-from ..sources.tables import append_once, read_log
+from ..sources.keylog import KeyLog
+from ..sources.tables import append_once, read_latest, read_log
 from . import budget as B
 
 
@@ -53,13 +54,20 @@ def touched(history: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 def latest_registered(rows: DataFrame, digest: str, order: str, ident: str, register: DataFrame | None,
                       block: int = BLOCK) -> DataFrame:
     """Each row with the most recent earlier row of the same hash, in the batch or before it. An unknown hash equals none."""
+    held = None
+    if register is not None:
+        held = touched(register, rows, digest).groupBy(digest).agg(F.max_by(ident, F.struct("batch_id", order)).alias("last_id"))
+    return link_latest(rows, digest, order, ident, held, block)
+
+
+def link_latest(rows: DataFrame, digest: str, order: str, ident: str, held: DataFrame | None, block: int = BLOCK) -> DataFrame:
+    """The same where the latest earlier holder of each hash is known (``digest``, ``last_id``)."""
     alone = rows.filter(F.col(digest).isNull()).withColumn("canonical_id", F.lit(None).cast(rows.schema[ident].dataType))
     rows = rows.filter(F.col(digest).isNotNull())
     near = in_order(rows, [digest], order, previous={"canonical_id": ident}, block=block)
-    if register is None:
+    if held is None:
         return near.unionByName(alone)
-    known = touched(register, rows, digest).groupBy(digest).agg(F.max_by(ident, F.struct("batch_id", order)).alias("_known"))
-    joined = lookup(near, known, [digest], [order])
+    joined = lookup(near, held.select(digest, F.col("last_id").alias("_known")), [digest], [order])
     linked = joined.withColumn("canonical_id", F.coalesce("canonical_id", "_known")).drop("_known")
     return linked.unionByName(alone.select(*linked.columns))
 
@@ -70,7 +78,9 @@ class Intake:
 
     A micro-batch is one cycle: what failed in the last one, the named retries, and the first posts past the channel's
     cursor, under one budget. The cursor moves to the last post taken; posts beyond wait in a log of their own, where
-    the cursor finds them. Both are read from the logs of earlier batches, so a repeated batch sees the same.
+    the cursor finds them. Cursors, waiting and failed posts are states: a batch reads the newest one before it. What the
+    register holds is asked of two key logs, of which a batch opens the buckets of its own posts and hashes. All are read
+    as they were before the batch, so a repeated batch sees the same.
     """
 
     spark: SparkSession
@@ -84,24 +94,27 @@ class Intake:
     item_limit: int = P.ITEM_LIMIT_BYTES
     cycle_budget: int = P.CYCLE_BUDGET_BYTES
     per_cycle: int = P.POSTS_PER_CYCLE
+    by_ident: KeyLog = field(init=False)
+    by_digest: KeyLog = field(init=False)
 
     def __post_init__(self) -> None:
         if self.cursor is None:
             raise ValueError("no intake cursor: bootstrap at the latest post or name a first post")
+        self.by_ident = KeyLog(self.spark, f"{self.root}/register_ids")
+        self.by_digest = KeyLog(self.spark, f"{self.root}/register_hashes")
 
     def log(self, name: str) -> DataFrame | None:
         return read_log(self.spark, f"{self.root}/{name}")
 
-    def before(self, name: str, batch: int) -> DataFrame | None:
-        found = self.log(name)
-        return None if found is None else found.filter(F.col("batch_id") < batch)
+    def state(self, name: str, batch: int) -> DataFrame | None:
+        return read_latest(self.spark, f"{self.root}/{name}", batch)
 
     def past_cursor(self, posts: DataFrame, number: int) -> DataFrame:
         """The posts that no cycle has taken yet: those past their channel's cursor. Channels are few; a cursor is one row each."""
-        moved = self.before("cursors", number)
+        moved = self.state("cursors", number)
         start = F.lit(self.cursor)
         if moved is not None:
-            at = moved.groupBy(F.col(self.channel).alias("_channel")).agg(F.max("cursor").alias("_cursor"))
+            at = moved.select(F.col(self.channel).alias("_channel"), F.col("cursor").alias("_cursor"))
             posts = posts.join(at, F.col(self.channel).eqNullSafe(F.col("_channel")), "left").drop("_channel")
             start = F.greatest(start, F.col("_cursor"))
         return posts.filter(F.col(self.ident) > start).drop("_cursor")
@@ -109,24 +122,25 @@ class Intake:
     def candidates(self, batch: DataFrame, number: int) -> DataFrame:
         """Posts past the cursor, here or waiting, the named retries, and what the last batch put back (``retried`` tells them apart)."""
         arrived = batch
-        waiting = self.before("waiting", number)
+        waiting = self.state("waiting", number)
         if waiting is not None:
-            arrived = arrived.unionByName(waiting.drop("batch_id").select(*batch.columns))
+            arrived = arrived.unionByName(waiting.select(*batch.columns))
         fresh = self.past_cursor(arrived, number).withColumn("retried", F.lit(False))
         if self.retry:
             named = self.spark.createDataFrame([(i,) for i in self.retry], f"_retry {batch.schema[self.ident].dataType.simpleString()}").distinct()
             again = batch.filter(F.col(self.ident) <= self.cursor).join(named, F.col(self.ident) == F.col("_retry"), "left_semi")
             fresh = fresh.unionByName(again.withColumn("retried", F.lit(True)))
-        back = self.before("retry", number)
+        back = self.state("retry", number)
         if back is not None:
-            last = back.filter(F.col("batch_id") == number - 1).drop("batch_id")
-            fresh = fresh.unionByName(last.select(*batch.columns).withColumn("retried", F.lit(True)))
-        done = self.before("register", number)
+            fresh = fresh.unionByName(back.select(*batch.columns).withColumn("retried", F.lit(True)))
+        done = self.by_ident.held(fresh, self.ident, number)
         if done is not None:
-            fresh = fresh.join(touched(done.select(self.ident), fresh, self.ident), self.ident, "left_anti")
+            fresh = fresh.join(done.select(self.ident), self.ident, "left_anti")
         return fresh
 
     def process(self, batch: DataFrame, number: int) -> None:
+        for keys in (self.by_ident, self.by_digest):
+            keys.compact(number)
         rows = cut(self.candidates(batch, number))
         if rows.isEmpty():
             return
@@ -135,19 +149,21 @@ class Intake:
         rows = rows.drop("retried")
         acquired = fate.filter(F.col("status") == B.ACQUIRED).select(self.ident)
         kept = rows.join(acquired, self.ident)
-        earlier = self.before("register", number)
-        linked = latest_registered(kept.withColumn("_order", F.col(self.ident)), self.digest, "_order", self.ident, (
-            None if earlier is None else earlier.withColumn("_order", F.col(self.ident)))).drop("_order")
+        held = self.by_digest.held(rows, self.digest, number)
+        linked = link_latest(kept.withColumn("_order", F.col(self.ident)), self.digest, "_order", self.ident, held).drop("_order")
         append_once(linked, f"{self.root}/register", number)
+        self.by_ident.append(kept, self.ident, self.ident, number)
+        self.by_digest.append(kept, self.digest, self.ident, number)
         failed = B.failures(fate, self.item_limit, self.cycle_budget, self.size)
         append_once(failed, f"{self.root}/failures", number)
         back = failed.filter(F.col("failure_class") == "retryable").select(self.ident)
         append_once(rows.join(back, self.ident, "left_semi"), f"{self.root}/retry", number)
-        # Only what has arrived with this batch: what waited before is in the log already.
         beyond = fate.filter(F.col("status") == B.WAITING).select(self.ident)
-        append_once(batch.join(beyond, self.ident, "left_semi"), f"{self.root}/waiting", number)
-        taken = fate.filter((F.col("status") != B.WAITING) & ~F.col("retried"))
-        append_once(taken.groupBy(self.channel).agg(F.max(self.ident).alias("cursor")), f"{self.root}/cursors", number)
+        append_once(rows.join(beyond, self.ident, "left_semi"), f"{self.root}/waiting", number)
+        moved = fate.filter((F.col("status") != B.WAITING) & ~F.col("retried")).select(self.channel, F.col(self.ident).alias("cursor"))
+        at = self.state("cursors", number)
+        moved = moved if at is None else moved.unionByName(at)
+        append_once(moved.groupBy(self.channel).agg(F.max("cursor").alias("cursor")), f"{self.root}/cursors", number)
         seen = fate.filter(F.col("status") != B.WAITING).agg(F.max(self.ident).alias("cursor"))
         status = B.cycle_status(fate).withColumn("cursor", seen.scalar())
         append_once(status, f"{self.root}/status", number)
@@ -170,13 +186,20 @@ class Processor:
     ident: str
     source: str
     digest: str
+    by_source: KeyLog = field(init=False)
+    by_digest: KeyLog = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.by_source = KeyLog(self.spark, f"{self.root}/record_sources")
+        self.by_digest = KeyLog(self.spark, f"{self.root}/record_hashes")
 
     def process(self, batch: DataFrame, number: int) -> None:
-        done = read_log(self.spark, f"{self.root}/records")
-        earlier = None if done is None else done.filter(F.col("batch_id") < number)
+        for keys in (self.by_source, self.by_digest):
+            keys.compact(number)
         rows = batch
-        if earlier is not None:
-            rows = rows.join(touched(earlier.select(self.source), batch, self.source), self.source, "left_anti")
+        done = self.by_source.held(batch, self.source, number)
+        if done is not None:
+            rows = rows.join(done.select(self.source), self.source, "left_anti")
         rows = cut(rows)
         if rows.isEmpty():
             return
@@ -185,9 +208,9 @@ class Processor:
         order = rows.withColumn("_order", F.col(self.ident))
         first = first_wins(order, self.digest, self.ident, "_order").select(self.ident, "canonical_id")
         judged = rows.join(first, self.ident)
-        if earlier is not None:
-            known = touched(earlier, rows, self.digest).groupBy(self.digest).agg(F.min_by(self.ident, F.struct("batch_id", self.ident)).alias("_known"))
-            judged = lookup(judged, known, [self.digest], [self.ident]).withColumn(
+        known = self.by_digest.held(rows, self.digest, number)
+        if known is not None:
+            judged = lookup(judged, known.select(self.digest, F.col("first_id").alias("_known")), [self.digest], [self.ident]).withColumn(
                 "canonical_id", F.coalesce("_known", "canonical_id")).drop("_known")
         other = F.col("canonical_id") != F.col(self.ident)
         records = judged.select(
@@ -196,6 +219,8 @@ class Processor:
             F.when(other, F.col("canonical_id")).alias("duplicate_of"),
         )
         append_once(records, f"{self.root}/records", number)
+        self.by_source.append(rows, self.source, self.ident, number)
+        self.by_digest.append(rows, self.digest, self.ident, number)
 
     def run(self, stream: DataFrame, checkpoint: str | None = None) -> None:
         drain(stream, checkpoint or f"{self.root}/checkpoint", self.process)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import validate as V
+from quire.sources.keylog import KeyLog
 from quire.sources.tables import read_log
 from quire.streaming import budget as B
 from quire.streaming import intake as I
@@ -149,3 +150,56 @@ def test_change_monitor(spark):
     assert tuple(state.first()) == (1, 1, True)
     _, state = I.change_monitor(known, known, "id")
     assert state.first()["changed"] is False
+
+
+def test_key_log_opens_few_files_however_many_batches(spark, folder):
+    log = KeyLog(spark, f"{folder}/keys", buckets=4, fan_in=3)
+    probe = spark.createDataFrame([("k1",), ("k2",), ("gone",), (None,)], "sha string")
+    holders, opened = {}, []
+    for batch in range(10):
+        log.compact(batch)
+        found = log.held(probe, "sha", batch)
+        if found is not None:
+            opened.append(len(found.inputFiles()))
+            got = {r["sha"]: (r["first_id"], r["last_id"]) for r in found.collect()}
+            assert got == {k: (v[0], v[-1]) for k, v in holders.items() if k in ("k1", "k2")}
+        rows = [(f"k{i % 5}", batch * 10 + i) for i in range(3 if batch % 2 else 5)] + [(None, batch * 10 + 9)]
+        for key, ident in rows:
+            if key:
+                holders.setdefault(key, []).append(ident)
+        log.append(spark.createDataFrame(rows, "sha string, id long"), "sha", "id", batch)
+    assert log.units(9) == [(0, 8)] and log.units(10) == [(0, 8), (9, 9)]
+    assert max(opened) <= 5 * 2
+
+
+def test_key_log_opens_only_the_buckets_of_the_batch(spark, folder):
+    log = KeyLog(spark, f"{folder}/keys", buckets=16)
+    log.append(spark.range(1000).select(F.col("id").cast("string").alias("sha"), "id"), "sha", "id", 0)
+    one = log.held(spark.createDataFrame([("17",)], "sha string"), "sha", 1)
+    assert len(one.inputFiles()) == 1 and [tuple(r) for r in one.collect()] == [("17", 17, 17)]
+    assert log.held(spark.createDataFrame([(None,)], "sha string"), "sha", 1) is None
+    assert log.held(spark.createDataFrame([("17",)], "sha string"), "sha", 0) is None
+
+
+def test_key_log_repeated_empty_and_broken_batches(spark, folder):
+    log = KeyLog(spark, f"{folder}/keys", buckets=2, fan_in=2)
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "sha string, id long")
+    log.append(rows, "sha", "id", 0)
+    log.append(rows.filter("id = 1"), "sha", "id", 0)
+    assert [tuple(r) for r in log.held(rows, "sha", 1).collect()] == [("a", 1, 1)]
+    log.append(rows.filter("false"), "sha", "id", 1)
+    assert log.units(2) == [(0, 0)]
+    rows.withColumnRenamed("sha", "key").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/keys/unit=2-2")
+    assert log.units(3) == [(0, 0)]
+    log.compact(4)
+    assert log.units(4) == [(0, 3)] and [tuple(r) for r in log.held(rows, "sha", 4).collect()] == [("a", 1, 1)]
+
+
+def test_many_cycles_read_as_few_files_as_one(spark, folder):
+    work = job(spark, folder, retry=(), cycle_budget=1000)
+    work.by_digest.fan_in = work.by_ident.fan_in = 2
+    for number in range(5):
+        work.process(spark.createDataFrame([("ch", 100 + number, 5, f"s{number % 3}")], FEED), number)
+    got = {r["post"]: r["canonical_id"] for r in work.log("register").collect()}
+    assert got == {100 + n: (97 + n if n > 2 else None) for n in range(5)}
+    assert work.by_digest.units(5) == work.by_ident.units(5) == [(0, 3), (4, 4)]
