@@ -132,3 +132,10 @@ POSTS_PER_CYCLE = 25
 JUDGMENT_NAMESPACE = "d702a836-69be-486b-8c7f-cf6ee3a3b7f2"
 CIRCULAR_NAMESPACE = "417bfc7f-99a6-4d57-8c42-f70d74024d08"
 DECISION_NAMESPACE = "c5c9874e-2552-4a21-b3d4-d675b13d6bc2"
+
+# --- fixed values: why the paging of a feed stops ------------------------------
+STOP_KNOWN = "reached_existing_inventory_boundary"
+STOP_EMPTY = "no_document_posts_returned"
+STOP_REPEATED = "repeated_page_boundary"
+STOP_NOT_FALLING = "non_decreasing_page_boundary"
+STOP_NO_MORE = "max_pages_reached"

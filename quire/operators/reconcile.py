@@ -35,22 +35,38 @@ def waterfall(rows: DataFrame, ident: str, steps: Sequence[tuple[str, str, DataF
 
     Each step is (method, key column of ``rows``, archive keyed by that column). An
     archive contributes the number of matches and the first one; a single match
-    resolves, several are ambiguous.
+    resolves, several are ambiguous. Keys are compared as strings; NULL and empty ones
+    match nothing. ``ident`` names a row; one that is NULL or occurs twice is an error.
+
+    The keys of all steps travel tagged in one exchange. What they find meets the whole
+    row in one grouping by id, and the least step that found something wins.
     """
+    tags, archives = [], []
     for i, (_, key, archive) in enumerate(steps):
-        table = archive.filter(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(
-            F.count(F.lit(1)).alias(f"_n{i}"), F.min(F.struct(*payload)).alias(f"_hit{i}")
-        )
-        safe = rows.withColumn(key, F.coalesce(F.col(key), F.lit("")))
-        rows = lookup(safe, table, [key], [ident], "left", fan)
-    order = range(len(steps))
-    count = F.coalesce(*[F.col(f"_n{i}") for i in order], F.lit(0))
-    hit = F.coalesce(*[F.col(f"_hit{i}") for i in order])
-    method = F.coalesce(*[F.when(F.col(f"_n{i}").isNotNull(), F.lit(steps[i][0])) for i in order], F.lit(""))
-    resolved = rows.withColumn("match_count", count.cast("long")).withColumn("match_method", method)
+        tags.append(F.struct(F.lit(i).alias("_step"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key")))
+        held = archive.select(F.lit(i).alias("_step"), F.col(key).cast("string").alias("_key"), F.struct(*payload).alias("_hit"))
+        archives.append(held.filter(F.col("_key") != ""))
+    wanted = F.filter(F.array(*tags), lambda t: t["_key"] != "")
+    keys = rows.select(F.col(ident).alias("_id"), F.inline(wanted))
+    table = reduce(DataFrame.unionByName, archives).groupBy("_step", "_key").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_hit").alias("_hit"))
+    found = lookup(keys, table, ["_step", "_key"], ["_id"], "inner", fan).select("_id", F.struct("_step", "_n", "_hit").alias("_best"))
+    whole = rows.select(F.col(ident).alias("_id"), F.struct(*rows.columns).alias("_row"))
+    met = found.unionByName(whole, allowMissingColumns=True).groupBy("_id")
+    wrong = F.col("_id").isNull() | (F.count("_row") > 1)
+    message = F.concat_ws(" ", F.lit("an id is NULL or occurs twice:"), F.col("_id").cast("string"))
+    row_type = whole.schema["_row"].dataType
+    best = met.agg(
+        F.when(wrong, F.raise_error(message).cast(row_type)).otherwise(F.first("_row", ignorenulls=True)).alias("_row"),
+        F.min("_best").alias("_best"))
+    count = F.coalesce(F.col("_best._n"), F.lit(0))
+    methods = F.array(*[F.lit(name) for name, _, _ in steps])
+    resolved = best.select(
+        "_row.*", count.cast("long").alias("match_count"),
+        F.coalesce(F.get(methods, F.col("_best._step")), F.lit("")).alias("match_method"), "_best")
     for name in payload:
-        resolved = resolved.withColumn(name, F.when(count == 1, hit[name]))
-    return resolved.drop(*[f"_n{i}" for i in order], *[f"_hit{i}" for i in order])
+        resolved = resolved.withColumn(name, F.when(F.col("match_count") == 1, F.col("_best._hit")[name]))
+    return resolved.drop("_best")
 
 
 def declared_against_physical(declared: DataFrame, physical: DataFrame, ident: str, name: str, checksum: str,

@@ -11,6 +11,7 @@ from ..sources.keylog import KeyLog
 from ..sources.tables import append_once, read_log
 from ..streaming import budget as B
 from ..streaming import intake as I
+from ..streaming.paging import listed_posts, paging_stops
 from .classify import triage
 from .registry import Tables, plan, sql_norm
 
@@ -149,6 +150,48 @@ def r8(t: Tables):
     return rows
 
 
+PAGES = """p AS (SELECT user_id, 1 + date_diff('day', ts::DATE, DATE '2024-02-01') AS page_no, CASE user_id % 7 WHEN 1 THEN CASE WHEN day(ts) <> 10 THEN event_id END
+    WHEN 3 THEN event_id * 7919 % 10007 WHEN 5 THEN event_id % 3 ELSE event_id END AS post FROM events),
+known AS (SELECT user_id, max(event_id) AS edge FROM events WHERE user_id % 7 = 2 AND ts < TIMESTAMP '2024-01-12' GROUP BY user_id)"""
+
+
+def _pages(t: Tables):
+    """A feed a user, a page a day, newest first: some feeds have an empty page, some ids that rise or repeat, some a known edge."""
+    events, kind = t("events"), F.col("user_id") % 7
+    post = (
+        F.when(kind == 1, F.when(F.dayofmonth("ts") != 10, F.col("event_id"))).when(kind == 3, F.col("event_id") * 7919 % 10007)
+        .when(kind == 5, F.col("event_id") % 3).otherwise(F.col("event_id"))
+    )
+    page = 1 + F.date_diff(F.lit("2024-02-01").cast("date"), F.to_date("ts"))
+    early = events.filter((kind == 2) & (F.col("ts") < F.lit("2024-01-12").cast("timestamp")))
+    return events.select("user_id", page.cast("long").alias("page_no"), post.alias("post")), early.groupBy("user_id").agg(F.max("event_id").alias("edge"))
+
+
+STOPS = PAGES + """,
+q AS (SELECT user_id, page_no, min(post) AS least, max(post) AS newest FROM p GROUP BY ALL),
+l AS (SELECT *, lag(least) OVER (PARTITION BY user_id ORDER BY page_no) AS before FROM q),
+w AS (SELECT l.*, CASE WHEN newest <= edge THEN 'reached_existing_inventory_boundary' WHEN newest IS NULL THEN 'no_document_posts_returned'
+    WHEN EXISTS (SELECT 1 FROM q WHERE q.user_id = l.user_id AND q.least = l.least AND q.page_no < l.page_no) THEN 'repeated_page_boundary'
+    WHEN least >= before THEN 'non_decreasing_page_boundary' END AS why FROM l LEFT JOIN known USING (user_id)),
+s AS (SELECT user_id, coalesce(min(page_no) FILTER (why IS NOT NULL), max(page_no)) AS stop_page, coalesce(arg_min(why, page_no) FILTER (why IS NOT NULL), 'max_pages_reached') AS stopped_reason
+  FROM w GROUP BY user_id)"""
+
+
+@plan("r8_paging_stops", f"""
+WITH {STOPS} SELECT user_id, stop_page, stopped_reason, count(*) AS pages, min(least) AS least_post FROM s JOIN q USING (user_id) WHERE page_no <= stop_page GROUP BY ALL""")
+def r8_stops(t: Tables):
+    pages, known = _pages(t)
+    return paging_stops(pages, "user_id", "page_no", "post", known)
+
+
+@plan("r8_listed_posts", f"""
+WITH {STOPS} SELECT user_id, post, min(page_no) AS first_page FROM s JOIN p USING (user_id) WHERE page_no <= stop_page AND post IS NOT NULL GROUP BY ALL""")
+def r8_posts(t: Tables):
+    pages, known = _pages(t)
+    stops = paging_stops(pages, "user_id", "page_no", "post", known)
+    return listed_posts(pages, stops, "user_id", "page_no", "post")
+
+
 @plan("r9_run_status", _cycle_sql("false") + """
 SELECT count(*) FILTER (status = 'acquired') AS acquired, count(*) FILTER (status = 'manual_archival_required') AS manual,
   count(*) FILTER (status = 'download_failed') AS retry, count(*) FILTER (status = 'waiting') AS waiting,

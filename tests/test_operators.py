@@ -266,6 +266,32 @@ def test_waterfall_and_pairs(spark):
         1: (1, "judgment_number", "A"), 2: (1, "case_number", "D"), 3: (0, "", None), 4: (0, "", None), 5: (2, "judgment_number", None)}
 
 
+def test_waterfall_in_one_exchange_of_its_keys(spark):
+    rng = random.Random(5)
+    values = [None, "", "hot", *map(str, range(12))]
+    rows = [(i, "hot" if i % 3 == 0 else rng.choice(values), rng.choice(values), rng.choice(values), [i]) for i in range(300)]
+    held = [[(rng.choice(values), f"r{step}{i}") for i in range(9)] for step in range(3)]
+    steps = [(f"m{n}", k, spark.createDataFrame(held[n], f"{k} string, rec string")) for n, k in enumerate("abc")]
+    df = spark.createDataFrame(rows, "id long, a string, b string, c string, extra array<long>")
+    got = reconcile.waterfall(df, "id", steps, ["rec"], fan=4)
+    assert got.columns == ["id", "a", "b", "c", "extra", "match_count", "match_method", "rec"]
+
+    def plain(keys):
+        for n, key in enumerate(keys):
+            hits = [rec for k, rec in held[n] if key and k == key]
+            if hits:
+                return len(hits), f"m{n}", hits[0] if len(hits) == 1 else None
+        return 0, "", None
+
+    assert {r["id"]: tuple(r)[1:] for r in got.collect()} == {r[0]: (*r[1:], *plain(r[1:4])) for r in rows}
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count(" Exchange hashpartitioning") <= 5, final
+    for wrong in (df.filter("id = 1"), df.filter("id = 1").withColumn("id", F.lit(None).cast("long"))):
+        with pytest.raises(Exception, match="an id is NULL or occurs twice"):
+            reconcile.waterfall(df.union(wrong), "id", steps, ["rec"]).collect()
+    assert reconcile.waterfall(df.limit(0), "id", steps, ["rec"]).collect() == []
+
+
 def test_child_pages(spark):
     rows = [("p", i) for i in range(25)] + [("q", 100)]
     df = spark.createDataFrame(rows, "parent string, child long")
