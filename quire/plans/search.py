@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sha256
 from ..operators import search as S
+from ..session import scratch
 from .projections import LINES
 from .registry import Tables, plan
 
@@ -22,8 +23,19 @@ def t1_index(t: Tables):
 @plan("t1_conjunctive_search", f"""
 SELECT doc_id FROM documents WHERE list_has_all({TOKENS}, ['the', 'with', 'and'])""")
 def t1_search(t: Tables):
-    index = S.token_index(t("documents"), "doc_id", ["source", "lang", "text"])
-    return S.search(index, "doc_id", ["the", "With", "and"])
+    return S.search(S.token_index(t("documents"), "doc_id", ["source", "lang", "text"]), "doc_id", ["the", "With", "and"])
+
+
+@plan("t1_kept_index", f"""
+SELECT doc_id FROM documents WHERE list_has_all({TOKENS}, ['the', 'with', 'and'])""")
+def t1_kept(t: Tables):
+    """The same from a kept index, which receives the documents of each language as a batch of its own."""
+    index = S.Postings(t.spark, scratch(t.spark, "index"), "doc_id", buckets=32)
+    documents = t("documents")
+    index.add(documents.filter(F.col("lang") == "en"), ["source", "lang", "text"], 0)
+    index.add(documents.filter(~F.col("lang").eqNullSafe("en")), ["source", "lang", "text"], 1)
+    found = index.search(["the", "With", "and"])
+    return documents.select("doc_id").limit(0) if found is None else found
 
 
 @plan("t2_exact_lookup", """
