@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -78,6 +79,23 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in found]
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless it exists; False when it does. Of two callers the file system lets one through,
+    where it creates files atomically (HDFS and its like; an object store needs conditional writes)."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    try:
+        stream = files.create(place, False)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException" and not files.exists(place):
+            raise
+        return False
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables that this application has made so far, and say how many.
 

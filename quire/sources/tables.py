@@ -7,6 +7,8 @@ reader always sees a whole version and a lost executor leaves the old one in pla
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -18,9 +20,10 @@ from pyspark.sql import functions as F
 from ..operators.dedup import greedy
 from ..operators.keyed import attach, lookup
 from ..operators.ordered import BLOCK, number_batches
-from ..session import children, delete
+from ..session import children, create_once, delete
 
 LOG_SCHEMA = "seq long, version string, format string"
+SEQUENCE = re.compile(r"seq-(\d+)\.json")
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame | None:
@@ -38,17 +41,58 @@ def current_version(spark: SparkSession, path: str) -> tuple[int, str, str] | No
     return (row["seq"], row["version"], row["format"]) if row else None
 
 
-def replace_dataset(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), **options) -> None:
-    """Rebuild beside the current version, then switch readers over."""
+class VersionConflict(RuntimeError):
+    """Another writer has switched the dataset since this one began."""
+
+
+def _next_seq(spark: SparkSession, path: str, now: tuple[int, str, str] | None) -> int:
+    """One past every line and every file of the log; a file that a lost writer left empty keeps its number."""
+    named = [m[1] for m in map(SEQUENCE.fullmatch, children(spark, f"{path}/log")) if m]
+    return max([now[0] if now else 0, *map(int, named)]) + 1
+
+
+def replace_dataset(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), *, keep: int = 2,
+                    **options) -> None:
+    """Rebuild beside the current version, then switch readers over.
+
+    The switch creates the log file of the next number. A writer that finds it taken has built on a version that is no
+    longer the current one: its folder goes and ``VersionConflict`` is raised. A failed write leaves no folder either.
+    After the switch the newest ``keep`` versions stay, so that readers of the previous one can finish.
+    """
     spark = df.sparkSession
     now = current_version(spark, path)
-    version = f"v-{uuid.uuid4().hex}"
+    seq, version = _next_seq(spark, path, now), f"v-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists").options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.format(fmt).save(f"{path}/{version}")
-    line = spark.createDataFrame([(now[0] + 1 if now else 1, version, fmt)], LOG_SCHEMA)
-    line.coalesce(1).write.mode("append").json(f"{path}/log")
+    try:
+        writer.format(fmt).save(f"{path}/{version}")
+        line = json.dumps({"seq": seq, "version": version, "format": fmt})
+        if not create_once(spark, f"{path}/log/seq-{seq:09d}.json", line + "\n"):
+            raise VersionConflict(f"{path}: version {seq} was written meanwhile")
+    except Exception:
+        delete(spark, f"{path}/{version}")
+        raise
+    _drop_old(spark, path, keep)
+
+
+def _drop_old(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete the folders of versions older than the newest ``keep``. The log's lines stay."""
+    held = set(children(spark, path))
+    lines = _log(spark, path).orderBy(F.desc("seq")).select("version").collect()
+    for row in lines[max(keep, 1):]:
+        if row["version"] in held:
+            delete(spark, f"{path}/{row['version']}")
+
+
+def sweep(spark: SparkSession, path: str) -> int:
+    """Delete version folders that no log line names, left by writers that were lost. Call it while nobody writes."""
+    log = _log(spark, path)
+    named = set() if log is None else {r["version"] for r in log.select("version").collect()}
+    lost = [n for n in children(spark, path) if n.startswith("v-") and n not in named]
+    for name in lost:
+        delete(spark, f"{path}/{name}")
+    return len(lost)
 
 
 def read_dataset(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import children, create_once
 from quire.sources import registers as R
 from quire.sources import tables as K
 
@@ -152,3 +153,38 @@ def test_empty_batch_leaves_the_log_alone(spark, folder):
     assert K.append_once(rows, folder, 0) and not K.append_once(rows.filter("id > 1"), folder, 1)
     K.append_once(rows, folder, 0)
     assert [tuple(r) for r in K.read_log(spark, folder).collect()] == [(1, 0)]
+
+
+def test_of_two_writers_one_fails_and_nothing_is_left(spark, folder):
+    K.replace_dataset(spark.range(3), folder)
+
+    class Late:
+        """A table whose write lets another writer finish first."""
+
+        def __init__(self, df):
+            self.df, self.sparkSession = df, df.sparkSession
+
+        @property
+        def write(self):
+            K.replace_dataset(spark.range(5), folder)
+            return self.df.write
+
+    with pytest.raises(K.VersionConflict, match="version 2"):
+        K.replace_dataset(Late(spark.range(9)), folder)
+    assert K.read_dataset(spark, folder).count() == 5 and K.current_version(spark, folder)[0] == 2
+    assert len([n for n in children(spark, folder) if n.startswith("v-")]) == 2 and K.sweep(spark, folder) == 0
+
+
+def test_old_versions_and_lost_writers(spark, folder):
+    for n in range(1, 5):
+        K.replace_dataset(spark.range(n), folder)
+    assert len([n for n in children(spark, folder) if n.startswith("v-")]) == 2
+    with pytest.raises(Exception, match="lost writer"):
+        K.replace_dataset(spark.range(9).select(F.when(F.col("id") > 7, F.raise_error(F.lit("lost writer"))).otherwise(F.col("id")).alias("id")), folder)
+    assert K.read_dataset(spark, folder).count() == 4 and K.sweep(spark, folder) == 0
+    spark.range(1).write.parquet(f"{folder}/v-lost")
+    assert K.sweep(spark, folder) == 1
+    # A writer lost between creating its log file and filling it has not switched anything; the next one passes it by.
+    assert create_once(spark, f"{folder}/log/seq-000000005.json", "") and not create_once(spark, f"{folder}/log/seq-000000005.json", "x")
+    K.replace_dataset(spark.range(7), folder)
+    assert K.read_dataset(spark, folder).count() == 7 and K.current_version(spark, folder)[0] == 6
