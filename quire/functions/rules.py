@@ -121,10 +121,11 @@ def header_kind(text: Column, kinds: Sequence[tuple[str, str, str]] = P.HEADER_K
     return F.coalesce(*options)
 
 
-def header_facts(text: Column, kinds: Sequence[tuple[str, str, str]] = P.HEADER_KINDS, header_chars: int = P.HEADER_CHARS) -> Column:
+def header_facts(text: Column, kinds: Sequence[tuple[str, str, str]] = P.HEADER_KINDS, header_chars: int = P.HEADER_CHARS,
+                 dated: str = P.HEADER_DATE, named: str = P.HEADER_COURT) -> Column:
     """(kind, reference, date, court) of a page that starts a document; NULL if none does. A date or court not found is NULL."""
     start = header_kind(text, kinds, header_chars)
-    date, court = (none_if_empty(collapse(F.regexp_extract(text, p, 1))) for p in (P.HEADER_DATE, P.HEADER_COURT))
+    date, court = (none_if_empty(collapse(F.regexp_extract(text, p, 1))) for p in (dated, named))
     facts = F.struct(start["kind"].alias("kind"), start["reference"].alias("reference"), date.alias("date"), court.alias("court"))
     return F.when(start.isNotNull(), facts)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..deposits import deposit_records
 from ..functions import rules as L
 from ..functions import urls
 from ..functions.text import normalise, text_hash
@@ -99,6 +100,52 @@ def c5(t: Tables):
     return found.select("conv_id", "turn", F.col("f.kind").alias("kind"), F.col("f.reference").alias("reference"))
 
 
+DATED, COURT = r"(?:in|de|der) ([a-z]{3,9} [a-z]{2,9})", r"((?:The|Les|Die) [^,.]{3,60})"
+FACTS = rf"""n AS (SELECT conv_id, turn + 1 AS page, coalesce(text, '') AS text, {sql_norm("coalesce(text, '')")} AS t FROM conversations),
+e AS (SELECT *, substr(t, 1, 1800) AS h, regexp_extract(t, '{KINDS[0][2]}', 1) AS a, regexp_extract(t, '{KINDS[1][2]}', 1) AS b,
+  regexp_extract(t, '{KINDS[2][2]}', 1) AS c, nullif(trim(regexp_extract(t, '{DATED}', 1)), '') AS d, nullif(trim(regexp_extract(t, '{COURT}', 1)), '') AS k FROM n),
+f AS (SELECT *, CASE WHEN contains(h, 'The') AND a <> '' THEN 'notice' WHEN contains(h, 'les') AND b <> '' THEN 'ruling' WHEN contains(h, 'und') AND c <> '' THEN 'order' END AS kind,
+  CASE WHEN contains(h, 'The') AND a <> '' THEN a WHEN contains(h, 'les') AND b <> '' THEN b WHEN contains(h, 'und') AND c <> '' THEN c END AS reference FROM e)"""
+
+
+def _facts(text):
+    return L.header_facts(text, KINDS, dated=DATED, named=COURT)
+
+
+@plan("c5_header_facts", f"""
+WITH {FACTS} SELECT conv_id, page, kind, reference, d AS date, k AS court FROM f WHERE kind IS NOT NULL""")
+def c5_facts(t: Tables):
+    pages = t("conversations").select("conv_id", (F.col("turn") + 1).alias("page"), normalise(F.col("text"), "target").alias("t"))
+    found = pages.select("conv_id", "page", _facts(F.col("t")).alias("f"))
+    return found.filter(F.col("f").isNotNull()).select("conv_id", "page", "f.*")
+
+
+@plan("c5_deposit_records", f"""
+WITH {FACTS},
+s AS (SELECT conv_id, page, kind, reference, d, k, t FROM f WHERE kind IS NOT NULL
+  UNION ALL SELECT conv_id, page, 'unclassified_review', NULL, NULL, NULL, t FROM f WHERE page = 1 AND conv_id NOT IN (SELECT conv_id FROM f WHERE kind IS NOT NULL)),
+l AS (SELECT conv_id, max(page) AS last FROM f GROUP BY conv_id),
+x AS (SELECT s.*, coalesce(lead(page) OVER (PARTITION BY conv_id ORDER BY page) - 1, last) AS end_page FROM s JOIN l USING (conv_id)),
+y AS (SELECT x.*, (SELECT string_agg(f.text, chr(12) ORDER BY f.page) FROM f WHERE f.conv_id = x.conv_id AND f.page BETWEEN x.page AND x.end_page) AS whole FROM x),
+z AS (SELECT *, sha256({sql_norm("whole")}) AS h, 'deposit-' || conv_id || '-p' || page AS id FROM y),
+held AS (SELECT sha256(t) AS h, min('held-' || conv_id) AS held FROM f WHERE conv_id % 7 = 0 GROUP BY 1),
+w AS (SELECT *, coalesce(held, nullif(first_value(id) OVER (PARTITION BY h ORDER BY conv_id || '#' || lpad(page::VARCHAR, 9, '0')), id)) AS duplicate_of FROM z LEFT JOIN held USING (h))
+SELECT id, conv_id AS source, page AS start_page, end_page, kind, reference, d AS date, k AS court, substr(t, 1, 180) AS title, h AS text_hash,
+  list_filter([CASE WHEN kind = 'unclassified_review' THEN 'verified_legal_type' END, CASE WHEN t = '' THEN 'verified_title' END,
+    CASE WHEN conv_id % 3 <> 0 THEN 'official_source_url' END], lambda v: v IS NOT NULL) AS missing_requirements, duplicate_of,
+  CASE WHEN duplicate_of IS NULL THEN 'pending_provenance_and_metadata_review' ELSE 'exact_duplicate_review' END AS review_status FROM w""")
+def c5_deposits(t: Tables):
+    """Conversations as files, turns as pages; some texts are held already, some files have an official address."""
+    talks = t("conversations")
+    pages = talks.select(F.col("conv_id").alias("source"), (F.col("turn") + 1).alias("page"), "text")
+    sources = talks.select(F.col("conv_id").alias("source")).distinct().select(
+        "source", F.lit("file").alias("name"), F.when(F.col("source") % 3 == 0, "https://example.org/").alias("official_url"))
+    held = talks.filter(F.col("conv_id") % 7 == 0).select(
+        text_hash(F.coalesce("text", F.lit("")), "target").alias("text_hash"), F.concat(F.lit("held-"), F.col("conv_id").cast("string")).alias("id"))
+    return deposit_records(pages, sources, held, profile="target", facts=_facts, kinds=tuple(k for k, _, _ in KINDS),
+                           title=lambda l: F.substring(F.trim(F.array_join(l, " ")), 1, 180))
+
+
 @plan("c6_whole_file_type", rf"""
 WITH n AS (SELECT doc_id, lower({sql_norm("source || ' ' || substr(text, 1, 2000)", "")}) AS w FROM documents)
 SELECT doc_id, CASE WHEN contains(w, 'src1 ') OR contains(w, 'src2 ') THEN 'index' WHEN contains(w, 'tion') THEN 'judgment'
