@@ -88,37 +88,57 @@ def field_line(lines: Column, keyword: str, limit: int = 180, require: Sequence[
     return F.substring(F.get(F.filter(F.transform(F.filter(lines, named), cut), usable), 0), 1, limit)
 
 
-def court(text: Column, markers: Sequence[str] = P.COURT_MARKERS, guarded: str = P.APPEAL_COURT,
-          reject: str = P.APPEAL_CERTIFICATION, stop: str = P.COURT_TAIL_STOP,
-          strip: str = P.LINE_PUNCTUATION) -> Column:
-    """Evidenced court name, markers in order of precedence.
+COURT_BEFORE, COURT_AFTER, COURT_TAIL = 90, 120, 140  # context of a guarded marker; characters of a name with its marker
+
+
+def court_tail(text: Column, marker: str, guarded: str = P.APPEAL_COURT, reject: str = P.APPEAL_CERTIFICATION,
+               before: Column | None = None, after: Column | None = None) -> Column:
+    """A court marker at its first place with what follows, 140 characters in all; NULL where it does not stand.
 
     The guarded marker also looks at its surroundings: 90 characters before and
     120 after. Look-around groups capture them without consuming, so neighbouring
-    occurrences keep their full context.
+    occurrences keep their full context. Where ``text`` is part of a longer one, ``before``
+    and ``after`` are its neighbourhood: they serve as context, but a place counts only
+    if it begins in ``text``. A guarded marker must not overlap itself.
     """
+    exact, rest = re.escape(marker), COURT_TAIL - len(marker)
+    part = before is not None and after is not None
+    if marker != guarded:
+        ahead = F.concat(text, after) if part else text
+        tail = none_if_empty(F.regexp_extract(ahead, f"(?s)({exact}.{{0,{rest}}})", 1))
+        return F.when(F.locate(marker, ahead) <= F.length(text), tail) if part else tail
+    whole = F.concat(before, text, after) if part else text
+    # The literal comes first: the look-behind then runs only where the marker stands.
+    near = f"\\A.{{0,{COURT_BEFORE - 1}}}|.{{{COURT_BEFORE}}}"
+    around = rf"(?s){exact}(?<=({near}){exact})(?=(.{{0,{max(rest, COURT_AFTER)}}}))"
+    places = F.arrays_zip(
+        F.regexp_extract_all(whole, F.lit(around), F.lit(1)).alias("before"),
+        F.regexp_extract_all(whole, F.lit(around), F.lit(2)).alias("after"),
+    )
+    if part:
+        # As many markers begin before a border as stand whole up to one character less than a marker past it.
+        def begun(border: Column) -> Column:
+            return F.regexp_count(F.left(whole, border + F.lit(len(marker) - 1)), F.lit(exact))
+
+        earlier = begun(F.length(before))
+        places = F.slice(places, earlier + 1, begun(F.length(before) + F.length(text)) - earlier)
+    kept = F.filter(
+        places,
+        lambda p: ~F.concat(p["before"], F.lit(marker), F.substring(p["after"], 1, COURT_AFTER)).rlike(reject),
+    )
+    return F.when(whole.contains(marker), F.concat(F.lit(marker), F.substring(F.get(kept, 0)["after"], 1, rest)))
+
+
+def court_name(tail: Column, stop: str = P.COURT_TAIL_STOP, strip: str = P.LINE_PUNCTUATION) -> Column:
+    """The name that a marker opens: up to a stop phrase, without punctuation around it."""
+    return none_if_empty(F.substring(F.trim(F.get(F.split(tail, stop, 2), 0), F.lit(strip)), 1, 120))
 
-    def cut(tail: Column) -> Column:
-        return F.substring(F.trim(F.get(F.split(tail, stop, 2), 0), F.lit(strip)), 1, 120)
-
-    options = []
-    for marker in markers:
-        exact, rest = re.escape(marker), 140 - len(marker)
-        if marker != guarded:
-            options.append(none_if_empty(cut(F.regexp_extract(text, f"(?s)({exact}.{{0,{rest}}})", 1))))
-            continue
-        # The literal comes first: the look-behind then runs only where the marker stands.
-        around = rf"(?s){exact}(?<=(\A.{{0,89}}|.{{90}}){exact})(?=(.{{0,{max(rest, 120)}}}))"
-        before = F.regexp_extract_all(text, F.lit(around), F.lit(1))
-        after = F.regexp_extract_all(text, F.lit(around), F.lit(2))
-        places = F.arrays_zip(before.alias("before"), after.alias("after"))
-        kept = F.filter(
-            places,
-            lambda p: ~F.concat(p["before"], F.lit(marker), F.substring(p["after"], 1, 120)).rlike(reject),
-        )
-        tail = F.concat(F.lit(marker), F.substring(F.get(kept, 0)["after"], 1, rest))
-        options.append(F.when(text.contains(marker), none_if_empty(cut(tail))))
-    return F.coalesce(*options)
+
+def court(text: Column, markers: Sequence[str] = P.COURT_MARKERS, guarded: str = P.APPEAL_COURT,
+          reject: str = P.APPEAL_CERTIFICATION, stop: str = P.COURT_TAIL_STOP,
+          strip: str = P.LINE_PUNCTUATION) -> Column:
+    """Evidenced court name, markers in order of precedence."""
+    return F.coalesce(*[court_name(court_tail(text, m, guarded, reject), stop, strip) for m in markers])
 
 
 def trusted(col: Column, pattern: str, reject_prefix: str | None = None) -> Column:

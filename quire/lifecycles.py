@@ -80,18 +80,12 @@ def span_hashes(pieces: DataFrame, source: str, text: str) -> DataFrame:
     return short.unionByName(ordered.groupBy(source, "span_no").applyInPandas(digest, schema))
 
 
-def span_evidence(pieces: DataFrame, source: str, text: str) -> DataFrame:
-    """Court and circuit of each span: markers in precedence, then the earliest piece."""
-    read = pieces.select(source, "span_no", "piece", normalise(F.col(text)).alias("_t"), lines(F.col(text)).alias("_l"))
-    found = [X.court(F.col("_t"), [m]) for m in P.COURT_MARKERS]
-    found += [X.field_line(F.col("_l"), "محكمة", require=P.COURT_LINE_MARKERS), X.field_line(F.col("_l"), "الدائرة")]
-    named = read.select(source, "span_no", "piece", *[c.alias(f"_e{i}") for i, c in enumerate(found)])
-    earliest = named.groupBy(source, "span_no").agg(*[
-        F.min_by(f"_e{i}", F.when(F.col(f"_e{i}").isNotNull(), F.col("piece"))).alias(f"_e{i}") for i in range(len(found))
-    ])
-    courts = [F.col(f"_e{i}") for i in range(len(found) - 1)]
-    return earliest.select(source, "span_no", F.coalesce(*courts).alias("span_court"),
-                           F.col(f"_e{len(found) - 1}").alias("span_circuit"))
+def span_evidence(pieces: DataFrame, source: str, text: str, block: int = BLOCK) -> DataFrame:
+    """Court and circuit of each span: markers in precedence over its whole text, then the earliest line that names one."""
+    line = lines(F.col(text))
+    more = {"_named": X.field_line(line, "محكمة", require=P.COURT_LINE_MARKERS), "span_circuit": X.field_line(line, "الدائرة")}
+    found = segment.span_court(pieces, source, normalise(F.col(text)), more=more, block=block)
+    return found.select(source, "span_no", F.coalesce("court", "_named").alias("span_court"), "span_circuit")
 
 
 def extract_cases(pages: DataFrame, *, reference_only: tuple[str, ...] = (), piece_pages: int = PIECE_PAGES,
@@ -117,7 +111,7 @@ def extract_cases(pages: DataFrame, *, reference_only: tuple[str, ...] = (), pie
     texts = cut(segment.span_text(marked, src, page, "text", "_start", piece_pages=piece_pages, block=block))
     first_pages = texts.groupBy(src, "span_no").agg(F.min("first_page").alias(page))
     facts = first_pages.join(span_hashes(texts, src, "span_text"), [src, "span_no"]).join(
-        span_evidence(texts, src, "span_text"), [src, "span_no"])
+        span_evidence(texts, src, "span_text", block), [src, "span_no"])
 
     spans = found.join(facts, [src, page])
     year, volume = urls.year_of(F.col(src)), urls.volume_of(F.col(src))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fields as X
 from ..functions import patterns as P
 from ..functions.text import normalise
+from ..session import cut
 from .keyed import keep, lookup
 from .ordered import BLOCK, in_order
 
@@ -109,6 +111,77 @@ def span_text(pages: DataFrame, source: str, page: str, text: str, is_start: str
     )
 
 
+def span_halos(pieces: DataFrame, source: str, text: Column, before: int, after: int, *, block: int = BLOCK) -> DataFrame:
+    """What stands before and after each piece within its span: (source, span_no, piece, _follows, _before, _after).
+
+    A span's text is its pieces' ``text`` joined by a blank; empty pieces are no part of it. Only pieces of spans
+    with several get a row; ``_follows`` says that the joining blank precedes the piece.
+
+    Neighbours may be shorter than the context asked for, so looking one piece back is not enough. The span's
+    characters are numbered by a running sum of the lengths and cut into cells as wide as the wider context. A piece
+    hands its characters to the two cells at either edge and reads its context from the two cells at either edge:
+    the cost is four short strings a piece, whatever the length of a span, and no task holds a whole span.
+    """
+    wide = max(before, after, 1)
+    several = pieces.groupBy(source, "span_no").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(source, "span_no")
+    read = pieces.join(several, [source, "span_no"], "left_semi").select(
+        source, "span_no", "piece", F.concat(F.lit(" "), text).alias("_t"))
+    edges = keep(read, F.length("_t") > 1, source, "span_no", "piece", F.length("_t").cast("long").alias("_size"),
+                 F.left("_t", F.lit(2 * wide)).alias("_head"), F.right("_t", F.lit(2 * wide)).alias("_tail"))
+    summed = in_order(edges, [source, "span_no"], "piece", running={"_to": "_size"}, block=block)
+    placed = cut(summed.withColumn("_from", F.col("_to") - F.col("_size")).drop("_size"))
+
+    first, last = F.expr(f"_from div {wide}"), F.expr(f"_to div {wide}")
+    low, high = F.greatest(F.col("_cell") * wide, F.col("_from")), F.least((F.col("_cell") + 1) * wide, F.col("_to"))
+    length = F.greatest(high - low, F.lit(0)).cast("int")
+    from_head = F.substring("_head", (low - F.col("_from") + 1).cast("int"), length)
+    from_tail = F.substring("_tail", (low - F.col("_to") + F.length("_tail") + 1).cast("int"), length)
+    given = placed.withColumn("_cell", F.explode(F.array_distinct(F.array(first, first + 1, last - 1, last))))
+    given = given.filter(high > low).select(
+        source, "span_no", "_cell", low.alias("_at"), F.when(F.col("_cell") <= first + 1, from_head).otherwise(from_tail).alias("_part"))
+    cells = given.groupBy(source, "span_no", "_cell").agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_part"))), lambda x: x["_part"]), "").alias("_text"))
+
+    asked = placed.select(source, "span_no", "piece", "_from", "_to", first.alias("_first"), last.alias("_last"))
+    asked = asked.withColumn("_cell", F.explode(F.array_distinct(F.expr("array(_first - 1, _first, _last, _last + 1)"))))
+
+    def cell(number: Column) -> Column:
+        return F.coalesce(F.max(F.when(F.col("_cell") == number, F.col("_text"))), F.lit(""))
+
+    answered = asked.join(cells, [source, "span_no", "_cell"], "left").groupBy(
+        source, "span_no", "piece", "_from", "_to", "_first", "_last",
+    ).agg(cell(F.col("_first") - 1).alias("_a"), cell(F.col("_first")).alias("_b"), cell(F.col("_last")).alias("_c"),
+          cell(F.col("_last") + 1).alias("_d"))
+    inside = F.concat("_a", F.left("_b", (F.col("_from") - F.col("_first") * wide).cast("int")))
+    beyond = F.concat(F.substring("_c", (F.col("_to") - F.col("_last") * wide + 1).cast("int"), F.lit(wide)), "_d")
+    # The first piece has no blank before it, so one character less precedes the others.
+    room = F.greatest(F.least(F.lit(before), F.col("_from") - 1), F.lit(0)).cast("int")
+    return answered.select(source, "span_no", "piece", (F.col("_from") > 0).alias("_follows"),
+                           F.right(inside, room).alias("_before"), F.left(beyond, F.lit(after)).alias("_after"))
+
+
+def span_court(pieces: DataFrame, source: str, text: Column, *, markers: Sequence[str] = P.COURT_MARKERS,
+               guarded: str = P.APPEAL_COURT, reject: str = P.APPEAL_CERTIFICATION, stop: str = P.COURT_TAIL_STOP,
+               more: Mapping[str, Column] | None = None, block: int = BLOCK) -> DataFrame:
+    """Court of each span as its whole text gives it, however it lies in pieces: (source, span_no, court, more).
+
+    Markers in precedence, each at its first place. Names and contexts that cross a border are read through the
+    pieces' halos. ``more`` names further expressions over a piece; the earliest piece that has one gives it.
+    """
+    more = dict(more or {})
+    halos = span_halos(pieces, source, text, X.COURT_BEFORE, X.COURT_AFTER + max(map(len, markers)) + X.COURT_TAIL, block=block)
+    read = pieces.select(source, "span_no", "piece", text.alias("_t"), *[c.alias(n) for n, c in more.items()])
+    read = read.join(halos, [source, "span_no", "piece"], "left")
+    own = F.concat(F.when(F.col("_follows"), " ").otherwise(""), "_t")
+    around = [F.coalesce(c, F.lit("")) for c in ("_before", "_after")]
+    tails = [X.court_tail(own, m, guarded, reject, *around).alias(f"_e{i}") for i, m in enumerate(markers)]
+    named = read.select(source, "span_no", "piece", *more, *tails)
+    found = [f"_e{i}" for i in range(len(markers))]
+    earliest = named.groupBy(source, "span_no").agg(*[
+        F.min_by(c, F.when(F.col(c).isNotNull(), F.col("piece"))).alias(c) for c in [*found, *more]])
+    return earliest.select(source, "span_no", F.coalesce(*[X.court_name(F.col(c), stop) for c in found]).alias("court"), *more)
+
+
 def split_document(text: Column, patterns: Sequence[str], least: int = 200) -> Column:
     """Pieces of one text, cut where a new reference number begins.
 

@@ -12,7 +12,8 @@ from ..functions import fields as X
 from ..functions import ids, urls
 from ..functions.text import lines, normalise, repair_glyph_order, sha256, text_hash
 from ..operators.ordered import in_order
-from ..operators.segment import span_text
+from ..operators.segment import span_court, span_text
+from ..session import cut
 from .registry import Tables, plan, sql_norm, sql_uuid5
 
 NORM = sql_norm("text")
@@ -152,6 +153,25 @@ def p12(t: Tables):
     return norm.select("doc_id", found.alias("court"))
 
 
+@plan("p12_court_over_pieces", rf"""
+WITH s AS (SELECT conv_id, turn, text, sum((turn % 6 = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS span_no FROM conversations),
+n AS (SELECT conv_id, span_no::BIGINT AS span_no, {sql_norm("string_agg(text, chr(12) ORDER BY turn)")} AS t FROM s WHERE span_no > 0 GROUP BY ALL),
+p AS (SELECT *, string_split(t, 'with') AS parts FROM n),
+g AS (SELECT *, list_filter(list_transform(range(1, len(parts)), lambda i: struct_pack(
+        b := right(array_to_string(parts[1:i], 'with'), 90), a := substr(array_to_string(parts[i+1:len(parts)], 'with'), 1, 136))),
+        lambda s: NOT regexp_matches(s.b || 'with' || substr(s.a, 1, 120), 'token|ing the|please')) AS places FROM p)
+SELECT conv_id, span_no, coalesce(
+  CASE WHEN contains(t, 'that and') THEN
+    nullif(substr(trim(regexp_extract(regexp_extract(t, '(that and.{{0,132}})', 1), '^(.*?)(?:,|\.|$)', 1), ' :-،؛'), 1, 120), '') END,
+  nullif(substr(trim(regexp_extract('with' || substr(places[1].a, 1, 136), '^(.*?)(?:,|\.|$)', 1), ' :-،؛'), 1, 120), '')) AS court
+FROM g""")
+def p12_spans(t: Tables):
+    pages = t("conversations").select("conv_id", "turn", "text", (F.col("turn") % 6 == 0).alias("starts"))
+    texts = cut(span_text(pages, "conv_id", "turn", "text", "starts", piece_pages=1))
+    return span_court(texts, "conv_id", normalise(F.col("span_text")), markers=["that and", "with"], guarded="with",
+                      reject="token|ing the|please", stop=r",|\.")
+
+
 @plan("p13_trust_gate", r"""
 SELECT o_orderkey, CASE WHEN regexp_full_match(o_orderpriority, '[0-9]-[A-Z]{3,10}') AND NOT starts_with(o_orderpriority, '5-')
   THEN o_orderpriority END AS trusted FROM orders""")
