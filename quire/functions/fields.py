@@ -149,6 +149,16 @@ def trusted(col: Column, pattern: str, reject_prefix: str | None = None) -> Colu
     return F.when(ok, col)
 
 
+def clamp_range(start: Column, end: Column, pages: Column, is_last: Column) -> Column:
+    """(start_page, end_page, note, valid) of a declared range. The last range of a source may end one page too late:
+    it is clamped and the note says so. Any other range beyond the pages is invalid."""
+    over = is_last & (end == pages + 1)
+    clamped = F.when(over, pages).otherwise(end)
+    note = F.when(over, F.concat(F.lit("end_"), end, F.lit("_clamped_to_"), pages))
+    valid = (start >= 1) & (start <= clamped) & (clamped <= pages)
+    return F.struct(start.alias("start_page"), clamped.alias("end_page"), note.alias("note"), valid.alias("valid"))
+
+
 def missing_fields(named: dict[str, Column]) -> Column:
     """Names of the required fields that are empty, in the order given."""
     gaps = [

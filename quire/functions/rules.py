@@ -130,13 +130,15 @@ def header_facts(text: Column, kinds: Sequence[tuple[str, str, str]] = P.HEADER_
     return F.when(start.isNotNull(), facts)
 
 
-def map_labels(df: DataFrame, label: str, mapping: Sequence[tuple], names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Join a small literal map; labels the map does not know become error rows.
-
-    The map is written out in code, so its broadcast cannot grow with the data.
-    """
-    table = df.sparkSession.createDataFrame(list(mapping), [label, *names])
-    joined = df.join(F.broadcast(table), label, "left")
-    known = joined.filter(F.col(names[0]).isNotNull())
-    unknown = joined.filter(F.col(names[0]).isNull()).select(*df.columns)
-    return known, unknown
+def mapped_label(label: Column, mapping: Sequence[tuple], names: Sequence[str]) -> Column:
+    """Struct of the names that a small literal map gives a label; NULL for a label it does not know."""
+    return F.coalesce(*[
+        F.when(label == key, F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values, strict=True)])) for key, *values in mapping
+    ])
+
+
+def map_labels(df: DataFrame, label: str, mapping: Sequence[tuple], names: Sequence[str]) -> DataFrame:
+    """Add the mapped columns in one pass. ``unknown_label`` marks the error rows, NULL labels among them."""
+    row = mapped_label(F.col(label), mapping, names)
+    return df.withColumn("_label", row).select(
+        *df.columns, *[F.col(f"_label.{n}").alias(n) for n in names], F.col("_label").isNull().alias("unknown_label"))

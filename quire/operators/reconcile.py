@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import FAN, attach, lookup, narrow
+from ..functions.urls import host_allowed
+from .keyed import FAN, attach, lookup, narrow, salt_of, spread
 
 
 def known(rows: DataFrame, existing: DataFrame, key: str, ident: str, flag: str = "is_known", fan: int = FAN) -> DataFrame:
@@ -17,6 +18,29 @@ def known(rows: DataFrame, existing: DataFrame, key: str, ident: str, flag: str
     return lookup(rows, held, [key], [ident], "left", fan).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def triage(incoming: DataFrame, known_urls: DataFrame, known_hashes: DataFrame, ident: str, hosts: Sequence[str], *,
+           url: str = "url", digest: str = "h", fan: int = FAN) -> DataFrame:
+    """(ident, status) of each landed row in order of precedence: rejected host, known URL, duplicate payload, saved.
+
+    After one join by URL, one grouping by payload hash says both whether the register holds a hash, whose hashes
+    travel beside the rows, and which new row brought it first. Rows of a hash are spread over salts. A row
+    without a hash equals no other; ``ident`` is unique and not NULL.
+    """
+    held = narrow(known_urls, keys=[url]).distinct().withColumn("_held", F.lit(True))
+    early = F.when(~host_allowed(F.col(url), hosts), "rejected").when(F.col("_held"), "known_url")
+    looked = incoming.select(ident, url, digest).join(held, url, "left").select(ident, digest, early.alias("_early"))
+    laid = spread(looked, [digest], [ident], fan)
+    mine = laid.select(digest, F.when(F.col("_early").isNull(), F.col(ident)).alias("_first"), salt_of([ident], fan).alias("_salt"))
+    theirs = narrow(known_hashes, keys=[digest]).withColumn("_first", F.lit(None).cast(incoming.schema[ident].dataType))
+    both = mine.withColumn("_known", F.lit(False)).unionByName(
+        theirs.withColumn("_salt", F.lit(None).cast("int")).withColumn("_known", F.lit(True)))
+    per_hash = both.groupBy(digest).agg(
+        F.min("_first").alias("_first"), F.max("_known").alias("_known"), F.collect_set("_salt").alias("_salts"))
+    per_hash = per_hash.withColumn("_salt", F.explode("_salts")).drop("_salts")
+    late = F.when(F.col("_known") | (F.col("_first") < F.col(ident)), "duplicate").otherwise("saved")
+    return laid.join(per_hash, [digest, "_salt"], "left").select(ident, F.coalesce("_early", late).alias("status"))
+
+
 def exact_copies(recovered: DataFrame, current: DataFrame, keys: Sequence[str], ident: str, fan: int = FAN) -> DataFrame:
     """Match on a composite key: unmatched rows stay, one match is a duplicate, more is an error."""
     counted = current.groupBy(*keys).agg(

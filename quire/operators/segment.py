@@ -182,12 +182,10 @@ def span_court(pieces: DataFrame, source: str, text: Column, *, markers: Sequenc
     return earliest.select(source, "span_no", F.coalesce(*[X.court_name(F.col(c), stop) for c in found]).alias("court"), *more)
 
 
-def split_document(text: Column, patterns: Sequence[str], least: int = 200) -> Column:
-    """Pieces of one text, cut where a new reference number begins.
+def _cut_pieces(text: Column, patterns: Sequence[str]) -> Column:
+    """All pieces of one text, cut where a new reference number begins; NULL where it does not split.
 
-    The first pattern with more than one distinct number wins. The first piece also
-    holds what precedes it; pieces under ``least`` characters go; a text that does not
-    split stays whole. ``text`` is normalised.
+    The first pattern with more than one distinct number wins. The first piece also holds what precedes it.
     """
 
     def pieces(pattern: str) -> tuple[Column, Column]:
@@ -206,12 +204,30 @@ def split_document(text: Column, patterns: Sequence[str], least: int = 200) -> C
         )
         return F.size(fresh) > 1, parts
 
-    options = [F.when(found, parts) for found, parts in map(pieces, patterns)]
-    kept = F.filter(F.coalesce(*options), lambda p: F.length(p) >= least)
+    return F.coalesce(*[F.when(found, parts) for found, parts in map(pieces, patterns)])
+
+
+def split_document(text: Column, patterns: Sequence[str], least: int = 200) -> Column:
+    """Pieces of one text, cut where a new reference number begins.
+
+    Pieces under ``least`` characters go (``short_pieces`` has them); a text that does not
+    split, or of which nothing would stay, stays whole. ``text`` is normalised.
+    """
+    kept = F.filter(_cut_pieces(text, patterns), lambda p: F.length(p) >= least)
     whole = F.when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(kept) > 0, kept).otherwise(whole)
 
 
+def short_pieces(text: Column, patterns: Sequence[str], least: int = 200) -> Column:
+    """The pieces that ``split_document`` leaves out of this text: (piece, text), for the error output of a split.
+
+    ``piece`` counts from 1 over all pieces. Nothing is left out of a text that stays whole.
+    """
+    numbered = F.transform(_cut_pieces(text, patterns), lambda p, i: F.struct((i + 1).alias("piece"), p.alias("text")))
+    short = F.filter(numbered, lambda p: F.length(p["text"]) < least)
+    return F.when(F.size(short) < F.size(numbered), short).otherwise(F.slice(numbered, 1, 0))
+
+
 def processing_log(pages: DataFrame, source: str, boundary: str, indexed: str) -> DataFrame:
     """One row per source: pages, boundaries, indexed records, status and note."""
     per_source = pages.groupBy(source).agg(

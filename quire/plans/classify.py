@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..deposits import deposit_records
 from ..functions import rules as L
-from ..functions import urls
 from ..functions.text import normalise, text_hash
+from ..lifecycles import eligible
 from ..operators import reconcile, segment
-from ..operators.dedup import first_wins
 from ..operators.keyed import keep
 from .registry import Tables, plan, sql_norm
 
@@ -167,11 +166,7 @@ SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'decision' WHEN '2-
 def c7(t: Tables):
     mapping = [("1-URGENT", "decision", "copyright"), ("2-HIGH", "principle", "international")]
     orders = t("orders").select("o_orderkey", "o_orderpriority")
-    known, unknown = L.map_labels(orders, "o_orderpriority", mapping, ["document_type", "subcategory"])
-    good = known.select("o_orderkey", "document_type", "subcategory", F.lit(False).alias("unknown_label"))
-    none = F.lit(None).cast("string")
-    return good.unionByName(unknown.select("o_orderkey", none.alias("document_type"), none.alias("subcategory"),
-                                           F.lit(True).alias("unknown_label")))
+    return L.map_labels(orders, "o_orderpriority", mapping, ["document_type", "subcategory"]).drop("o_orderpriority")
 
 
 @plan("f1_page_evidence", rf"""
@@ -207,12 +202,19 @@ def f2(t: Tables):
 SELECT o_orderkey, c_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING' AND n_regionkey <> 0 AND o_orderpriority <> '5-LOW' AND o_totalprice >= 1""")
 def f3(t: Tables):
-    """Active and approved documents, official sources, processed files, no index class."""
-    documents = t("orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") != "5-LOW") & (F.col("o_totalprice") >= 1))
-    files = t("customer").filter(F.col("c_mktsegment") == "BUILDING")
-    sources = t("nation").filter(F.col("n_regionkey") != 0)
-    joined = documents.join(files, documents.o_custkey == files.c_custkey).join(sources, files.c_nationkey == sources.n_nationkey)
-    return joined.select("o_orderkey", "c_custkey", "n_name")
+    """Orders stand for documents, customers for files and nations for sources; the shipped gate judges them."""
+    documents = t("orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_file_id"), F.col("o_orderpriority").alias("document_type"),
+        F.when(F.col("o_orderstatus") == "F", "active").alias("status"), F.when(F.col("o_totalprice") >= 1, "approved").alias("review_status"),
+        F.lit(1).alias("source_page_start"), F.lit(1).alias("source_page_end"))
+    files = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("source_id"),
+                                 F.when(F.col("c_mktsegment") == "BUILDING", "processed").alias("processing_status"))
+    sources = t("nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") != 0).alias("is_official"))
+    shown = eligible(documents, files, sources, ("5-LOW",)).select("id", "source_file_id")
+    named = t("customer").select("c_custkey", "c_nationkey").join(
+        t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+    joined = shown.join(named, shown.source_file_id == named.c_custkey)
+    return joined.select(F.col("id").alias("o_orderkey"), "c_custkey", "n_name")
 
 
 @plan("f4_source_gate", """
@@ -241,18 +243,24 @@ def f5(t: Tables):
     incoming = pages.select("page_id", "url", text_hash(F.regexp_extract("html", "<title>([^<]*)", 1), "target").alias("h"))
     register = pages.filter(F.col("url").contains("/de/")).select("url")
     held = t("benchmark").select(text_hash(F.col("text"), "target").alias("h"))
-    return triage(incoming, register, held, "page_id", ["example.com", "example.org"])
-
-
-def triage(incoming, known_urls, known_hashes, ident, hosts):
-    """Status of each landed row, in order of precedence; an equal payload is saved once."""
-    flagged = reconcile.known(incoming, known_urls, "url", ident, "url_known")
-    flagged = reconcile.known(flagged, known_hashes, "h", ident, "hash_known")
-    allowed = urls.host_allowed(F.col("url"), hosts)
-    early = (
-        F.when(~allowed, "rejected").when(F.col("url_known"), "known_url").when(F.col("hash_known"), "duplicate")
-    )
-    judged = flagged.select(ident, "h", early.alias("early"))
-    fresh = first_wins(judged.filter(F.col("early").isNull()), "h", ident, ident)
-    late = fresh.select(ident, F.when(F.col("is_first"), "saved").otherwise("duplicate").alias("status"))
-    return judged.filter(F.col("early").isNotNull()).select(ident, F.col("early").alias("status")).unionByName(late)
+    return reconcile.triage(incoming, register, held, "page_id", ["example.com", "example.org"])
+
+
+@plan("f5_triage_payloads", rf"""
+WITH i AS (SELECT page_id, url, html FROM pages UNION ALL SELECT page_id + 1000000000, url || '?again', html FROM pages),
+hashes AS (SELECT sha256({sql_norm("html")}) AS h FROM pages WHERE contains(url, '/fr/')),
+j AS (SELECT page_id, url, sha256({sql_norm("html")}) AS h, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM i),
+k AS (SELECT *, CASE WHEN NOT (ends_with(host, '.example.com') OR ends_with(host, '.example.org')) THEN 'rejected'
+  WHEN url IN (SELECT url FROM pages WHERE contains(url, '/de/')) THEN 'known_url' WHEN h IN (SELECT h FROM hashes) THEN 'duplicate' ELSE 'new' END AS s FROM j)
+SELECT page_id, CASE WHEN s = 'new' AND page_id <> min(page_id) OVER (PARTITION BY s, h) THEN 'duplicate' WHEN s = 'new' THEN 'saved' ELSE s END AS status
+FROM k""")
+def f5_payloads(t: Tables):
+    """Whole payloads; each page lands a second time under another URL."""
+    pages = t("pages").select("page_id", "url", "html")
+    again = pages.select((F.col("page_id") + 1000000000).alias("page_id"), F.concat("url", F.lit("?again")).alias("url"), "html")
+    hashed = text_hash(F.col("html"), "target").alias("h")
+    register = pages.filter(F.col("url").contains("/de/")).select("url")
+    held = pages.filter(F.col("url").contains("/fr/")).select(hashed)
+    incoming = pages.unionByName(again).select("page_id", "url", hashed)
+    return reconcile.triage(incoming, register, held, "page_id", ["example.com", "example.org"])
+

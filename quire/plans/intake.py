@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import text_hash
+from ..operators import reconcile
 from ..operators import validate as V
 from ..session import scratch
 from ..sources.keylog import KeyLog
@@ -12,7 +13,6 @@ from ..sources.tables import append_once, read_log
 from ..streaming import budget as B
 from ..streaming import intake as I
 from ..streaming.paging import listed_posts, paging_stops
-from .classify import triage
 from .registry import Tables, plan, sql_norm
 
 NORM = sql_norm("text")
@@ -135,7 +135,7 @@ def r7(t: Tables):
 
     def each(batch, number):
         incoming = batch.select("page_id", "url", F.sha2("html", 256).alias("h"))
-        append_once(triage(incoming, register, held, "page_id", ["example.com", "example.org"]), f"{root}/index", number)
+        append_once(reconcile.triage(incoming, register, held, "page_id", ["example.com", "example.org"]), f"{root}/index", number)
 
     I.drain(_stream(t, "pages"), f"{root}/checkpoint", each)
     return read_log(t.spark, f"{root}/index").groupBy("status").agg(F.count(F.lit(1)).alias("records"))

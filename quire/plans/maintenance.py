@@ -37,6 +37,15 @@ def k3(t: Tables):
     return ranked.groupBy(F.format_string("%03d", F.expr("(n - 1) div 100 + 1")).alias("batch")).agg(F.count(F.lit(1)).alias("records"))
 
 
+@plan("k3_batches_on_disk", """
+WITH b AS (SELECT o_orderkey, o_custkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 + 1 AS n FROM orders)
+SELECT lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') AS batch, o_orderkey, o_custkey FROM b""")
+def k3_disk(t: Tables):
+    path = scratch(t.spark, "batches")
+    K.write_batches(t("orders").select("o_orderkey", "o_custkey"), path, "o_orderkey", 100, per_file=20)
+    return K.read_dataset(t.spark, path, "o_orderkey bigint, o_custkey bigint, batch string").select("batch", "o_orderkey", "o_custkey")
+
+
 @plan("k4_insert_on_id", """
 WITH t AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
 s AS (SELECT c_custkey, upper(c_name) AS c_name, c_mktsegment FROM customer WHERE c_nationkey < 12)

@@ -148,6 +148,21 @@ def w9(t: Tables):
     return rows.select("doc_id", (F.col("p") + 1).alias("part"), sha256(F.col("part_text")).alias("part_hash"))
 
 
+@plan("w9_short_pieces", rf"""
+WITH n AS (SELECT doc_id, {NORM} AS t FROM documents),
+m AS (SELECT doc_id, t, regexp_extract_all(t, 'and ([a-z]{{4,20}})', 1) AS nums, string_split(regexp_replace(t, 'and ([a-z]{{4,20}})', chr(1) || 'and \1', 'g'), chr(1)) AS segs FROM n),
+x AS (SELECT doc_id, t, segs, list_filter(range(1, len(nums) + 1), lambda i: list_position(nums, nums[i]) = i) AS fresh FROM m),
+p AS (SELECT doc_id, t, CASE WHEN len(fresh) > 1 THEN list_transform(range(1, len(fresh) + 1), lambda j: trim(array_to_string(
+   segs[(CASE WHEN j = 1 THEN 1 ELSE fresh[j] + 1 END):(CASE WHEN j = len(fresh) THEN len(segs) ELSE fresh[j + 1] END)], ''))) END AS parts FROM x),
+u AS (SELECT doc_id, unnest(parts) AS part_text, generate_subscripts(parts, 1)::INTEGER AS piece, list_max(list_transform(parts, lambda s: length(s))) AS longest FROM p)
+SELECT doc_id, piece, sha256(part_text) AS part_hash, length(part_text)::INTEGER AS size FROM u WHERE longest >= 200 AND length(part_text) < 200""")
+def w9_short(t: Tables):
+    """What the split leaves out, as error rows."""
+    norm = t("documents").select("doc_id", normalise(F.col("text"), "target").alias("t"))
+    rows = norm.select("doc_id", F.inline(segment.short_pieces(F.col("t"), ["and ([a-z]{4,20})"])))
+    return rows.select("doc_id", "piece", sha256(F.col("text")).alias("part_hash"), F.length("text").alias("size"))
+
+
 @plan("w10_first_seen", """
 WITH k AS (SELECT o_orderkey, o_custkey || '|' || o_orderpriority || '|' || o_orderstatus AS e, o_custkey || '|' || o_orderpriority AS r FROM orders),
 m AS (SELECT *, min(o_orderkey) OVER (PARTITION BY e) AS me, min(o_orderkey) OVER (PARTITION BY r) AS mr FROM k)

@@ -286,15 +286,9 @@ def p22(t: Tables):
     turns = t("conversations").select("conv_id", "turn")
     sized = attach(turns, ["conv_id"], ["turn"], [(F.max("turn") + 1).alias("pages")])
     looked = in_order(sized, ["conv_id"], "turn", following={"next": "turn"})
-    last = F.col("next").isNull()
     declared = F.coalesce(F.col("next") + 1, F.col("pages") + 1)
-    over = last & (declared == F.col("pages") + 1)
-    end = F.when(over, F.col("pages")).otherwise(declared)
-    start = F.col("turn") + 1
-    return looked.select(
-        "conv_id", start.alias("start_page"), end.alias("end_page"),
-        F.when(over, F.concat(F.lit("end_"), declared, F.lit("_clamped_to_"), F.col("pages"))).alias("note"),
-        ((start >= 1) & (start <= end) & (end <= F.col("pages"))).alias("valid"))
+    judged = X.clamp_range(F.col("turn") + 1, declared, F.col("pages"), F.col("next").isNull())
+    return looked.select("conv_id", judged.alias("r")).select("conv_id", "r.*")
 
 
 @plan("p23_labelled_value", r"""

@@ -26,9 +26,8 @@ def s1(t: Tables):
     raw = t("events").select(F.lit("events").alias("register"), F.col("event_id").alias("id"), F.col("props").alias("line"))
     raw = raw.unionByName(
         t("documents").select(F.lit("documents").alias("register"), F.col("doc_id").alias("id"), F.col("text").alias("line")))
-    rows, errors = R.parse_lines(raw, "line", PROPS, ["register", "id"])
-    good = rows.select("register", "id", F.lit("").alias("reason"), "k")
-    return good.unionByName(errors.select("register", "id", "reason", F.lit(None).cast("int").alias("k")))
+    tagged = R.tag_lines(raw, "line", PROPS, ["register", "id"])
+    return tagged.select("register", "id", F.coalesce("reason", F.lit("")).alias("reason"), "k")
 
 
 @plan("s2_union_registers", """

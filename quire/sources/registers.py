@@ -14,13 +14,14 @@ from ..functions.text import collapse
 from ..functions.patterns import TAG
 from ..functions.urls import unescape
 from ..operators.dedup import first_wins
+from ..session import cut
 
 CORRUPT = "_corrupt_record"
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
-def parse_lines(raw: DataFrame, value: str, schema: T.StructType, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Lines to rows or to error rows; no line is lost and none is in both."""
+def tag_lines(raw: DataFrame, value: str, schema: T.StructType, carry: Sequence[str] = ()) -> DataFrame:
+    """One row a line: ``carry``, the fields, ``reason`` (NULL for a row) and the ``line`` of an error. No line is lost."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = raw.withColumn("_row", F.from_json(F.col(value), full, options))
@@ -34,22 +35,31 @@ def parse_lines(raw: DataFrame, value: str, schema: T.StructType, carry: Sequenc
         .when(is_json, "non_object")
         .otherwise("invalid_json")
     )
-    judged = parsed.withColumn("reason", reason)
-    rows = judged.filter(F.col("reason").isNull()).select(*carry, *[F.col(f"_row.{f.name}").alias(f.name) for f in schema])
-    errors = judged.filter(F.col("reason").isNotNull()).select(*carry, "reason", F.col(value).alias("line"))
-    return rows, errors
+    good = F.col("reason").isNull()
+    return parsed.withColumn("reason", reason).select(
+        *carry, *[F.when(good, F.col(f"_row.{f.name}")).alias(f.name) for f in schema], "reason", F.when(~good, F.col(value)).alias("line"))
+
+
+def parse_lines(raw: DataFrame, value: str, schema: T.StructType, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Lines to rows or to error rows; no line is in both. The tagged lines are written once and read by tag."""
+    tagged = cut(tag_lines(raw, value, schema, carry))
+    rows = tagged.filter(F.col("reason").isNull()).select(*carry, *schema.names)
+    return rows, tagged.filter(F.col("reason").isNotNull()).select(*carry, "reason", "line")
+
+
+def _register_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
 
 
 def read_register(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Strict scan: each line of the register is a row or an error row with its path."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    return parse_lines(raw, "value", schema, ["path"])
+    return parse_lines(_register_lines(spark, path), "value", schema, ["path"])
 
 
 def read_lenient(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Bad lines are dropped; the file path stays as provenance."""
-    rows, _ = read_register(spark, path, schema)
-    return rows
+    tagged = tag_lines(_register_lines(spark, path), "value", schema, ["path"])
+    return tagged.filter(F.col("reason").isNull()).select("path", *schema.names)
 
 
 def with_aliases(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:

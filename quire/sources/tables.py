@@ -114,10 +114,14 @@ def write_manifest(df: DataFrame, path: str) -> None:
     replace_dataset(df, path, "csv", header=True, escape='"', lineSep="\n", emptyValue="", nullValue="")
 
 
-def write_batches(df: DataFrame, path: str, order: str, size: int = 100, block: int = BLOCK) -> None:
-    """Numbered fixed-size batches as compressed JSON, one folder per batch."""
-    numbered = number_batches(df, order, size, block=block).withColumn("batch", F.format_string("%03d", "batch"))
-    replace_dataset(numbered.repartition("batch"), path, "json", ["batch"], compression="gzip")
+def write_batches(df: DataFrame, path: str, order: str, size: int = 100, block: int = BLOCK, per_file: int = 1000) -> None:
+    """Numbered fixed-size batches as compressed JSON, the number as a column.
+
+    ``per_file`` neighbouring batches go to one task, in order; a batch is never divided between files.
+    """
+    numbered = number_batches(df, order, size, block=block).withColumn("_group", F.expr(f"(batch - 1) div {int(per_file)}"))
+    grouped = numbered.repartition("_group").sortWithinPartitions("batch", order).drop("_group")
+    replace_dataset(grouped.withColumn("batch", F.format_string("%03d", "batch")), path, "json", compression="gzip")
 
 
 def insert_if_absent(target: DataFrame, source: DataFrame, order: str, keys: Sequence[Sequence[str]]) -> DataFrame:

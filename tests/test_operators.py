@@ -11,6 +11,7 @@ from quire.operators import validate as V
 from quire.schemas import TABLES, table_schema
 from quire.functions.text import lines, normalise
 from quire.functions import fields as X
+from quire.functions import rules
 
 
 def skewed(seed, n=900):
@@ -327,3 +328,46 @@ def test_blocks_follow_the_density_of_the_ids(spark, gap):
     assert got.select("_block").distinct().count() == 10
     rows = got.collect()
     assert all(r["n"] == r["v"] // 3 + 1 and r["p"] == (r["v"] - 3 if r["v"] > 2 else None) for r in rows) and len(rows) == 1000
+
+
+def test_triage_in_few_exchanges(spark):
+    hosts = ["a.org"]
+    rows = [(i, f"https://a.org/{i}", "hot" if i % 3 else f"h{i % 7}") for i in range(60)]
+    rows += [(60, "https://b.net/1", "fresh"), (61, "https://a.org/61", "fresh"), (62, "https://a.org/62", "held"), (63, "https://a.org/63", None),
+             (64, "https://a.org/64", None), (65, "https://a.org/5", "late"), (66, "https://a.org/66", "late"), (67, None, "x")]
+    df = spark.createDataFrame(rows, "id long, url string, h string")
+    known = spark.createDataFrame([("https://a.org/5",), ("https://a.org/5",), (None,)], "url string")
+    held = spark.createDataFrame([("held",), ("held",), ("h3",), (None,)], "h string")
+    out = reconcile.triage(df, known, held, "id", hosts, fan=4)
+    mine = {r["id"]: r["status"] for r in out.collect()}
+    seen, wanted = {"held", "h3"}, {}
+    for i, url, h in rows:
+        host = None if url is None else url.split("/")[2]
+        if url is not None and host != "a.org":
+            wanted[i] = "rejected"
+        elif url == "https://a.org/5":
+            wanted[i] = "known_url"
+        else:
+            wanted[i] = "duplicate" if h in seen else "saved"
+            seen |= {h} - {None}
+    assert mine == wanted and len(mine) == len(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count(" Exchange hashpartitioning") <= 6, final
+
+
+def test_register_is_scanned_once(spark):
+    from quire.plans import PLANS
+    from quire.plans.registry import Tables
+
+    plan = PLANS["s1_strict_scan"].build(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Exchange" not in plan
+
+
+def test_clamp_and_labels(spark):
+    rows = spark.createDataFrame([(1, 4, 3, True), (1, 5, 3, True), (2, 4, 3, False), (0, 2, 3, False), (3, 3, 3, True)], "s int, e int, p int, last boolean")
+    got = [tuple(r[0]) for r in rows.select(X.clamp_range(F.col("s"), F.col("e"), F.col("p"), F.col("last"))).collect()]
+    assert got == [(1, 3, "end_4_clamped_to_3", True), (1, 5, None, False), (2, 4, None, False), (0, 2, None, False), (3, 3, None, True)]
+    labels = spark.createDataFrame([("a",), ("z",), (None,)], "l string")
+    mapped = rules.map_labels(labels, "l", [("a", "k", None), ("b", "m", "n")], ["kind", "sub"]).collect()
+    assert [tuple(r) for r in mapped] == [("a", "k", None, False), ("z", None, None, True), (None, None, None, True)]

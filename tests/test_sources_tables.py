@@ -188,3 +188,13 @@ def test_old_versions_and_lost_writers(spark, folder):
     assert create_once(spark, f"{folder}/log/seq-000000005.json", "") and not create_once(spark, f"{folder}/log/seq-000000005.json", "x")
     K.replace_dataset(spark.range(7), folder)
     assert K.read_dataset(spark, folder).count() == 7 and K.current_version(spark, folder)[0] == 6
+
+
+def test_a_file_holds_many_whole_batches(spark, folder):
+    K.write_batches(spark.range(1050).withColumnRenamed("id", "k"), folder, "k", 100, per_file=4)
+    got = K.read_dataset(spark, folder, "k long, batch string").withColumn("file", F.input_file_name()).collect()
+    files = {}
+    for r in got:
+        files.setdefault(r["batch"], set()).add(r["file"])
+    assert len(got) == 1050 and len(files) == 11 and all(len(v) == 1 for v in files.values())
+    assert len(set.union(*files.values())) <= 3

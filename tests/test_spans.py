@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import fields as X
 from quire.functions import patterns as P
 from quire.functions.text import normalise
-from quire.operators.segment import span_court, span_halos, span_text
+from quire.operators.segment import short_pieces, span_court, span_halos, span_text
 
 MARKS = ["المحكمة العامة", "محكمة الاستئناف"]
 WORDS = [*MARKS, "محكمة", "الاستئناف", "المحكمة", "العامة", "صدق الحكم", "قرار", "التصديق", "بجدة،", "رقم", "نص" * 30, "نص " * 40, "", "ا"]
@@ -94,3 +94,10 @@ def test_halos_are_slices_of_the_span(spark):
 def test_court_without_neighbourhood_is_the_whole_text(spark):
     one = spark.createDataFrame([("نظرت المحكمة العامة بجدة، ثم",)], "t string")
     assert one.select(X.court(F.col("t"))).first()[0] == "المحكمة العامة بجدة"
+
+
+def test_short_pieces_are_what_the_split_leaves_out(spark):
+    cases = {"both": "رقم الصك 111 رقم الصك 222 " + "نص " * 10, "whole": "رقم الصك 111 رقم الصك 222", "one": "رقم الصك 111", "empty": ""}
+    df = spark.createDataFrame(list(cases.items()), "id string, t string")
+    left = df.select("id", F.inline(short_pieces(F.col("t"), ["رقم الصك ([0-9]{3,20})"], 20))).collect()
+    assert [tuple(r) for r in left] == [("both", 1, "رقم الصك 111")]
