@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -182,29 +182,30 @@ def span_court(pieces: DataFrame, source: str, text: Column, *, markers: Sequenc
     return earliest.select(source, "span_no", F.coalesce(*[X.court_name(F.col(c), stop) for c in found]).alias("court"), *more)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute a value once and use it often: inside a lambda Catalyst would compute it again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _cut_pieces(text: Column, patterns: Sequence[str]) -> Column:
     """All pieces of one text, cut where a new reference number begins; NULL where it does not split.
 
     The first pattern with more than one distinct number wins. The first piece also holds what precedes it.
     """
 
-    def pieces(pattern: str) -> tuple[Column, Column]:
-        segments = F.split(text, f"(?={pattern})")
-        numbers = F.transform(segments, lambda s: F.regexp_extract(s, f"^{pattern}", 1))
-        fresh = F.filter(
-            F.sequence(F.lit(1), F.size(numbers)),
-            lambda i: (F.get(numbers, i - 1) != "") & (F.array_position(numbers, F.get(numbers, i - 1)) == i),
-        )
-        begin = F.transform(fresh, lambda f, i: F.when(i == 0, 1).otherwise(f))
-        parts = F.transform(
-            begin,
-            lambda b, i: F.trim(
-                F.array_join(F.slice(segments, b, F.coalesce(F.get(begin, i + 1), F.size(segments) + 1) - b), "")
-            ),
-        )
-        return F.size(fresh) > 1, parts
+    def pieces(pattern: str) -> Column:
+        def numbered(segments: Column) -> Column:
+            return _let(F.transform(segments, lambda s: F.regexp_extract(s, f"^{pattern}", 1)), lambda numbers: _let(
+                F.transform(F.array_distinct(F.array_remove(numbers, "")), lambda n: F.array_position(numbers, n).cast("int")),
+                lambda fresh: F.when(F.size(fresh) > 1, parts(segments, fresh))))
+
+        def parts(segments: Column, fresh: Column) -> Column:
+            return F.transform(fresh, lambda f, i: _let(F.when(i == 0, 1).otherwise(f), lambda begin: F.trim(F.array_join(
+                F.slice(segments, begin, F.coalesce(F.get(fresh, i + 1), F.size(segments) + 1) - begin), ""))))
 
-    return F.coalesce(*[F.when(found, parts) for found, parts in map(pieces, patterns)])
+        return _let(F.split(text, f"(?={pattern})"), numbered)
+
+    return F.coalesce(*map(pieces, patterns))
 
 
 def split_document(text: Column, patterns: Sequence[str], least: int = 200) -> Column:
@@ -213,9 +214,9 @@ def split_document(text: Column, patterns: Sequence[str], least: int = 200) -> C
     Pieces under ``least`` characters go (``short_pieces`` has them); a text that does not
     split, or of which nothing would stay, stays whole. ``text`` is normalised.
     """
-    kept = F.filter(_cut_pieces(text, patterns), lambda p: F.length(p) >= least)
     whole = F.when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(kept) > 0, kept).otherwise(whole)
+    kept = F.filter(_cut_pieces(text, patterns), lambda p: F.length(p) >= least)
+    return _let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(whole))
 
 
 def short_pieces(text: Column, patterns: Sequence[str], least: int = 200) -> Column:
@@ -224,8 +225,9 @@ def short_pieces(text: Column, patterns: Sequence[str], least: int = 200) -> Col
     ``piece`` counts from 1 over all pieces. Nothing is left out of a text that stays whole.
     """
     numbered = F.transform(_cut_pieces(text, patterns), lambda p, i: F.struct((i + 1).alias("piece"), p.alias("text")))
-    short = F.filter(numbered, lambda p: F.length(p["text"]) < least)
-    return F.when(F.size(short) < F.size(numbered), short).otherwise(F.slice(numbered, 1, 0))
+
+    return _let(numbered, lambda n: _let(F.exists(n, lambda p: F.length(p["text"]) >= least), lambda some: F.filter(
+        n, lambda p: some & (F.length(p["text"]) < least))))
 
 
 def processing_log(pages: DataFrame, source: str, boundary: str, indexed: str) -> DataFrame:
