@@ -36,7 +36,7 @@ def borders(rows: DataFrame, order: str, block: int) -> DataFrame:
     )
     far = f"double(x) - double(a.start) > {block} AND a.last > a.start"
     cuts = f"""aggregate(
-        array_append(filter(q, (x, i) -> (i + 1) % greatest({SKETCH} div wanted, 1) = 0), most),
+        array_append(filter(q, (x, i) -> (i + 1) * least(wanted, {SKETCH}) % {SKETCH} < least(wanted, {SKETCH})), most),
         named_struct('start', least, 'last', least, 'cuts', CAST(array() AS array<bigint>)),
         (a, x) -> named_struct('start', if({far}, a.last, a.start), 'last', x, 'cuts', if({far}, array_append(a.cuts, a.last), a.cuts)),
         a -> a.cuts)"""
