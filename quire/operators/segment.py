@@ -191,19 +191,26 @@ def _cut_pieces(text: Column, patterns: Sequence[str]) -> Column:
     """All pieces of one text, cut where a new reference number begins; NULL where it does not split.
 
     The first pattern with more than one distinct number wins. The first piece also holds what precedes it.
+    Numbers are found from left to right and do not overlap: one that begins inside another cuts nothing.
     """
 
     def pieces(pattern: str) -> Column:
-        def numbered(segments: Column) -> Column:
-            return _let(F.transform(segments, lambda s: F.regexp_extract(s, f"^{pattern}", 1)), lambda numbers: _let(
-                F.transform(F.array_distinct(F.array_remove(numbers, "")), lambda n: F.array_position(numbers, n).cast("int")),
-                lambda fresh: F.when(F.size(fresh) > 1, parts(segments, fresh))))
+        found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("numbers"),
+                         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern).alias("rests"))
+
+        def numbered(found: Column) -> Column:
+            return _let(F.transform(F.array_distinct(F.array_remove(found["numbers"], "")), lambda n: F.array_position(found["numbers"], n).cast("int") + 1),
+                        lambda fresh: F.when(F.size(fresh) > 1, _let(segments(found["matches"], found["rests"]), lambda s: parts(s, fresh))))
+
+        def segments(matches: Column, rests: Column) -> Column:
+            """What precedes the first match, then each match with what follows it."""
+            return F.transform(rests, lambda rest, i: F.concat(F.coalesce(F.get(matches, i - 1), F.lit("")), rest))
 
         def parts(segments: Column, fresh: Column) -> Column:
             return F.transform(fresh, lambda f, i: _let(F.when(i == 0, 1).otherwise(f), lambda begin: F.trim(F.array_join(
                 F.slice(segments, begin, F.coalesce(F.get(fresh, i + 1), F.size(segments) + 1) - begin), ""))))
 
-        return _let(F.split(text, f"(?={pattern})"), numbered)
+        return _let(found, numbered)
 
     return F.coalesce(*map(pieces, patterns))
 

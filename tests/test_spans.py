@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import fields as X
 from quire.functions import patterns as P
 from quire.functions.text import normalise
-from quire.operators.segment import short_pieces, span_court, span_halos, span_text
+from quire.operators.segment import short_pieces, span_court, span_halos, span_text, split_document
 
 MARKS = ["المحكمة العامة", "محكمة الاستئناف"]
 WORDS = [*MARKS, "محكمة", "الاستئناف", "المحكمة", "العامة", "صدق الحكم", "قرار", "التصديق", "بجدة،", "رقم", "نص" * 30, "نص " * 40, "", "ا"]
@@ -101,3 +101,10 @@ def test_short_pieces_are_what_the_split_leaves_out(spark):
     df = spark.createDataFrame(list(cases.items()), "id string, t string")
     left = df.select("id", F.inline(short_pieces(F.col("t"), ["رقم الصك ([0-9]{3,20})"], 20))).collect()
     assert [tuple(r) for r in left] == [("both", 1, "رقم الصك 111")]
+
+
+def test_a_number_within_a_number_cuts_nothing(spark):
+    df = spark.createDataFrame([("and hand brown x and blue y", "with the forewith the fog x with the rest of it")], "t string, u string")
+    assert df.select(F.inline(short_pieces(F.col("t"), ["and ([a-z]{4,20})"], 12))).collect() == [(2, "and blue y")]
+    assert df.select(split_document(F.col("u"), ["with the ([a-z]{3,20})"], 5)).first()[0] == ["with the forewith the fog x", "with the rest of it"]
+    assert df.select(split_document(F.col("t"), ["(?:and|brown) ([a-z]{4,20})?"], 5)).first()[0] == ["and hand brown x", "and blue y"]
