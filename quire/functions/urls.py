@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,12 +75,24 @@ def unescape(col: Column) -> Column:
     return F.coalesce(_unescape(F.when(col.rlike(rare), col)), direct)
 
 
+NAMED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+_unescape_closed = arrow_map(partial(NAMED.sub, lambda m: m[0] if m[1] and f"{m[1]};" not in html.entities.html5 else html.unescape(m[0])))
+
+
+def unescape_closed(col: Column) -> Column:
+    """The entities that end in a semicolon; the standard also reads some that do not, such as ``&amp`` before a blank."""
+    rare = r"&(?!(?:lt|gt|quot|nbsp|copy|middot|amp|#39|#x27);)[#A-Za-z][0-9A-Za-z]*;"
+    direct = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), COMMON_ENTITIES, col)
+    return F.coalesce(_unescape_closed(F.when(col.rlike(rare), col)), direct)
+
+
 def strip_tags(page: Column, filler: str = " ") -> Column:
     return F.regexp_replace(F.regexp_replace(page, P.SCRIPT_BLOCK, " "), P.TAG, filler)
 
 
-def html_text(page: Column) -> Column:
-    return unescape(strip_tags(page))
+def html_text(page: Column, closed: bool = False) -> Column:
+    """Text of a page. ``closed``: entities count only with their semicolon."""
+    return (unescape_closed if closed else unescape)(strip_tags(page))
 
 
 def year_of(name: Column) -> Column:

@@ -141,6 +141,13 @@ def test_entities_like_the_standard(spark):
     assert one(spark, page, lambda c: F.trim(urls.html_text(c))) == "a b ©"
 
 
+def test_closed_entities_leave_the_others(spark):
+    raws = ["a&amp To &amp; b&ampc &copy &copy;", "&amp;lt; &notit; &not; &#65; &#65 x&#x41;", "&am&amp; &amp;&amp"]
+    wants = ["a&amp To & b&ampc &copy ©", "&lt; &notit; ¬ A &#65 xA", "&am& &&amp"]
+    assert [one(spark, raw, urls.unescape_closed) for raw in raws] == wants
+    assert one(spark, "<i>Of&amp</i> x", lambda c: urls.html_text(c, closed=True)) == " Of&amp  x"
+
+
 def test_content_routes(spark):
     rows = [
         (b"\x00\x00%PDF-1.4", "", "https://h/x", "pdf"), (b"plain", "", "https://h/X.PDF?d=1", "pdf"),
