@@ -20,18 +20,28 @@ CORRUPT = "_corrupt_record"
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
+def _one_value(line: Column) -> Column:
+    """Whether nothing follows the line's first JSON value: the parsers read that value and stop.
+
+    Within brackets and within braces the line must be the only value; what closes one of them early breaks the other.
+    """
+    listed = F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))) == 1
+    named = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), line, F.lit("}")))) == 1
+    return F.coalesce(listed & named, F.lit(False))
+
+
 def tag_lines(raw: DataFrame, value: str, schema: T.StructType, carry: Sequence[str] = ()) -> DataFrame:
     """One row a line: ``carry``, the fields, ``reason`` (NULL for a row) and the ``line`` of an error. No line is lost."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
     parsed = raw.withColumn("_row", F.from_json(F.col(value), full, options))
     line = F.trim(F.col(value), F.lit(BLANKS))
     clean = F.col(f"_row.{CORRUPT}").isNull()
     # CASE is lazy: only lines the typed parse rejects are parsed a second time.
-    is_json = F.try_parse_json(F.col(value)).isNotNull()
+    is_json = F.try_parse_json(F.col(value)).isNotNull() & _one_value(F.col(value))
     reason = (
         F.when(line == "", "blank_line")
-        .when(line.startswith("{") & (clean | is_json), None)
+        .when(line.startswith("{") & ((clean & _one_value(F.col(value))) | is_json), None)
         .when(is_json, "non_object")
         .otherwise("invalid_json")
     )
