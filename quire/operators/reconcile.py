@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import host_allowed
-from .keyed import FAN, attach, lookup, narrow, salt_of, spread
+from .keyed import CROWDED, FAN, attach, lookup, lookup_mostly_even, narrow, salt_of, spread
 
 
 def known(rows: DataFrame, existing: DataFrame, key: str, ident: str, flag: str = "is_known", fan: int = FAN) -> DataFrame:
@@ -41,12 +41,13 @@ def triage(incoming: DataFrame, known_urls: DataFrame, known_hashes: DataFrame,
     return laid.join(per_hash, [digest, "_salt"], "left").select(ident, F.coalesce("_early", late).alias("status"))
 
 
-def exact_copies(recovered: DataFrame, current: DataFrame, keys: Sequence[str], ident: str, fan: int = FAN) -> DataFrame:
+def exact_copies(recovered: DataFrame, current: DataFrame, keys: Sequence[str], ident: str, fan: int = FAN,
+                 least: int = CROWDED) -> DataFrame:
     """Match on a composite key: unmatched rows stay, one match is a duplicate, more is an error."""
     counted = current.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("matches"), F.min(F.col(ident)).alias("current_id")
     )
-    joined = lookup(recovered, counted, keys, [ident], "left", fan)
+    joined = lookup_mostly_even(recovered, counted, keys, [ident], fan, least)
     state = (
         F.when(F.col("matches").isNull(), "kept").when(F.col("matches") == 1, "exact_duplicate").otherwise("ambiguous_error")
     )
