@@ -7,9 +7,11 @@ similarity of their shingle multisets, taken from the texts, is ``least`` or mor
 
 Pairs meet where they agree on one of several fixed random choices of bits. How many bits a choice has follows
 the number of texts, and how many choices there are follows from that, so that at every size a pair at the limit meets
-with a chance of at least ``RECALL`` (far more above the limit). Of a place with up to ``LARGE`` texts all pairs
-are looked at. A larger one is dealt out in tiles of about ``ROOM`` texts; first only pairs of a leader with those near it are
-verified, then, over all pairs of tiles, those pairs that are not in one component yet. A family of near copies so gives
+with a chance of at least ``RECALL`` (far more above the limit). A place gives off at most one pair for each of its
+texts at first: all pairs near in bits of a place where they are no more than that, else those of a leader with those near it.
+Once these are verified, what is not in one component yet is compared over all pairs of tiles of about ``ROOM``
+texts. Counts of the shingles by bucket, sent along with the fingerprint only here, rule out pairs that are near in bits and cannot be
+similar: their difference is a lower bound of what only one of the texts has. So a family of near copies gives
 off few pairs for each text, and no pair is left out. Pivot distance tables as in ``simhash`` thin out
 the pairs of large groups, and components come from the same contraction.
 
@@ -20,7 +22,7 @@ a null id comes last in the choice of the one that stays. Other columns pass thr
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,49 +147,118 @@ def forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, i
     return out
 
 
-def paired(members: DataFrame, radius: int, stars: bool) -> DataFrame:
-    """a < b: pairs of nodes within the radius in the groups of ``members`` (group, tile, node, fp, root); of its tiles, if there are two, one from each."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def near_in_small(fps: np.ndarray, group: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs within the radius in groups (sorted) of up to LARGE; ``size``: of the group of each row."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    for shift in range(1, min(LARGE, len(group))):
+        i = np.flatnonzero((group[:-shift] == group[shift:]) & (size[:-shift] <= LARGE))
+        if not len(i):
+            break
+        i = i[distance(fps[i], fps[i + shift]) <= radius]
+        found.append((i, i + shift))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def bucket_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of about as many buckets, modulo 256; a power of two, so that counts fold."""
+    width = 1 << min(max(math.ceil(math.log2(max(1, len(shingles)))), 8), 12)
+    return np.bincount((shingles % np.uint64(width)).astype(np.int64), minlength=width).astype(np.uint8)
+
+
+def apart_at_least(i: np.ndarray, j: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    """For each pair, a number of shingles of either text that the other one lacks for certain: the difference of their bucket counts."""
+    width, out = np.array([len(x) for x in counts]), np.zeros(len(i), np.int64)
+    both = np.minimum(width[i], width[j])
+    for w in np.unique(both).tolist():
+        at = np.flatnonzero(both == w)
+        for begin in range(0, len(at), (1 << 22) // w):
+            part = at[begin : begin + (1 << 22) // w]
+            rows, back = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+            table = np.stack([counts[r].reshape(-1, w).sum(0, dtype=np.uint8) for r in rows.tolist()])
+            d = table[back[: len(part)]] - table[back[len(part) :]]
+            out[part] = np.minimum(d, -d).sum(1, dtype=np.int64)
+    return out
 
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
 
-        def batch_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def whole_groups(batches: Iterator[pa.RecordBatch], found: Callable) -> Iterator[pa.RecordBatch]:
+    """What ``found`` gives for batches of whole groups; groups come sorted."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pa.concat_batches([rest, batch])
+        group = rows.column("group").to_numpy()
+        last = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last may go on
+        if last:
+            yield from found(rows.slice(0, last))
+        rest = rows.slice(last)
+    if rest is not None and rest.num_rows:
+        yield from found(rest)
+
+
+def fingerprints_of(rows: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, LANES)
+
+
+def by_group(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "group").sortWithinPartitions("group", "node")
+
+
+def first_pairs(members: DataFrame, radius: int) -> DataFrame:
+    """Of the groups of ``members`` (group, node, fp, tiles) at most one pair a < b for each node, with a null group; and a row group, a of each node whose pairs are not all among them.
+
+    A group of up to LARGE with no more pairs within the radius than nodes gives all, others those of a leader with those near it.
+    The nodes of a group that is a tile (``tiles`` not null) get no row.
+    """
+
+    def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        group, node, raw = rows.column("group").to_numpy(), rows.column("node").to_numpy(), fingerprints_of(rows)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.append(first, len(group)))
+        of = np.repeat(np.arange(len(first)), sizes)
+        i, j = near_in_small(raw, group, sizes[of], radius)
+        crowded = (np.bincount(of[i], minlength=len(first)) > sizes) | (sizes > LARGE)
+        later = sizes[of] > LARGE
+        later[i[crowded[of[i]]]] = later[j[crowded[of[i]]]] = True
+        a, b = [node[i[~crowded[of[i]]]]], [node[j[~crowded[of[i]]]]]
+        for k in np.flatnonzero(crowded).tolist():
+            at = first[k] + np.flatnonzero(later[first[k] : first[k] + sizes[k]])
+            links = np.array(forest(node[at], raw[at], radius), np.int64).reshape(-1, 2)
+            a.append(links[:, 0])
+            b.append(links[:, 1])
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["group", "a", "b"])
+        later = np.flatnonzero(later & (rows.column("tiles").is_null().to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([pa.array(group[later]), pa.array(node[later]), pa.nulls(len(later), pa.int64())], ["group", "a", "b"])
+
+    return map_arrow(by_group(members), lambda batches: whole_groups(batches, found), "group bigint, a bigint, b bigint")
+
+
+def other_pairs(members: DataFrame, radius: int, least: float) -> DataFrame:
+    """a < b: pairs within the radius and of different roots in the groups of ``members`` (group, tile, node, fp, root, size, counts) that the
+    bucket counts do not rule out; of a group's tiles, if there are two, one from each."""
+
+    def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        group, tile, node, root, size = (rows.column(c).to_numpy() for c in ("group", "tile", "node", "root", "size"))
+        raw, counts = fingerprints_of(rows), [np.frombuffer(x, np.uint8) for x in rows.column("counts").to_pylist()]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.append(first, len(group)))
+        two = np.repeat(np.logical_or.reduceat(tile != np.repeat(tile[first], sizes), first), sizes)
+
+        def left(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            ok = (root[i] != root[j]) & (~two[i] | (tile[i] != tile[j]))
+            i, j = i[ok], j[ok]
+            # A similarity of ``least`` leaves so many shingles that only one of the texts has.
+            ok = apart_at_least(i, j, counts) <= (size[i] + size[j]) * (1 - least) / (1 + least) + 1e-6
+            a, b = node[i[ok]], node[j[ok]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            group, tile, node, root = (rows.column(c).to_numpy() for c in ("group", "tile", "node", "root"))
-            raw = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, LANES)
-            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            size = np.diff(np.append(first, len(group)))
-            small = np.repeat(size <= LARGE, size) & (not stars)
-            for shift in range(1, LARGE):  # all pairs of small groups at once
-                i = np.flatnonzero((group[:-shift] == group[shift:]) & small[:-shift]) if len(group) > shift else np.zeros(0, np.int64)
-                if not len(i):
-                    break
-                i = i[(distance(raw[i], raw[i + shift]) <= radius) & (root[i] != root[i + shift])]
-                yield batch_of(node[i], node[i + shift])
-            for a, b in stretches_of(first, len(group)):
-                if stars:
-                    links = np.array(forest(node[a:b], raw[a:b], radius), np.int64).reshape(-1, 2)
-                    yield batch_of(links[:, 0], links[:, 1])
-                elif b - a > LARGE and (root[a:b] != root[a]).any():
-                    own = tile[a:b]
-                    for i, j in group_links(raw[a:b], radius, (root[a:b], own) if (own != own[0]).any() else (root[a:b],)):
-                        yield batch_of(node[a + i], node[a + j])
+        yield left(*near_in_small(raw, group, np.repeat(sizes, sizes), radius))
+        for a, b in stretches_of(first, len(group)):
+            if b - a > LARGE and (root[a:b] != root[a]).any():
+                for i, j in group_links(raw[a:b], radius, (root[a:b], tile[a:b]) if two[a] else (root[a:b],)):
+                    yield left(a + i, a + j)
 
-        for batch in batches:
-            rows = batch if rest is None else pa.concat_batches([rest, batch])
-            group = rows.column("group").to_numpy()
-            last = int(np.searchsorted(group, group[-1])) if len(group) else 0  # groups are sorted; the last may go on
-            if last:
-                yield from found(rows.slice(0, last))
-            rest = rows.slice(last)
-        if rest is not None and rest.num_rows:
-            yield from found(rest)
-
-    dealt = members.repartition(parts, "group").sortWithinPartitions("group", "node")
-    return map_arrow(dealt.select("group", "tile", "node", "fp", "root"), body, "a bigint, b bigint").distinct()
+    return map_arrow(by_group(members), lambda batches: whole_groups(batches, found), "a bigint, b bigint").distinct()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -219,24 +290,44 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     return cut(map_arrow(both.select("a", "b", "x", "y"), body, "a bigint, b bigint"))
 
 
+def counted(texts: DataFrame, words: int) -> DataFrame:
+    """node, size (shingles) and counts (by bucket) of each node of ``texts``."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_batches(batches, 2 << 20):
+            every = shingles_of(part["text"], words)
+            sizes, counts = pa.array([len(x) for x in every], pa.int64()), pa.array([bucket_counts(x).tobytes() for x in every], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part["node"], pa.int64()), sizes, counts], ["node", "size", "counts"])
+
+    return map_arrow(texts.select("node", "text"), body, "node bigint, size bigint, counts binary").dropDuplicates(["node"])
+
+
 def similar_links(fps: DataFrame, texts: DataFrame, words: int, least: float, chosen: list[np.ndarray]) -> DataFrame:
     """a, b: links of similarity ``least`` or more that join all nodes which meet into their components."""
     radius, places = looked_at(least), meeting_places(fps, chosen)
-    # Only the large places are joined to anything; written, so that the optimizer sees how few they are. A row of any other place travels once.
-    crowded = F.ceil(F.col("count") / ROOM).cast("int").alias("tiles")
-    big = cut(places.groupBy("place").count().filter(F.col("count") > LARGE).select("place", crowded))
+    # Only places of several tiles are joined to anything; written, so that the optimizer sees how few they are. A row of any other place travels once.
+    tiles = F.ceil(F.col("count") / ROOM).cast("int").alias("tiles")
+    big = cut(places.groupBy("place").count().filter(F.col("count") > ROOM).select("place", tiles))
     members = places.join(big, "place", "left")
-    large = cut(members.filter("tiles IS NOT NULL").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
-    alone = F.col("node").alias("root")
-    few = paired(members.filter("tiles IS NULL").select(F.col("place").alias("group"), F.lit(0).alias("tile"), "node", "fp", alone), radius, False)
-    stars = paired(large.select(F.xxhash64("place", "tile").alias("group"), "tile", "node", "fp", alone), radius, True)
-    links = verified(few.unionByName(stars).distinct(), texts, words, least)
-    if not large.take(1):
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    group = F.when(F.col("tiles").isNull(), F.col("place")).otherwise(F.xxhash64("place", tile))
+    first = cut(first_pairs(members.select(group.alias("group"), "node", "fp", "tiles"), radius))
+    links = verified(first.filter("b IS NOT NULL").select("a", "b").distinct(), texts, words, least)
+    later = first.filter("b IS NULL").select(F.col("group").alias("place"), F.col("a").alias("node"))
+    if big.take(1):
+        later = later.unionByName(members.filter("tiles IS NOT NULL").select("place", "node"))
+    elif not later.take(1):
         return links
-    rooted = large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    other = rooted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rooted = cut(later.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # Places whose nodes are all in one component are done.
+    tiles = F.ceil(F.count(F.lit(1)) / ROOM).cast("int").alias("tiles")
+    mixed = cut(rooted.groupBy("place").agg(tiles, F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("place", "tiles"))
+    rooted = cut(rooted.join(mixed, "place").withColumn("tile", tile))
+    asked = rooted.select("node").distinct()
+    known = cut(counted(texts.join(asked, "node", "left_semi"), words).join(fps, "node"))
+    other = rooted.join(known, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     group = F.xxhash64("place", F.least("tile", "other"), F.greatest("tile", "other"))
-    rest = paired(other.select(group.alias("group"), "tile", "node", "fp", "root"), radius, False)
+    rest = other_pairs(other.select(group.alias("group"), "tile", "node", "fp", "root", "size", "counts"), radius, least)
     return links.unionByName(verified(rest, texts, words, least))
 
 

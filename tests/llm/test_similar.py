@@ -94,6 +94,46 @@ def test_links_are_verified_at_the_limit_and_large_families_are_linear(spark, mo
     assert len(sizes) == 2 and sum(sizes) < 400 * len(similar.choices(2)) < 400 * 399 // 3  # a leader for each text and place at most
 
 
+def test_bucket_counts_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 1 << 64, n, np.uint64) for n in (0, 90, 250, 260, 700, 9000)]
+    texts += [np.concatenate([t[: len(t) * 9 // 10], rng.integers(0, 1 << 64, 30, np.uint64)]) for t in texts]
+    texts += [np.repeat(np.uint64(7), n) for n in (250, 260, 600)]
+    i, j = np.triu_indices(len(texts), 1)
+    counts = [similar.bucket_counts(t) for t in texts]
+    assert {len(c) for c in counts} == {256, 512, 1024, 4096}
+    bounds = similar.apart_at_least(i, j, counts)
+    of = [Counter(t.tolist()) for t in texts]
+    exact = np.array([((of[a] - of[b]) + (of[b] - of[a])).total() for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    assert (bounds <= exact).all() and (bounds[(exact < 200) & (i < 12) & (j < 12)] > 0).all()
+
+
+def test_near_but_not_similar_texts_are_not_all_compared(spark, monkeypatch):
+    """One family whose texts are near one another in bits, but similar only in the pairs that are planted."""
+    rnd, n = random.Random(9), 600
+    words, rows, want = [f"w{k}" for k in range(200)], [], set()
+    for k in range(n):
+        own = list(words)
+        for at in rnd.sample(range(200), 6):
+            own[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(own)))
+        want.add(k)
+    for k in range(0, n, 20):  # one more word changed: similar to its model and to nothing else
+        own = rows[k][1].split()
+        own[100] = f"m{k}"
+        rows.append((n + k, " ".join(own)))
+    counts = [shingle_counts(t.encode().split()) for _, t in rows[:40]]
+    near = [(a & b).total() / (a | b).total() for x, a in enumerate(counts) for b in counts[:x]]
+    assert max(near) < 0.8 and np.mean(near) > 0.55
+    sizes = []
+    check = similar.verified
+    monkeypatch.setattr(similar, "verified", lambda pairs, *a: sizes.append(pairs.count()) or check(pairs, *a))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in similar.one_of_similar(docs).collect()}
+    assert kept == want
+    assert sum(sizes) < 20 * n
+
+
 def test_similar_edges(edge_docs, no_docs):
     kept = similar.one_of_similar(edge_docs)
     assert kept.columns == edge_docs.columns
