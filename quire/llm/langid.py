@@ -10,9 +10,9 @@ Discounts are n1 / (n1 + 2 n2) per language and order, and each order interpolat
 the lowest with the uniform distribution over 2^12 characters.
 
 A model is stored in sorted hash arrays: n-grams of all languages ascending by a bijective hash, beside
-each one its log probability in every language. The arrays of an order have ``2**bits`` slots by the
-hash's leading bits, and a slot keeps its most frequent n-gram; what it drops falls back to the lower
-order. So the size that is collected and sent to the tasks is bounded by orders x 2^bits x languages,
+each one its log probability in every language. The arrays of an order hold its most frequent n-grams, ``2**bits``
+at most; all n-grams stay in a table. If the arrays are not whole, the n-grams of a text that they lack are looked up
+there by joins, so that scores are those of the whole model. The size that is collected and sent to the tasks is bounded by orders x 2^bits x languages,
 and the number of languages by ``most_languages``, beyond which fitting raises.
 
 A text gets the language with the lowest cross-entropy per character. It is rejected if that
@@ -169,9 +169,16 @@ class Model:
     logs: list[np.ndarray]
     weights: list[np.ndarray]  # log weight of an n-gram as the context of a character not seen behind it
     floor: np.ndarray
+    whole: bool = True  # no n-gram is missing
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in nats per character, texts x languages, and characters with the end mark."""
+        total, chars, _ = self.sums(texts)
+        return -total / np.maximum(chars, 1)[:, None], chars
+
+    def sums(self, texts: list[str], leave: bool = False) -> tuple[np.ndarray, np.ndarray, list[list]]:
+        """Log probabilities, texts x languages, and characters; with ``leave`` without the 4-grams that the arrays lack, which follow: text, n-gram, times."""
+        lacking: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
         total = np.zeros((len(texts), len(self.langs)))
         chars = np.zeros(len(texts))
         for packed, owner in grams([spelled(t) for t in texts]):
@@ -184,11 +191,17 @@ class Model:
                 both = np.sort(((codes * MIX) & FULL) << np.uint64(16) | (of - low).astype(np.uint64))
                 key, times = runs(both >> np.uint64(16))
                 logs = self.lookup(key)
+                if leave:
+                    lost = ~find(self.keys[-1], (key * INVERSE) & FULL)[1]
+                    logs[lost] = 0
+                    each, n_each = runs(both[np.repeat(lost, times)]) if lost.any() else (both[:0], times[:0])
+                    for x, y in zip(lacking, ((each & np.uint64(0xFFFF)).astype(np.int64) + low, ((each >> np.uint64(16)) * INVERSE) & FULL, n_each), strict=True):
+                        x.append(y)
                 doc = (both & np.uint64(0xFFFF)).astype(np.intp)
                 chars[low : low + n] += np.bincount(doc, minlength=n)
                 for j in range(len(self.langs)):
                     total[low : low + n, j] += np.bincount(doc, np.repeat(logs[:, j], times), n)
-        return -total / np.maximum(chars, 1)[:, None], chars
+        return total, chars, lacking
 
     def lookup(self, key: np.ndarray) -> np.ndarray:
         logs = np.zeros((len(key), len(self.langs)), np.float32)
@@ -211,49 +224,79 @@ INVERSE = np.uint64(pow(int(MIX), -1, 1 << ORDER * BITS))
 
 def fit(docs: DataFrame, bits: int = 18, most_languages: int = 256) -> Model | None:
     """The models of all languages in docs(text, lang); None if there is no text with a language."""
+    return fit_whole(docs, bits, most_languages)[0]
+
+
+def whole_levels(orders: list[DataFrame], langs: list[str], empty: list[float]) -> list[DataFrame]:
+    """Per order gram, n over all languages, logs and weights (arrays by language) of every n-gram of any language."""
+    out: list[DataFrame] = []
+    for k, level in enumerate(orders, 1):
+        of = [F.log(F.max(F.when(F.col("lang") == lang, F.col(x)))).alias(f"{x}{j}") for x in ("p", "gamma") for j, lang in enumerate(langs)]
+        rows = level.groupBy("gram").agg(F.sum("n").alias("n"), *of)
+        if k == 1:
+            logs = [F.coalesce(f"p{j}", F.lit(e)) for j, e in enumerate(empty)]
+        else:  # not seen in a language: the context's weight there, if the context is known, times the order below
+            under = out[-1].select(F.col("gram").alias("suffix"), F.col("logs").alias("under"))
+            above = out[-1].select(F.col("gram").alias("context"), F.col("weights").alias("own"))
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).withColumn("context", F.shiftright("gram", BITS))
+            rows = rows.join(under, "suffix", "left").join(above, "context", "left")
+            logs = [F.coalesce(f"p{j}", F.coalesce(F.col("under")[j], F.lit(e)) + F.coalesce(F.col("own")[j], F.lit(0.0))) for j, e in enumerate(empty)]
+        weights = [F.coalesce(f"gamma{j}", F.lit(0.0)) for j in range(len(langs))]
+        out.append(cut(rows.select("gram", "n", F.array(*logs).alias("logs"), F.array(*weights).alias("weights"))))
+    return out
+
+
+def most_frequent(level: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The n-grams above a frequency, ``most`` of them at most, and whether these are all."""
+    step = F.coalesce(F.floor(8 * F.log2(F.when(F.col("n") > 0, F.col("n")))), F.lit(-1))  # some 500 steps at most
+    total = 0
+    for r in sorted(level.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        if total + r["count"] > most:
+            return level.filter(step > r["step"]), False
+        total += r["count"]
+    return level, True
+
+
+def fit_whole(docs: DataFrame, bits: int = 18, most_languages: int = 256) -> tuple[Model | None, list[DataFrame]]:
+    """The model, and the table of all n-grams of each order."""
     usable = docs.filter("text is not null and lang is not null")
     base, *orders = kneser_ney(count_grams(usable))
-    langs = sorted(r["lang"] for r in base.select("lang").limit(most_languages + 1).collect())
+    gammas = {r["lang"]: r["gamma"] for r in base.limit(most_languages + 1).collect()}
+    langs = sorted(gammas)
     if not langs:
-        return None
+        return None, []
     if len(langs) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    width = 1 << bits
-
-    def slots(level: DataFrame) -> pa.Table:
-        # Bounded by the slots: an n-gram is kept if it is its slot's most frequent over all languages.
-        of = [F.max(F.when(F.col("lang") == lang, F.col(x))).cast("float").alias(f"{x}{j}") for x in ("p", "gamma") for j, lang in enumerate(langs)]
-        gram = level.groupBy("gram").agg(F.sum("n").alias("n"), *of)
-        slot = F.expr(f"pmod(xxhash64(gram), {width})")
-        row = F.struct(*[c for c in gram.columns if c != "n"])
-        kept = gram.groupBy(slot.alias("slot")).agg(F.max_by(row, F.struct("n", "gram")).alias("x")).select("x.*")
-        return kept.toArrow()
-
-    gammas = {r["lang"]: r["gamma"] for r in base.collect()}
     empty = np.array([np.log(max(gammas[x], 1e-9) / (1 << BITS)) for x in langs], np.float32)
-    keys, logs, weights = [], [], []
-    for k, level in enumerate(orders, 1):
-        rows = slots(level)  # one order at a time
-        grams_ = rows.column("gram").to_numpy().astype(np.uint64)
-        p, g = (np.stack([rows.column(f"{x}{j}").to_numpy().astype(np.float64) for j in range(len(langs))], 1) for x in ("p", "gamma"))
-        g = np.where(np.isnan(g), 1.0, g)
-        order = np.argsort(grams_ * MIX & FULL)
-        grams_, p, g = grams_[order], p[order], g[order]
-        key = grams_ * MIX & FULL
-        log = np.log(p)
-        if k == 1:
-            log = np.where(np.isnan(log), empty, log)
-        else:  # not seen in a language: the context's weight there, if the context is known, times the order below
-            down, found = find(keys[-1], grams_ & np.uint64((1 << BITS * (k - 1)) - 1))
-            under = np.where(found[:, None], logs[-1][down], empty)
-            up, known = find(keys[-1], grams_ >> np.uint64(BITS))
-            gamma = np.where(known[:, None], weights[-1][up], 0.0)
-            log = np.where(np.isnan(log), under + gamma, log)
-        keys.append(key)
-        logs.append(log.astype(np.float32))
-        weights.append(np.log(g).astype(np.float32))
-        del rows, p, g, log
-    return Model(langs, keys, logs, weights, empty)
+    levels = whole_levels(orders, langs, empty.astype(float).tolist())
+    keys, logs, weights, whole = [], [], [], True
+    for level in levels:
+        kept, every = most_frequent(level, 1 << bits)
+        whole &= every
+        rows = kept.select("gram", F.col("logs").cast("array<float>"), F.col("weights").cast("array<float>")).toArrow()  # one order at a time
+        key = rows.column("gram").to_numpy().astype(np.uint64) * MIX & FULL
+        order = np.argsort(key)
+        keys.append(key[order])
+        for x, name in ((logs, "logs"), (weights, "weights")):
+            flat = rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            x.append(flat.reshape(-1, len(langs))[order])
+        del rows
+    return Model(langs, keys, logs, weights, empty, whole), levels
+
+
+def looked_up(wanted: DataFrame, levels: list[DataFrame], empty: list[float]) -> DataFrame:
+    """gram and logs in the whole model of each 4-gram of ``wanted``."""
+    rows, logs = wanted, [F.lit(e) for e in empty]
+    for k, level in enumerate(levels, 1):
+        suffix = F.col("gram").bitwiseAND((1 << BITS * k) - 1)
+        own = level.select(F.col("gram").alias(f"s{k}"), F.col("logs").alias(f"logs{k}"))
+        rows = rows.withColumn(f"s{k}", suffix).join(own, f"s{k}", "left")
+        if k > 1:
+            context = levels[k - 2].select(F.col("gram").alias(f"c{k}"), F.col("weights").alias(f"w{k}"))
+            rows = rows.withColumn(f"c{k}", F.shiftright(suffix, BITS)).join(context, f"c{k}", "left")
+            logs = [x + F.coalesce(F.col(f"w{k}")[j], F.lit(0.0)) for j, x in enumerate(logs)]
+        logs = [F.coalesce(F.col(f"logs{k}")[j], x) for j, x in enumerate(logs)]
+    return rows.select("gram", F.array(*logs).alias("logs"))
 
 
 def find(keys: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,6 +335,39 @@ def score_texts(docs: DataFrame, model: Model | None, keep: str = "") -> DataFra
     return scored
 
 
+def score_with_joins(docs: DataFrame, model: Model, levels: list[DataFrame], keep: str) -> DataFrame:
+    """As ``score_texts``, for a model whose arrays are not whole; ``docs`` and ``keep`` have text_key."""
+    extra = [x.split()[0] for x in keep.split(",")]
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_batches(batches, 4 << 20):
+            texts = [t or "" for t in part["text"]]
+            total, chars, (of, gram, times) = sent.value.sums(texts, leave=True)
+            of = np.concatenate(of)
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(len(texts) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x)[order].astype(np.int64))) for x in (gram, times)]
+            columns = {name: pa.array(part[name], TYPES.get(name, pa.string())) for name in ["doc_id", *extra]}
+            columns |= {"has_letter": pa.array([bool(LETTER.search(t)) for t in texts], pa.bool_()), "chars": pa.array(chars.astype(np.int64))}
+            columns |= {"total": pa.array(total.tolist(), pa.list_(pa.float64())), "grams": lists[0], "times": lists[1]}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = f"doc_id bigint, {keep}, has_letter boolean, chars bigint, total array<double>, grams array<bigint>, times array<bigint>"
+    partial = cut(map_arrow(docs.select("doc_id", "text", *extra), body, schema))
+    sent.destroy()
+    lacking = partial.select("text_key", "grams", "times").dropDuplicates(["text_key"])
+    lacking = cut(lacking.select("text_key", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("text_key", F.col("x.grams").alias("gram"), F.col("x.times").alias("times")))
+    known = cut(looked_up(lacking.select("gram").distinct(), levels, model.floor.astype(float).tolist()))
+    sums = [F.sum(F.col("logs")[j] * F.col("times")).alias(f"more{j}") for j in range(len(model.langs))]
+    more = lacking.join(known, "gram").groupBy("text_key").agg(*sums)
+    h = [-(F.col("total")[j] + F.coalesce(f"more{j}", F.lit(0.0))) / F.greatest("chars", F.lit(1)) for j in range(len(model.langs))]
+    rows = partial.join(more, "text_key", "left").withColumn("h", F.array(*h)).withColumn("entropy", F.array_min("h"))
+    best = F.array(*map(F.lit, model.langs))[(F.array_position("h", F.col("entropy")) - 1).cast("int")]
+    score = 1 / F.aggregate("h", F.lit(0.0), lambda s, x: s + F.exp(F.col("entropy") - x))
+    return cut(rows.select("doc_id", *extra, "has_letter", "chars", best.alias("best"), "entropy", score.alias("score")))
+
+
 TYPES = {"doc_id": pa.int64(), "lang": pa.string(), "use": pa.int32(), "text_key": pa.int64()}
 
 QUANTILE, MARGIN = 0.999, 1.25
@@ -304,8 +380,9 @@ def identify(docs: DataFrame, use: Column, bits: int = 18, quantile: float = QUA
     calibrate the rejection.
     """
     marked = docs.select("doc_id", "text", "lang", F.coalesce(use.cast("int"), F.lit(0)).alias("use"), F.xxhash64("text").alias("text_key"))
-    model = fit(marked.filter("use = 1"), bits)
-    scored = score_texts(marked, model, "lang string, use int, text_key bigint")  # the texts are gone by now
+    model, levels = fit_whole(marked.filter("use = 1"), bits)
+    columns = "lang string, use int, text_key bigint"
+    scored = score_texts(marked, model, columns) if model is None or model.whole else score_with_joins(marked, model, levels, columns)  # the texts are gone by now
     bucket = F.floor(F.log2(F.col("chars") + 1)).alias("bucket")
     own = scored.filter("use = 2 and has_letter and lang is not null and best = lang")
     limits = own.groupBy(F.col("lang").alias("best"), bucket).agg(

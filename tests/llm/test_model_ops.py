@@ -80,6 +80,19 @@ def test_slots_bound_the_model(two_languages):
     assert all(len(k) <= 16 for k in small.keys) and all((np.diff(k.astype(np.int64)) > 0).all() for k in small.keys)
 
 
+def test_scores_do_not_depend_on_the_size_of_the_arrays(two_languages, edge_docs):
+    docs = two_languages.unionByName(edge_docs.select(*two_languages.columns))
+    use = F.when(fold(F.col("doc_id"), 5) == 0, 0).when(fold(F.col("doc_id"), 5) == 4, 2).otherwise(1)
+    assert langid.fit(docs).whole and not langid.fit(docs, bits=6).whole
+    key = lambda r: (str(r.doc_id), r.text_key)
+    want = sorted(langid.identify(docs, use).collect(), key=key)
+    for bits in (0, 6):
+        got = sorted(langid.identify(docs, use, bits=bits).collect(), key=key)
+        assert [(*key(r), r.lang_pred, r.rejected) for r in got] == [(*key(r), r.lang_pred, r.rejected) for r in want]
+        assert [r.entropy for r in got] == pytest.approx([r.entropy for r in want], rel=1e-5)
+        assert [r.score for r in got] == pytest.approx([r.score for r in want], rel=1e-4)
+
+
 def test_language_edges(edge_docs, no_docs):
     rows = langid.identify(edge_docs, F.lit(1)).collect()
     assert len(rows) == edge_docs.count()
