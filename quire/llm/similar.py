@@ -7,8 +7,9 @@ similarity of their shingle multisets, taken from the texts, is ``least`` or mor
 
 Pairs meet where they agree on one of several fixed random choices of bits. How many bits a choice has follows
 the number of texts, and how many choices there are follows from that, so that at every size a pair at the limit meets
-with a chance of at least ``RECALL`` (far more above the limit). A place gives off at most one pair for each of its
-texts at first: all pairs near in bits of a place where they are no more than that, else those of a leader with those near it.
+with a chance of at least ``RECALL`` (far more above the limit). A pair counts only where it meets first, on no choice before;
+so it is given off once, however many places it meets in. A place gives off at most one pair for each of its
+texts at first: all its pairs near in bits where they are no more than that, else those of a leader with those near it.
 Once these are verified, what is not in one component yet is compared over all pairs of tiles of about ``ROOM``
 texts. Counts of the shingles by bucket, sent along with the fingerprint only here, rule out pairs that are near in bits and cannot be
 similar: their difference is a lower bound of what only one of the texts has. So a family of near copies gives
@@ -26,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, stretches_of, text_batches
@@ -37,6 +38,7 @@ WORDS, LEAST, RECALL = 5, 0.8, 0.99
 LANES = 4  # of 64 bits
 SLACK = 3.5
 LARGE, ROOM, LEADERS = 64, 4096, 32
+CHOICE_BITS = 16
 LANE_SEEDS = np.random.default_rng(31).integers(1, 1 << 64, LANES, np.uint64) | np.uint64(1)
 
 
@@ -89,7 +91,7 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
 
 
 def meeting_places(fps: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
-    """place, node and fp: a row for each distinct fingerprint and choice."""
+    """place (the chosen bits, and in the last CHOICE_BITS the choice), node and fp: a row for each distinct fingerprint and choice."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,12 +101,36 @@ def meeting_places(fps: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
                 for k, own in enumerate(chosen):
                     value = bits[:, own].astype(np.uint64) @ (np.uint64(1) << np.arange(len(own), dtype=np.uint64))
-                    place = mixed(value * np.uint64(len(chosen)) + np.uint64(k)).view(np.int64)
+                    place = (value << np.uint64(CHOICE_BITS) | np.uint64(k)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(place), part.column("node"), part.column("fp")], ["place", "node", "fp"])
 
     return map_arrow(fps, body, "place bigint, node bigint, fp binary")
 
 
+def part_of_place(*tiles: Column) -> Column:
+    """A group of the place's choice for each of the ``tiles`` of the place."""
+    return F.xxhash64("place", *tiles).bitwiseAND(-(1 << CHOICE_BITS)).bitwiseOR(F.col("place").bitwiseAND((1 << CHOICE_BITS) - 1))
+
+
+def masks_of(chosen: list[np.ndarray]) -> np.ndarray:
+    """Each choice as a row of LANES words with its bits set."""
+    bits = np.zeros((len(chosen), 64 * LANES), bool)
+    for k, own in enumerate(chosen):
+        bits[k, own] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def first_meeting(i: np.ndarray, j: np.ndarray, fps: np.ndarray, group: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether the pairs i, j, which meet in ``group`` of i, agree on no choice before the one of that group."""
+    choice, differ = group[i] & ((1 << CHOICE_BITS) - 1), fps[i] ^ fps[j]
+    own = np.arange(len(i))
+    for k in range(int(choice.max(initial=0))):
+        own = own[(choice[own] <= k) | (differ[own] & masks[k]).any(1)]
+    out = np.zeros(len(i), bool)
+    out[own] = True
+    return out
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
@@ -203,10 +229,10 @@ def by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "group").sortWithinPartitions("group", "node")
 
 
-def first_pairs(members: DataFrame, radius: int) -> DataFrame:
+def first_pairs(members: DataFrame, radius: int, masks: np.ndarray) -> DataFrame:
     """Of the groups of ``members`` (group, node, fp, tiles) at most one pair a < b for each node, with a null group; and a row group, a of each node whose pairs are not all among them.
 
-    A group of up to LARGE with no more pairs within the radius than nodes gives all, others those of a leader with those near it.
+    Pairs are those within the radius that meet in the group first. A group of up to LARGE with no more of them than nodes gives all, others those of a leader with those near it.
     The nodes of a group that is a tile (``tiles`` not null) get no row.
     """
 
@@ -216,15 +242,18 @@ def first_pairs(members: DataFrame, radius: int) -> DataFrame:
         sizes = np.diff(np.append(first, len(group)))
         of = np.repeat(np.arange(len(first)), sizes)
         i, j = near_in_small(raw, group, sizes[of], radius)
+        own = first_meeting(i, j, raw, group, masks)
+        i, j = i[own], j[own]
         crowded = (np.bincount(of[i], minlength=len(first)) > sizes) | (sizes > LARGE)
         later = sizes[of] > LARGE
         later[i[crowded[of[i]]]] = later[j[crowded[of[i]]]] = True
         a, b = [node[i[~crowded[of[i]]]]], [node[j[~crowded[of[i]]]]]
         for k in np.flatnonzero(crowded).tolist():
             at = first[k] + np.flatnonzero(later[first[k] : first[k] + sizes[k]])
-            links = np.array(forest(node[at], raw[at], radius), np.int64).reshape(-1, 2)
-            a.append(links[:, 0])
-            b.append(links[:, 1])
+            i, j = np.array(forest(at, raw[at], radius), np.int64).reshape(-1, 2).T
+            own = first_meeting(i, j, raw, group, masks)
+            a.append(node[i[own]])
+            b.append(node[j[own]])
         a, b = np.concatenate(a), np.concatenate(b)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["group", "a", "b"])
         later = np.flatnonzero(later & (rows.column("tiles").is_null().to_numpy(zero_copy_only=False)))
@@ -233,9 +262,9 @@ def first_pairs(members: DataFrame, radius: int) -> DataFrame:
     return map_arrow(by_group(members), lambda batches: whole_groups(batches, found), "group bigint, a bigint, b bigint")
 
 
-def other_pairs(members: DataFrame, radius: int, least: float) -> DataFrame:
-    """a < b: pairs within the radius and of different roots in the groups of ``members`` (group, tile, node, fp, root, size, counts) that the
-    bucket counts do not rule out; of a group's tiles, if there are two, one from each."""
+def other_pairs(members: DataFrame, radius: int, least: float, masks: np.ndarray) -> DataFrame:
+    """a < b: pairs within the radius and of different roots in the groups of ``members`` (group, tile, node, fp, root, size, counts) that meet
+    there first and that the bucket counts do not rule out; of a group's tiles, if there are two, one from each."""
 
     def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         group, tile, node, root, size = (rows.column(c).to_numpy() for c in ("group", "tile", "node", "root", "size"))
@@ -247,6 +276,8 @@ def other_pairs(members: DataFrame, radius: int, least: float) -> DataFrame:
         def left(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
             ok = (root[i] != root[j]) & (~two[i] | (tile[i] != tile[j]))
             i, j = i[ok], j[ok]
+            ok = first_meeting(i, j, raw, group, masks)
+            i, j = i[ok], j[ok]
             # A similarity of ``least`` leaves so many shingles that only one of the texts has.
             ok = apart_at_least(i, j, counts) <= (size[i] + size[j]) * (1 - least) / (1 + least) + 1e-6
             a, b = node[i[ok]], node[j[ok]]
@@ -304,15 +335,15 @@ def counted(texts: DataFrame, words: int) -> DataFrame:
 
 def similar_links(fps: DataFrame, texts: DataFrame, words: int, least: float, chosen: list[np.ndarray]) -> DataFrame:
     """a, b: links of similarity ``least`` or more that join all nodes which meet into their components."""
-    radius, places = looked_at(least), meeting_places(fps, chosen)
+    radius, places, masks = looked_at(least), meeting_places(fps, chosen), masks_of(chosen)
     # Only places of several tiles are joined to anything; written, so that the optimizer sees how few they are. A row of any other place travels once.
     tiles = F.ceil(F.col("count") / ROOM).cast("int").alias("tiles")
     big = cut(places.groupBy("place").count().filter(F.col("count") > ROOM).select("place", tiles))
     members = places.join(big, "place", "left")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    group = F.when(F.col("tiles").isNull(), F.col("place")).otherwise(F.xxhash64("place", tile))
-    first = cut(first_pairs(members.select(group.alias("group"), "node", "fp", "tiles"), radius))
-    links = verified(first.filter("b IS NOT NULL").select("a", "b").distinct(), texts, words, least)
+    group = F.when(F.col("tiles").isNull(), F.col("place")).otherwise(part_of_place(tile))
+    first = cut(first_pairs(members.select(group.alias("group"), "node", "fp", "tiles"), radius, masks))
+    links = verified(first.filter("b IS NOT NULL").select("a", "b"), texts, words, least)
     later = first.filter("b IS NULL").select(F.col("group").alias("place"), F.col("a").alias("node"))
     if big.take(1):
         later = later.unionByName(members.filter("tiles IS NOT NULL").select("place", "node"))
@@ -326,8 +357,8 @@ def similar_links(fps: DataFrame, texts: DataFrame, words: int, least: float, ch
     asked = rooted.select("node").distinct()
     known = cut(counted(texts.join(asked, "node", "left_semi"), words).join(fps, "node"))
     other = rooted.join(known, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    group = F.xxhash64("place", F.least("tile", "other"), F.greatest("tile", "other"))
-    rest = other_pairs(other.select(group.alias("group"), "tile", "node", "fp", "root", "size", "counts"), radius, least)
+    group = part_of_place(F.least("tile", "other"), F.greatest("tile", "other"))
+    rest = other_pairs(other.select(group.alias("group"), "tile", "node", "fp", "root", "size", "counts"), radius, least, masks)
     return links.unionByName(verified(rest, texts, words, least))
 
 

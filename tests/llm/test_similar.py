@@ -140,3 +140,51 @@ def test_similar_edges(edge_docs, no_docs):
     # One of the empty ones (2, 3, null, 5), one of the two equal rows, 4 instead of its copy with a null id.
     assert Counter(r.doc_id for r in kept.collect()) == {1: 1, 2: 1, 4: 1, 6: 1, 7: 1, 8: 1, 9: 1}
     assert similar.one_of_similar(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("large, room", [(64, 4096), (8, 16)])
+def test_pairs_are_given_off_once_and_none_is_left_out(spark, monkeypatch, large, room):
+    """Texts near one another in bits meet in many places; a few pairs of them are similar."""
+    rnd, n = random.Random(14), 400
+    words, rows = [f"w{k}" for k in range(200)], []
+    for k in range(n):
+        own = list(words)
+        for at in rnd.sample(range(200), 6):
+            own[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(own)))
+    for k in range(0, n, 10):
+        own = rows[k][1].split()
+        own[100] = f"m{k}"
+        rows.append((n + k, " ".join(own)))
+    seen, real = [], similar.first_pairs
+
+    def first_pairs(members, radius, *more):
+        out = real(members, radius, *more)
+        seen.append((members.collect(), out.collect(), radius))
+        return out
+
+    monkeypatch.setattr(similar, "first_pairs", first_pairs)
+    monkeypatch.setattr(similar, "LARGE", large)
+    monkeypatch.setattr(similar, "ROOM", room)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in similar.one_of_similar(docs).collect()} == set(range(n))
+    members, out, radius = seen[0]
+    given = [(r.a, r.b) for r in out if r.b is not None]
+    assert len(set(given)) == len(given)
+    assert any(r.tiles for r in members) == (room == 16)
+    if room > 16:
+        groups, later, near = {}, {}, set()
+        for r in members:
+            groups.setdefault(r.group, []).append((r.node, np.frombuffer(r.fp, np.uint64)))
+        for r in out:
+            if r.b is None:
+                later.setdefault(r.group, set()).add(r.a)
+        for g in groups.values():
+            g.sort(key=lambda x: x[0])
+            fps = np.stack([fp for _, fp in g])
+            for i, (a, _) in enumerate(g):
+                near |= {(a, g[j][0]) for j in np.flatnonzero(similar.distance(fps, fps[i]) <= radius) if j > i}
+        left = near - set(given)
+        for g in later.values():
+            left -= {(a, b) for a in g for b in g if a < b}
+        assert set(given) <= near and not left and len(near) > 5 * n
